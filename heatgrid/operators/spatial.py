@@ -316,10 +316,10 @@ def cell_area_m2(cells: DataFrame, origin_x: float, origin_y: float, res: float)
         lat, lon = f"({origin_y!r} - (row + {dr}) * {res!r})", f"({origin_x!r} + (col + {dc}) * {res!r})"
         e, n = utm_expr(lat, lon)
         d = d.withColumn(f"_e{i}", F.expr(e)).withColumn(f"_n{i}", F.expr(n))
-    twice = sum(
-        (F.col(f"_e{i}") * F.col(f"_n{(i + 1) % 4}") - F.col(f"_e{(i + 1) % 4}") * F.col(f"_n{i}") for i in range(4)),
-        F.lit(0.0),
-    )
+    # Shoelace relative to the first corner, whose large coordinates would cost digits.
+    e = [F.col(f"_e{i}") - F.col("_e0") for i in range(4)]
+    n = [F.col(f"_n{i}") - F.col("_n0") for i in range(4)]
+    twice = e[1] * n[2] - e[2] * n[1] + e[2] * n[3] - e[3] * n[2]
     return d.withColumn("area_m2", F.abs(twice) / 2).select(*cells.columns, "area_m2")
 
 
@@ -352,12 +352,14 @@ def idw(cells: DataFrame, points: DataFrame, names: Sequence[str], by: Sequence[
         dlat, dlon = F.col("lat") - p["lat"], (F.col("lon") - p["lon"]) * cosl
         return 1.0 / (dlat * dlat + dlon * dlon + IDW_EPS)
 
+    def weighted(n):
+        return F.zip_with("_pts", "_w", lambda p, w: p[n] * w)
+
     d = cells.join(F.broadcast(packed), by).withColumn("_w", F.transform("_pts", weight))
     total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
     d = d.withColumn("_t", total)
     for n in names:
-        vw = F.zip_with("_pts", "_w", lambda p, w, n=n: p[n] * w)
-        d = d.withColumn(n, F.aggregate(vw, F.lit(0.0), lambda a, x: a + x) / F.col("_t"))
+        d = d.withColumn(n, F.aggregate(weighted(n), F.lit(0.0), lambda a, x: a + x) / F.col("_t"))
     return d.drop("_pts", "_w", "_t")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["cell_queries", "composite_queries"]
+FAMILIES = ["cell_queries", "composite_queries", "join_queries", "focal_queries"]
 
 
 def load_all() -> None:

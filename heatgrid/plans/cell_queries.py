@@ -15,7 +15,7 @@ _K = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpric
 
 
 def _nd(a, b):
-    return f"round(({a} - {b}) / nullif({a} + {b}, 0), 6)"
+    return f"round(({a} - {b}) / nullif({a} + {b}, 0), 6) + 0"
 
 
 @query("cel1_norm_diff", f"""
@@ -200,12 +200,12 @@ def _(spark, sf):
 
 @query("cel17_confidence", """
 SELECT year, row, col, confidence, severity_score,
-  round(confidence - (p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2)), 5) AS top2_margin FROM classed""", "classed")
+  round(confidence - (p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2)), 6) AS top2_margin FROM classed""", "classed")
 def _(spark, sf):
     p = c("probability")
     return V.classed(spark, sf).select(
         "year", "row", "col", C.confidence(p).alias("confidence"), C.severity_score(p).alias("severity_score"),
-        F.round(C.top2_margin(p), 5).alias("top2_margin"))
+        F.round(C.top2_margin(p), 6).alias("top2_margin"))
 
 
 @query("cel18_argmax_class", "SELECT year, row, col, y_pred FROM classed", "classed")
@@ -230,14 +230,14 @@ SELECT c.year, count(*) AS valid_cells, count(*) FILTER (WHERE u) AS uncertain_c
   round(avg(confidence) FILTER (WHERE NOT u), 6) AS confidence_certain,
   round(avg(CAST(boundary AS INT)) FILTER (WHERE u), 6) AS boundary_uncertain,
   round(avg(CAST(boundary AS INT)) FILTER (WHERE NOT u), 6) AS boundary_certain
-FROM (SELECT *, round(confidence - (p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2)), 5) < 0.1
+FROM (SELECT *, round(confidence - (p0 + p1 + p2 - greatest(p0, p1, p2) - least(p0, p1, p2)), 6) < 0.1
         OR confidence < 0.5 AS u FROM classed) c
 JOIN nb ON nb.year = c.year AND nb.row = c.row AND nb.col = c.col GROUP BY c.year""", "classed")
 def _(spark, sf):
     p = c("probability")
     d = V.classed(spark, sf).select(
         "year", "row", "col", "confidence", "y_pred",
-        ((F.round(C.top2_margin(p), 5) < 0.10) | (c("confidence") < 0.50)).alias("u"))
+        ((F.round(C.top2_margin(p), 6) < 0.10) | (c("confidence") < 0.50)).alias("u"))
     d = focal.class_boundary(d, "y_pred")
     b, u = c("boundary").cast("int"), c("u")
     return d.groupBy("year").agg(

@@ -10,10 +10,10 @@ from heatgrid.operators.quantiles import exact_quantiles_long
 from heatgrid.plans import views as V
 from heatgrid.plans.registry import query
 
-_R = ", ".join(f"round({b}, 9) AS {b}" for b in ("st_b10", "b2", "b3", "b4", "b5", "b6", "b8", "b8a", "b11"))
+_R = ", ".join(f"round({b}, 6) AS {b}" for b in ("st_b10", "b2", "b3", "b4", "b5", "b6", "b8", "b8a", "b11"))
 
 
-@query("cmp1_median_composite", f"SELECT year, row, col, {_R} FROM composites", "composites", digits=9)
+@query("cmp1_median_composite", f"SELECT year, row, col, {_R} FROM composites", "composites")
 def _(spark, sf):
     return V.composites(spark, sf).drop("clear_count")
 

@@ -28,20 +28,42 @@ def query(name: str, sql: str | None = None, ctes: str = "", digits: int = 6):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            SQL[name] = with_ctes(ctes.split(), sql)
+            SQL[name] = with_ctes(ctes.split(), settle_sql(sql))
         return fn
 
     return wrap
 
 
+def nudge(digits: int) -> float:
+    """Far below the last digit kept: moves exact halves one way in both engines alike."""
+    return 1.2345 * 10.0 ** -(digits + 3)
+
+
+def settle_sql(sql: str) -> str:
+    """`round(x, d)` of a query text, rounded the way `finish` does."""
+    out, i = "", 0
+    while (j := sql.find("round(", i)) >= 0:
+        depth, k, comma = 1, j + 6, None
+        while depth:
+            ch = sql[k]
+            depth += {"(": 1, ")": -1}.get(ch, 0)
+            if ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner, digits = settle_sql(sql[j + 6:comma]), int(sql[comma + 1:k - 1])
+        out += f"{sql[i:j]}(round(({inner}) + {nudge(digits)!r}, {digits}) + 0)"
+        i = k
+    return out + sql[i:]
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round doubles so that two engines' summation orders give equal values (and -0 is 0)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + nudge(digits), digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.FloatType):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + nudge(digits), digits) + F.lit(0.0)
         cols.append(c.alias(f.name))
     return df.select(*cols)
