@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-FAMILIES = ["cell_queries", "composite_queries", "join_queries", "focal_queries"]
+FAMILIES = ["cell_queries", "composite_queries", "join_queries", "focal_queries", "profile_queries",
+            "class_queries"]
 
 
 def load_all() -> None:

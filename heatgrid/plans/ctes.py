@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+KEYED = "USING KEY"
 CTES: dict[str, tuple[str, str]] = {}
 
 
@@ -15,7 +16,7 @@ def with_ctes(names: list[str], body: str) -> str:
 
     def visit(n: str) -> None:
         deps, _ = CTES[n]
-        for d in deps.split():
+        for d in [deps] if KEYED in deps else deps.split():
             visit(d)
         if n not in order:
             order.append(n)
@@ -24,13 +25,13 @@ def with_ctes(names: list[str], body: str) -> str:
         visit(n)
     if not order:
         return body.strip()
-    heads = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in order)
+    heads = ",\n".join(
+        f"{n} AS {'' if KEYED in n else 'MATERIALIZED '}({CTES[n][1].strip()})" for n in order)
+    start = "WITH RECURSIVE" if any(KEYED in n for n in order) else "WITH"
     extra = body.strip()
     if extra.upper().startswith("WITH "):
-        return f"WITH {heads},\n{extra[5:]}"
-    if extra.upper().startswith("RECURSIVE "):
-        return f"WITH RECURSIVE {heads},\n{extra[10:]}"
-    return f"WITH {heads}\n{extra}"
+        return f"{start} {heads},\n{extra[5:]}"
+    return f"{start} {heads}\n{extra}"
 
 
 cte("grid", "", """
@@ -163,7 +164,7 @@ FROM (
          round(w2 / (w0 + w1 + w2), 6) AS p2,
          CAST(round(w0 / (w0 + w1 + w2), 6) AS FLOAT) AS c0, CAST(round(w1 / (w0 + w1 + w2), 6) AS FLOAT) AS c1,
          CAST(round(w2 / (w0 + w1 + w2), 6) AS FLOAT) AS c2
-  FROM (SELECT *, greatest(0, 1 - abs(s + 1) / 2) AS w0, greatest(0, 1 - abs(s) / 2) AS w1,
-               greatest(0, 1 - abs(s - 1) / 2) AS w2 FROM rule_score) r
+  FROM (SELECT *, greatest(0, 1 - abs(2 * s + 1) / 2) AS w0, greatest(0, 1 - abs(2 * s) / 2) AS w1,
+               greatest(0, 1 - abs(2 * s - 1) / 2) AS w2 FROM rule_score) r
   JOIN terciles t ON t.year = r.year)
 """)

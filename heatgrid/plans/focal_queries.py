@@ -182,9 +182,9 @@ WITH {_G}, k AS (SELECT a.year, a.row, a.col, any_value(a.ndvi) AS ndvi,
           'round(count(CASE WHEN b.landuse_class = 6 THEN 1 END) {f} / (count(CASE WHEN b.landuse_class BETWEEN 1 AND 8 THEN 1 END) {f} * 1.0), 5) AS landuse_frac_6_{m}m',
           'round(any_value(a.ndvi) - avg(b.ndvi) {f}, 5) + 0 AS ndvi_contrast_{m}m'], _STACK_DISK)}
 {_JOIN.format(block=_BLOCK, h=17)} GROUP BY a.year, a.row, a.col),
-st AS (SELECT a.year, a.row, a.col, round(stddev_pop(b.mndwi), 4) AS mndwi_std5
+st AS (SELECT a.year, a.row, a.col, round(stddev_pop(b.mndwi), 5) AS mndwi_std5
 {_JOIN.format(block='', h=2)} GROUP BY a.year, a.row, a.col)
-SELECT k.* REPLACE (round(k.ndvi, 5) AS ndvi), round(mndwi_std5, 4) AS mndwi_std5 FROM k
+SELECT k.* REPLACE (round(k.ndvi, 5) AS ndvi), mndwi_std5 FROM k
 JOIN st ON k.year = st.year AND k.row = st.row AND k.col = st.col""", "dense cells_static", digits=5)
 def _(spark, sf):
     d = E.feature_stack(grid_cells(spark, sf))
@@ -192,4 +192,4 @@ def _(spark, sf):
         "year", "row", "col", "ndvi", *[f"{v}_mean{w}" for v in ("ndvi", "bsi") for w in (3, 11)],
         *[x.format(m=m) for m in _STACK_DISK for x in
           ("road_pixel_fraction_{m}m", "landuse_frac_6_{m}m", "ndvi_contrast_{m}m")],
-        F.round("mndwi_std5", 4).alias("mndwi_std5"))
+        "mndwi_std5")

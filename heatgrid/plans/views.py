@@ -179,7 +179,7 @@ def build_classed(spark: SparkSession, sf: str) -> DataFrame:
     thr = classify.year_thresholds(train_rows(d), "lst_c", [1 / 3, 2 / 3])
     scored = classify.rule_score(d, d).withColumn("s", F.round("s", 6))
     t = classify.assign_class(scored, thr, "lst_c", "y_true", rule="right").drop("thresholds")
-    w = [F.greatest(F.lit(0.0), 1 - F.abs(F.col("s") + 1 - k) / 2) for k in range(3)]
+    w = [F.greatest(F.lit(0.0), 1 - F.abs(2 * F.col("s") + 1 - k) / 2) for k in range(3)]
     total = w[0] + w[1] + w[2]
     t = t.withColumn("probability", F.array(*[F.round(x / total, 6) for x in w]))
     p = F.col("probability")
