@@ -60,7 +60,7 @@ cte("scored", "prescored", """
 SELECT *, CAST(suitability > 20 AS INT) + CAST(suitability > 40 AS INT) + CAST(suitability > 60 AS INT)
     + CAST(suitability > 80 AS INT) AS suitability_class,
   CASE WHEN feasible THEN round(0.5 * need01 + 0.5 * suit01, 7) END AS priority FROM (
-  SELECT *, round(need * opportunity / 100, 6) AS suitability, round(need01 * opp01, 6) AS suit01,
+  SELECT *, round(need * opportunity / 100 + 1.2345e-9, 6) AS suitability, round(need01 * opp01 + 1.2345e-9, 6) AS suit01,
     eligible AND NOT (water OR buildings OR road_surfaces) AS feasible FROM prescored)
 """)
 cte("cuts", "scored", """
@@ -70,10 +70,10 @@ SELECT quantile_cont(priority, 1.0/3) AS t1, quantile_cont(priority, 2.0/3) AS t
 cte("scenario_cells", "scored", """
 SELECT year, row, col, block_id, scenario, score, confidence, CAST(score > 20 AS INT) + CAST(score > 40 AS INT) + CAST(score > 60 AS INT)
   + CAST(score > 80 AS INT) AS cls FROM (
-  SELECT year, row, col, block_id, confidence, 'A' AS scenario, round(need * opportunity / 100, 6) AS score FROM scored
-  UNION ALL SELECT year, row, col, block_id, confidence, 'B', round(pow(100, 1 - 0.6 - 0.3) * pow(need, 0.6) * pow(opportunity, 0.3), 6) FROM scored
-  UNION ALL SELECT year, row, col, block_id, confidence, 'C', round(pow(100, 1 - 0.3 - 0.5) * pow(need, 0.3) * pow(opportunity, 0.5), 6) FROM scored
-  UNION ALL SELECT year, row, col, block_id, confidence, 'D', round(need_d * opportunity_d / 100, 6) FROM scored)
+  SELECT year, row, col, block_id, confidence, 'A' AS scenario, round(need * opportunity / 100 + 1.2345e-9, 6) AS score FROM scored
+  UNION ALL SELECT year, row, col, block_id, confidence, 'B', round(pow(100, 1 - 0.6 - 0.3) * pow(need, 0.6) * pow(opportunity, 0.3) + 1.2345e-9, 6) FROM scored
+  UNION ALL SELECT year, row, col, block_id, confidence, 'C', round(pow(100, 1 - 0.3 - 0.5) * pow(need, 0.3) * pow(opportunity, 0.5) + 1.2345e-9, 6) FROM scored
+  UNION ALL SELECT year, row, col, block_id, confidence, 'D', round(need_d * opportunity_d / 100 + 1.2345e-9, 6) FROM scored)
 """)
 
 
@@ -138,8 +138,8 @@ def build_scored(spark, sf) -> DataFrame:
         "water": (c("row") * 31 + c("col") * 17) % 13 == 0, "buildings": c("dist_building_m") == 0,
         "road_surfaces": c("dist_road_m") == 0, "eligible": C.eligible_landuse(c("landuse_class"))})
     d = d.withColumns({
-        "suitability": F.round(S.gated_product(c("need"), c("opportunity")), 6),
-        "suit01": F.round(S.gated_product(c("need01"), c("opp01"), 1.0), 6),
+        "suitability": F.round(S.gated_product(c("need"), c("opportunity")) + 1.2345e-9, 6),
+        "suit01": F.round(S.gated_product(c("need01"), c("opp01"), 1.0) + 1.2345e-9, 6),
         "feasible": c("eligible") & ~(c("water") | c("buildings") | c("road_surfaces"))})
     d = d.withColumns({
         "suitability_class": class_of_edges(c("suitability"), S.CLASS_EDGES, "left"),
@@ -167,7 +167,7 @@ def scenario_cells(spark, sf) -> DataFrame:
     for n, (a, b) in S.SCENARIOS.items():
         need, opp = (c("need_d"), c("opportunity_d")) if n == "D" else (c("need"), c("opportunity"))
         v = S.gated_product(need, opp) if a == b == 1.0 else S.weighted_geometric(need, opp, a, b)
-        pairs.append(F.struct(F.lit(n).alias("scenario"), F.round(v, 6).alias("score")))
+        pairs.append(F.struct(F.lit(n).alias("scenario"), F.round(v + 1.2345e-9, 6).alias("score")))
     return (
         d.select(*K, "block_id", "confidence", F.explode(F.array(*pairs)).alias("s"))
         .select(*K, "block_id", "confidence", "s.scenario", "s.score")
