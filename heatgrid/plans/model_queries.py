@@ -202,8 +202,8 @@ _TIER = "CASE WHEN agree >= 5 THEN '5/5' WHEN agree = 4 THEN '4/5' WHEN agree =
 
 
 @query("ml14_prediction_stability", f"""
-WITH r AS (SELECT *, list_transform({_RUNS}, d -> CAST(s >= d - 0.2 AS INT) + CAST(s >= d + 0.3 AS INT)) AS runs FROM classed),
-a AS (SELECT y.*, len(list_filter(runs, x -> x = runs[1])) AS agree, len(list_filter(runs, x -> (x = 2) = (runs[1] = 2))) AS hot_agree FROM r y)
+WITH r AS (SELECT *, list_transform({_RUNS}, lambda d: CAST(s >= d - 0.2 AS INT) + CAST(s >= d + 0.3 AS INT)) AS runs FROM classed),
+a AS (SELECT y.*, len(list_filter(runs, lambda x: x = runs[1])) AS agree, len(list_filter(runs, lambda x: (x = 2) = (runs[1] = 2))) AS hot_agree FROM r y)
 SELECT kind, cls, tier, n, round(n * 100.0 / sum(n) OVER (PARTITION BY kind, cls), 6) AS percent FROM (
   SELECT 'overall' AS kind, -1 AS cls, {_TIER} AS tier, count(*) AS n FROM a GROUP BY 3
   UNION ALL SELECT 'per_class', runs[1], {_TIER}, count(*) FROM a GROUP BY 2, 3
