@@ -24,28 +24,31 @@ def feature_flags() -> dict[str, Column]:
     return {"cell": F.lit(True), **on, **lu}
 
 
-def morphology_columns(radius_m: int, landuse: bool = True) -> dict[str, Column]:
-    """Features of one disk radius from the sums of `focal.disk_sums`."""
+def morphology_sql(radius_m: int) -> dict[str, str]:
+    """Features of one disk radius, as SQL over the sums that `focal.disk_sums` names."""
     r = N.radius_px(radius_m)
-    out = {
-        f"{n}_pixel_fraction_{radius_m}m": F.col(f"{n}_n{r}") / F.col(f"cell_n{r}")
-        for n in ("building", "road", "vegetation")
-    }
-    out[f"vegetation_cover_mean_{radius_m}m"] = N.disk_mean("vegetation_cover", r)
-    for v in ("ndvi", "ndbi"):
-        out[f"{v}_contrast_{radius_m}m"] = F.col(v) - N.disk_mean(v, r)
-    if landuse:
-        n = {k: F.col(f"lu{k}_n{r}") for k in LANDUSE}
-        total = sum(n.values(), F.lit(0))
-        most = F.greatest(*n.values())
-        p = {k: F.coalesce(F.try_divide(n[k], F.nullif(total, F.lit(0))), F.lit(0.0)) for k in LANDUSE}
-        out.update({f"landuse_frac_{k}_{radius_m}m": p[k] for k in LANDUSE})
-        dominant = F.when(total == 0, 0)
-        for k in LANDUSE:
-            dominant = dominant.when(n[k] == most, k)
-        out[f"landuse_dominant_{radius_m}m"] = dominant
-        out[f"landuse_entropy_{radius_m}m"] = -sum(
-            (F.when(p[k] > 0, p[k] * F.log(p[k])).otherwise(0.0) for k in LANDUSE), F.lit(0.0))
+
+    def mean(v):
+        return N.ratio(f"{v}_s{r}", f"{v}_c{r}")
+
+    out = {f"{n}_pixel_fraction_{radius_m}m": f"{n}_n{r} / cell_n{r}" for n in ("building", "road", "vegetation")}
+    out[f"vegetation_cover_mean_{radius_m}m"] = mean("vegetation_cover")
+    out |= {f"{v}_contrast_{radius_m}m": f"{v} - {mean(v)}" for v in ("ndvi", "ndbi")}
+    return out | landuse_sql(radius_m)
+
+
+def landuse_sql(radius_m: int) -> dict[str, str]:
+    """Share of each class, the dominant one (the lowest code on ties) and the entropy; 0 when none."""
+    r = N.radius_px(radius_m)
+    n = {k: f"lu{k}_n{r}" for k in LANDUSE}
+    total = "(" + " + ".join(n.values()) + ")"
+    p = {k: f"coalesce({N.ratio(x, total)}, 0D)" for k, x in n.items()}
+    out = {f"landuse_frac_{k}_{radius_m}m": p[k] for k in LANDUSE}
+    most = f"greatest({', '.join(n.values())})"
+    out[f"landuse_dominant_{radius_m}m"] = f"case when {total} = 0 then 0 " + " ".join(
+        f"when {x} = {most} then {k}" for k, x in n.items()) + " end"
+    out[f"landuse_entropy_{radius_m}m"] = "-(" + " + ".join(
+        f"case when {n[k]} > 0 then {p[k]} * ln({p[k]}) else 0D end" for k in LANDUSE) + ")"
     return out
 
 
@@ -64,78 +67,41 @@ def feature_stack(dense: DataFrame, radii_m=N.RADII_M) -> DataFrame:
     sp = N.Packed({v: F.col(v).isNotNull() for v in values}, max(WINDOWS) ** 2)
     sp_cols = {k.replace("_pk", "_sk"): x for k, x in sp.columns().items()}
     d = N.spread(dense).withColumns({**squares, **dp.columns(), **sp_cols})
-    plan = {r: N.bands(r) for r in radii}
-    widths = sorted({w for b in plan.values() for w, _, _ in b})
     block, free = ("year", "block_id"), ("year",)
     disk_cols = [*disk_values, *dp.columns()]
     mean_cols = [*BASES, *sp_cols]
     free_cols = [*dict.fromkeys([*STD_BANDS, *MEAN_BANDS]), *squares, *sp_cols]
-
-    def row_sum(c, keys, h):
-        return F.coalesce(F.sum(c).over(N._row_window(keys, h)), F.lit(0))
+    ext = [(c, w, f) for w in WINDOWS for c in RANGE_BANDS for f in ("min", "max")]
 
     # The row keys are (year, row) whatever the block, so every window below is local to a task.
-    d = d.select(
-        "*",
-        *[row_sum(c, block, w).alias(f"_d_{c}_{w}") for w in widths for c in disk_cols],
-        *[row_sum(c, block, w // 2).alias(f"_m_{c}_{w}") for w in WINDOWS for c in mean_cols],
-    )
-    d = d.select(
-        "*",
-        *[row_sum(c, free, w // 2).alias(f"_f_{c}_{w}") for w in WINDOWS for c in free_cols],
-        *[f(c).over(N._row_window(free, w // 2)).alias(f"_{t}_{c}_{w}")
-          for w in WINDOWS for c in RANGE_BANDS for t, f in (("lo", F.min), ("hi", F.max))],
-    ).drop(*squares, *dp.columns(), *sp_cols)
-    d = d.repartition("year", "col")
+    d = d.selectExpr("*", *N.named({
+        **N.disk_rows(disk_cols, N.disk_widths(radii), block),
+        **{f"_m_{c}_{w}": f"coalesce({N.over_row(f'sum(`{c}`)', block, w // 2)}, 0)" for w in WINDOWS for c in mean_cols},
+        **{f"_f_{c}_{w}": f"coalesce({N.over_row(f'sum(`{c}`)', free, w // 2)}, 0)" for w in WINDOWS for c in free_cols},
+        **{f"_{f}_{c}_{w}": N.over_row(f"{f}({c})", free, w // 2) for c, w, f in ext}}))
+    d = d.drop(*squares, *dp.columns(), *sp_cols).repartition("year", "col")
     base = dense.columns
-    sums = []
-    for r in radii:
-        for c in disk_cols:
-            total = None
-            for w, narrower, tall in plan[r]:
-                x = F.col(f"_d_{c}_{w}")
-                x = x if narrower is None else x - F.col(f"_d_{c}_{narrower}")
-                part = F.sum(x).over(N._col_window(block, tall))
-                total = part if total is None else total + part
-            sums.append(total.alias(f"_D_{c}_{r}"))
-    sums += [F.sum(f"_m_{c}_{w}").over(N._col_window(block, w // 2)).alias(f"_M_{c}_{w}")
-             for w in WINDOWS for c in mean_cols]
-    keep_free = [f"_f_{c}_{w}" for w in WINDOWS for c in free_cols]
-    keep_ext = [f"_{t}_{c}_{w}" for w in WINDOWS for c in RANGE_BANDS for t in ("lo", "hi")]
-    d = d.select(*base, *keep_free, *keep_ext, *sums)
-    d = d.select(
-        *base, *[f"_D_{c}_{r}" for r in radii for c in disk_cols],
-        *[f"_M_{c}_{w}" for w in WINDOWS for c in mean_cols],
-        *[F.sum(f"_f_{c}_{w}").over(N._col_window(free, w // 2)).alias(f"_F_{c}_{w}")
-          for w in WINDOWS for c in free_cols],
-        *[f(f"_{t}_{c}_{w}").over(N._col_window(free, w // 2)).alias(f"_{t.upper()}_{c}_{w}")
-          for w in WINDOWS for c in RANGE_BANDS for t, f in (("lo", F.min), ("hi", F.max))],
-    )
-    cols: dict[str, Column] = {}
+    d = d.selectExpr(*base, *N.named({
+        **N.disk_cols(disk_cols, radii, block),
+        **{f"_M_{c}_{w}": N.over_col(f"sum(`_m_{c}_{w}`)", block, w // 2) for w in WINDOWS for c in mean_cols},
+        **{f"_F_{c}_{w}": N.over_col(f"sum(`_f_{c}_{w}`)", free, w // 2) for w in WINDOWS for c in free_cols},
+        **{f"_{f}s_{c}_{w}": N.over_col(f"{f}(`_{f}_{c}_{w}`)", free, w // 2) for c, w, f in ext}}))
+    out: dict[str, str] = {}
     for r in radii:
-        un = dp.unpack({p: F.col(f"_D_{p}_{r}") for p in dp.columns()})
-        cols.update({f"{v}_s{r}": F.col(f"_D_{v}_{r}") for v in disk_values})
-        cols.update({f"{v}_c{r}": un[f"_v_{v}"] for v in disk_values})
-        cols.update({f"{n}_n{r}": un[n] for n in feature_flags()})
-    out: dict[str, Column] = {}
+        un = dp.unpack(lambda p, r=r: f"_d_{p}_{r}")
+        out |= {f"{v}_s{r}": f"`_d_{v}_{r}`" for v in disk_values} | {f"{v}_c{r}": un[f"_v_{v}"] for v in disk_values}
+        out |= {f"{n}_n{r}": un[n] for n in feature_flags()}
+    windows: dict[str, str] = {}
     for w in WINDOWS:
-        m = sp.unpack({p: F.col(f"_M_{p.replace('_pk', '_sk')}_{w}") for p in sp.columns()})
-        fr = sp.unpack({p: F.col(f"_F_{p.replace('_pk', '_sk')}_{w}") for p in sp.columns()})
-
-        def ratio(s, n):
-            return F.try_divide(s, F.nullif(n, F.lit(0)))
-
-        for v in BASES:
-            out[f"{v}_mean{w}"] = ratio(F.col(f"_M_{v}_{w}"), m[v])
-        for v in STD_BANDS:
-            mean, sq = ratio(F.col(f"_F_{v}_{w}"), fr[v]), ratio(F.col(f"_F__sq_{v}_{w}"), fr[v])
-            out[f"{v}_std{w}"] = F.when(mean.isNotNull(), F.sqrt(F.greatest(sq - mean * mean, F.lit(0.0))))
-        for v in MEAN_BANDS:
-            out[f"{v}_mean{w}"] = ratio(F.col(f"_F_{v}_{w}"), fr[v])
-        for v in RANGE_BANDS:
-            out[f"{v}_range{w}"] = F.col(f"_HI_{v}_{w}") - F.col(f"_LO_{v}_{w}")
-    d = d.select(*base, *[x.alias(n) for n, x in {**cols, **out}.items()])
-    morph: dict[str, Column] = {}
+        m = sp.unpack(lambda p, w=w: f"_M_{p.replace('_pk', '_sk')}_{w}")
+        fr = sp.unpack(lambda p, w=w: f"_F_{p.replace('_pk', '_sk')}_{w}")
+        windows |= {f"{v}_mean{w}": N.ratio(f"`_M_{v}_{w}`", m[v]) for v in BASES}
+        windows |= {f"{v}_std{w}": N.spread_std(N.ratio(f"`_F_{v}_{w}`", fr[v]), N.ratio(f"`_F__sq_{v}_{w}`", fr[v]))
+                    for v in STD_BANDS}
+        windows |= {f"{v}_mean{w}": N.ratio(f"`_F_{v}_{w}`", fr[v]) for v in MEAN_BANDS}
+        windows |= {f"{v}_range{w}": f"`_maxs_{v}_{w}` - `_mins_{v}_{w}`" for v in RANGE_BANDS}
+    d = d.selectExpr(*base, *N.named(out | windows))
+    morph: dict[str, str] = {}
     for m in radii_m:
-        morph.update(morphology_columns(m))
-    return d.select(*base, *out, *[x.alias(n) for n, x in morph.items()])
+        morph |= morphology_sql(m)
+    return d.selectExpr(*base, *windows, *N.named(morph))

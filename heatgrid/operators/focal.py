@@ -52,12 +52,21 @@ def spread(df: DataFrame, keys: Sequence[str] = ("year",)) -> DataFrame:
     return df.repartition(*keys, "row")
 
 
-def _row_window(keys, h):
-    return W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-h, h)
+def over_row(agg: str, keys: Sequence[str], h: int) -> str:
+    """Window aggregate over the columns within h, as SQL text: thousands are made per plan."""
+    return f"{agg} over (partition by {', '.join(keys)}, row order by col range between {h} preceding and {h} following)"
 
 
-def _col_window(keys, h):
-    return W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-h, h)
+def over_col(agg: str, keys: Sequence[str], h: int) -> str:
+    return f"{agg} over (partition by {', '.join(keys)}, col order by row range between {h} preceding and {h} following)"
+
+
+def named(exprs: dict[str, str]) -> list[str]:
+    return [f"{x} as `{n}`" for n, x in exprs.items()]
+
+
+def ratio(total: str, n: str) -> str:
+    return f"try_divide({total}, nullif({n}, 0))"
 
 
 class Packed:
@@ -79,14 +88,37 @@ class Packed:
             out[f"_pk{g}"] = c
         return out
 
-    def unpack(self, of: dict[str, Column]) -> dict[str, Column]:
+    def unpack(self, at) -> dict[str, str]:
+        """Flag name -> SQL of its count, where `at(packed column)` names the summed column."""
         mask = (1 << self.bits) - 1
         return {
-            n: F.shiftright(of[f"_pk{g}"], self.bits * i).bitwiseAND(F.lit(mask).cast("long"))
+            n: f"(shiftright(`{at(f'_pk{g}')}`, {self.bits * i}) & {mask}L)"
             for g, names in enumerate(self.groups) for i, n in enumerate(names)
         }
 
 
+def disk_rows(cols: Sequence[str], widths: Sequence[int], keys: Sequence[str]) -> dict[str, str]:
+    """First pass of the disks: sums over each needed half-width along the row."""
+    return {f"_h_{c}_{w}": f"coalesce({over_row(f'sum(`{c}`)', keys, w)}, 0)" for w in widths for c in cols}
+
+
+def disk_cols(cols: Sequence[str], radii: Sequence[int], keys: Sequence[str]) -> dict[str, str]:
+    """Second pass: the disk's rectangles stacked along the column."""
+    out = {}
+    for r in radii:
+        for c in cols:
+            parts = []
+            for w, narrower, tall in bands(r):
+                x = f"`_h_{c}_{w}`" if narrower is None else f"`_h_{c}_{w}` - `_h_{c}_{narrower}`"
+                parts.append(over_col(f"sum({x})", keys, tall))
+            out[f"_d_{c}_{r}"] = " + ".join(parts)
+    return out
+
+
+def disk_widths(radii: Sequence[int]) -> list[int]:
+    return sorted({w for r in radii for w, _, _ in bands(r)})
+
+
 def disk_sums(
     df: DataFrame,
     values: Sequence[str],
@@ -97,35 +129,19 @@ def disk_sums(
     """Adds `{v}_s{r}` (sum), `{v}_c{r}` (valid count) and `{flag}_n{r}` for every radius in px."""
     counted = {**{f"_v_{v}": F.col(v).isNotNull() for v in values}, **flags}
     pack = Packed(counted, disk_size(max(radii)))
-    d = df.withColumns(pack.columns())
     cols = [*values, *pack.columns()]
-    plan = {r: bands(r) for r in radii}
-    widths = sorted({w for b in plan.values() for w, _, _ in b})
-
-    def at(c, w):
-        return f"_h_{c}_{w}"
-
-    d = d.select("*", *[
-        F.coalesce(F.sum(c).over(_row_window(keys, w)), F.lit(0)).alias(at(c, w)) for w in widths for c in cols
-    ])
-    sums, out = [], {}
-    for r in radii:
-        for c in cols:
-            total = None
-            for w, narrower, tall in plan[r]:
-                x = F.col(at(c, w)) if narrower is None else F.col(at(c, w)) - F.col(at(c, narrower))
-                part = F.sum(x).over(_col_window(keys, tall))
-                total = part if total is None else total + part
-            sums.append(total.alias(f"_d_{c}_{r}"))
-    d = d.select(*df.columns, *sums)
+    d = df.withColumns(pack.columns())
+    d = d.selectExpr("*", *named(disk_rows(cols, disk_widths(radii), keys)))
+    d = d.selectExpr(*df.columns, *named(disk_cols(cols, radii, keys)))
+    out = {}
     for r in radii:
-        un = pack.unpack({p: F.col(f"_d_{p}_{r}") for p in pack.columns()})
+        un = pack.unpack(lambda p, r=r: f"_d_{p}_{r}")
         for v in values:
-            out[f"{v}_s{r}"] = F.col(f"_d_{v}_{r}")
+            out[f"{v}_s{r}"] = f"`_d_{v}_{r}`"
             out[f"{v}_c{r}"] = un[f"_v_{v}"]
         for n in flags:
             out[f"{n}_n{r}"] = un[n]
-    return d.select(*df.columns, *[c.alias(n) for n, c in out.items()])
+    return d.selectExpr(*df.columns, *named(out))
 
 
 def disk_mean(v: str, r: int) -> Column:
@@ -135,34 +151,34 @@ def disk_mean(v: str, r: int) -> Column:
 def square_sums(
     df: DataFrame, values: Sequence[str], widths: Sequence[int], keys: Sequence[str], tag: str = "q"
 ) -> DataFrame:
-    """Adds `{v}_{tag}s{w}` and `{v}_{tag}c{w}` over w x w squares; names may be expressions' aliases."""
-    d = df
-    pack = Packed({f"{v}": F.col(v).isNotNull() for v in values}, max(widths) ** 2)
-    d = d.withColumns(pack.columns())
+    """Adds `{v}_{tag}s{w}` (sum) and `{v}_{tag}c{w}` (valid count) over w x w squares."""
+    pack = Packed({v: F.col(v).isNotNull() for v in values}, max(widths) ** 2)
     cols = [*values, *pack.columns()]
-    d = d.select("*", *[
-        F.coalesce(F.sum(c).over(_row_window(keys, w // 2)), F.lit(0)).alias(f"_h_{c}_{w}")
-        for w in widths for c in cols
-    ])
-    d = d.select(*df.columns, *[
-        F.sum(f"_h_{c}_{w}").over(_col_window(keys, w // 2)).alias(f"_d_{c}_{w}") for w in widths for c in cols
-    ])
-    out = []
+    d = df.withColumns(pack.columns())
+    d = d.selectExpr("*", *named({
+        f"_h_{c}_{w}": f"coalesce({over_row(f'sum(`{c}`)', keys, w // 2)}, 0)" for w in widths for c in cols}))
+    d = d.selectExpr(*df.columns, *named({
+        f"_d_{c}_{w}": over_col(f"sum(`_h_{c}_{w}`)", keys, w // 2) for w in widths for c in cols}))
+    out = {}
     for w in widths:
-        un = pack.unpack({p: F.col(f"_d_{p}_{w}") for p in pack.columns()})
+        un = pack.unpack(lambda p, w=w: f"_d_{p}_{w}")
         for v in values:
-            out += [F.col(f"_d_{v}_{w}").alias(f"{v}_{tag}s{w}"), un[v].alias(f"{v}_{tag}c{w}")]
-    return d.select(*df.columns, *out)
+            out[f"{v}_{tag}s{w}"] = f"`_d_{v}_{w}`"
+            out[f"{v}_{tag}c{w}"] = un[v]
+    return d.selectExpr(*df.columns, *named(out))
+
+
+def spread_std(mean: str, square: str) -> str:
+    """Population deviation from the mean and the mean square, no less than zero."""
+    return f"case when {mean} is not null then sqrt(greatest({square} - {mean} * {mean}, 0D)) end"
 
 
 def focal_mean(df: DataFrame, values: Sequence[str], widths: Sequence[int] = (3, 5, 11),
                keys: Sequence[str] = ("year", "block_id")) -> DataFrame:
     """Adds `{v}_mean{w}`: mean of the valid cells of the square that lie in the same block."""
     d = square_sums(df, values, widths, keys)
-    return d.select(*df.columns, *[
-        F.try_divide(F.col(f"{v}_qs{w}"), F.nullif(F.col(f"{v}_qc{w}"), F.lit(0))).alias(f"{v}_mean{w}")
-        for v in values for w in widths
-    ])
+    return d.selectExpr(*df.columns, *named({
+        f"{v}_mean{w}": ratio(f"{v}_qs{w}", f"{v}_qc{w}") for v in values for w in widths}))
 
 
 def focal_stats(
@@ -174,28 +190,17 @@ def focal_stats(
     d = df.withColumns({f"_sq_{v}": F.col(v) * F.col(v) for v in std})
     d = square_sums(d, [*used, *[f"_sq_{v}" for v in std]], widths, keys) if used else d
     if spread_of:
-        d = d.select("*", *[
-            f(v).over(_row_window(keys, w // 2)).alias(f"_{n}_{v}_{w}")
-            for v in spread_of for w in widths for n, f in (("mn", F.min), ("mx", F.max))
-        ])
-        d = d.select("*", *[
-            (F.max(f"_mx_{v}_{w}").over(_col_window(keys, w // 2))
-             - F.min(f"_mn_{v}_{w}").over(_col_window(keys, w // 2))).alias(f"{v}_range{w}")
-            for v in spread_of for w in widths
-        ])
-    out = []
+        d = d.selectExpr("*", *named({
+            f"_{f}_{v}_{w}": over_row(f"{f}({v})", keys, w // 2) for v in spread_of for w in widths for f in ("min", "max")}))
+        d = d.selectExpr("*", *named({
+            f"{v}_range{w}": f"{over_col(f'max(_max_{v}_{w})', keys, w // 2)} - {over_col(f'min(_min_{v}_{w})', keys, w // 2)}"
+            for v in spread_of for w in widths}))
+    out = {}
     for w in widths:
-        def avg(v, w=w):
-            return F.try_divide(F.col(f"{v}_qs{w}"), F.nullif(F.col(f"{v}_qc{w}"), F.lit(0)))
-
-        out += [avg(v).alias(f"{v}_mean{w}") for v in mean]
-        out += [
-            F.when(avg(v).isNotNull(), F.sqrt(F.greatest(avg(f"_sq_{v}") - avg(v) * avg(v), F.lit(0.0))))
-            .alias(f"{v}_std{w}")
-            for v in std
-        ]
-        out += [F.col(f"{v}_range{w}") for v in spread_of]
-    return d.select(*df.columns, *out)
+        out |= {f"{v}_mean{w}": ratio(f"{v}_qs{w}", f"{v}_qc{w}") for v in mean}
+        out |= {f"{v}_std{w}": spread_std(ratio(f"{v}_qs{w}", f"{v}_qc{w}"), ratio(f"_sq_{v}_qs{w}", f"_sq_{v}_qc{w}")) for v in std}
+        out |= {f"{v}_range{w}": f"{v}_range{w}" for v in spread_of}
+    return d.selectExpr(*df.columns, *named(out))
 
 
 def class_boundary(df: DataFrame, label: str, keys: Sequence[str] = ("year",), out: str = "boundary") -> DataFrame:

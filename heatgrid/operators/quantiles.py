@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: A group above this many rows is taken out of `percentile` and split by value bucket.
-HOT_ROWS = 2_000_000
+#: A group above this many rows is not packed into one task's array but split by value bucket.
+HOT_ROWS = 200_000
 
 
 def value_bucket(c: Column, scale: float = 1e-6, steps: int = 512) -> Column:
@@ -113,6 +113,13 @@ def quantile_columns(
     return q.groupBy(*by).agg(*aggs)
 
 
+def _array_quantile(a: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a sorted array; NULL when it is empty."""
+    pos = (F.size(a) - 1) * F.lit(float(p))
+    lo, hi = F.get(a, F.floor(pos).cast("int")), F.get(a, F.ceil(pos).cast("int"))
+    return F.when(F.size(a) > 0, _lerp(lo, hi, pos - F.floor(pos)))
+
+
 def grouped_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -123,26 +130,28 @@ def grouped_quantiles(
 ) -> DataFrame:
     """As `quantile_columns`, for many mostly small groups (pixels, zones).
 
-    Groups of more than `hot_rows` rows - at most rows/hot_rows of them, so their key list is
-    small enough to broadcast - take the bucketed way, all others the built-in `percentile`.
-    `extra` are further aggregates to compute beside the quantiles.
+    A group of up to `hot_rows` rows is packed into one array of rows - one aggregation buffer
+    whatever the number of columns - and its columns are sorted in place. Larger groups are split
+    off before anything is packed and take the bucketed way. `extra` are further aggregates.
+    The hot keys are usually none, and the adaptive planner then drops both joins.
     """
     by = list(by)
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*by)
-    plain = [
-        F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name)
-        for c, outs in names.items()
-        for p, name in zip(probs, outs)
-    ]
-    out = [*by, *[n for outs in names.values() for n in outs]]
-    cold = df.join(F.broadcast(hot), by, "left_anti").groupBy(*by).agg(*plain, *extra)
-    heavy = df.join(F.broadcast(hot), by, "left_semi")
+    cols = list(names)
+    rows = F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(cols)]))
+    # Arrays gain nothing from map-side combining: move plain rows once, then pack.
+    packed = df.repartition(*by).join(hot, by, "left_anti").groupBy(*by).agg(rows.alias("_rows"), *extra)
+    others = [c for c in packed.columns if c not in (*by, "_rows")]
+    packed = packed.select(*by, *others, *[
+        F.sort_array(F.filter(F.col(f"_rows.q{i}"), lambda x: x.isNotNull())).alias(f"_a{i}") for i in range(len(cols))])
+    cold = packed.select(*by, *[
+        _array_quantile(F.col(f"_a{i}"), p).alias(name)
+        for i, c in enumerate(cols) for p, name in zip(probs, names[c])], *others)
+    heavy = df.join(hot, by, "left_semi")
     warm = quantile_columns(heavy, by, names, probs)
     if extra:
         warm = heavy.groupBy(*by).agg(*extra).join(warm, by, "left")
-    return cold.unionByName(warm.select(*cold.columns)).select(
-        *out, *[c for c in cold.columns if c not in out]
-    )
+    return cold.unionByName(warm.select(*cold.columns))
 
 
 def ranked(

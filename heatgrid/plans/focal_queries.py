@@ -130,14 +130,11 @@ for _m in _MIX:
 def _(spark, sf):
     flags = {k: v for k, v in E.feature_flags().items() if k.startswith("lu")}
     d = N.disk_sums(N.spread(grid_cells(spark, sf)), [], flags, list(_MIX.values()))
-    out = []
-    zero = F.lit(0.0)
-    for m, r in _MIX.items():
-        named = E.morphology_columns(m)
-        out += [named[f"landuse_frac_{k}_{m}m"].alias(f"frac_{k}_{m}m") for k in E.LANDUSE]
-        out += [named[f"landuse_dominant_{m}m"].alias(f"dominant_{m}m"),
-                (named[f"landuse_entropy_{m}m"] + zero).alias(f"entropy_{m}m")]
-    return d.select("year", "row", "col", *out)
+    out = {}
+    for m in _MIX:
+        named = E.landuse_sql(m)
+        out |= {n.replace("landuse_", ""): x for n, x in named.items()}
+    return d.selectExpr("year", "row", "col", *N.named(out))
 
 
 @query("nbr7_clipping_summary", f"""
