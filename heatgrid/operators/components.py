@@ -91,13 +91,13 @@ def label_components(
     Ids are dense per key, in raster order of each component's first cell.
     """
     keys = list(keys)
-    cells = mask.select(*keys, "row", "col").distinct()
+    cells = mask.select(*keys, "row", "col")
     cells = cells.withColumns({
         "_tr": F.floor(F.col("row") / tile).cast("int"), "_tc": F.floor(F.col("col") / tile).cast("int")})
     schema = T.StructType(cells.schema.fields + [T.StructField("comp", T.LongType())])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"]).reset_index(drop=True)
+        pdf = pdf.drop_duplicates(["row", "col"]).sort_values(["row", "col"]).reset_index(drop=True)
         r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         first = _label_tile(r, c)
         pdf["comp"] = (r[first].astype(np.int64) << 32) | c[first].astype(np.int64)

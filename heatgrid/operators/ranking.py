@@ -53,18 +53,28 @@ def thirds(rank: Column, n: Column) -> Column:
 
 def shortlist(zones: DataFrame, by: Sequence[str], score: str, area: str, max_ha: float, top: int) -> DataFrame:
     """Score rank; oversized zones keep it but get rank_excl 0 and never enter the shortlist."""
-    w = W.partitionBy(*by).orderBy(F.col(score).desc(), "zone_id")
-    run = w.rowsBetween(W.unboundedPreceding, 0)
-    d = zones.withColumn("rank", F.row_number().over(w)).withColumn("oversized", F.col(area) > max_ha)
-    d = d.withColumn("rank_excl", F.when(F.col("oversized"), 0).otherwise(
-        F.sum(F.when(F.col("oversized"), 0).otherwise(1)).over(run)).cast("int"))
+    by, tie = list(by), [F.col("zone_id")]
+    d = ranked(zones, by, -F.col(score), tie, out="rank").withColumn("oversized", F.col(area) > max_ha)
+    fit = ranked(d.where(~F.col("oversized")), by, -F.col(score), tie, out="rank_excl").select(*by, "zone_id", "rank_excl")
+    d = d.join(fit, [*by, "zone_id"], "left").withColumn("rank_excl", F.coalesce("rank_excl", F.lit(0)))
     return d.withColumn("shortlist", ~F.col("oversized") & (F.col("rank_excl") <= top))
 
 
+def running_sum(df: DataFrame, by: Sequence[str], rank: str, value: str, out: str, band: int = 4096) -> DataFrame:
+    """Sum of `value` up to each rank: within bands of ranks, plus the total of the bands before."""
+    by = list(by)
+    d = df.withColumn("_band", F.floor(F.col(rank) / band))
+    before = W.partitionBy(*by).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    offs = d.groupBy(*by, "_band").agg(F.sum(value).alias("_s")).withColumn(
+        "_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    inside = W.partitionBy(*by, "_band").orderBy(rank).rowsBetween(W.unboundedPreceding, 0)
+    return d.join(offs, [*by, "_band"]).withColumn(out, F.sum(value).over(inside) + F.col("_off")).drop("_band", "_off")
+
+
 def plan_prefix(sites: DataFrame, by: Sequence[str], trees: str, limit: Column) -> DataFrame:
     """Sites in rank order until the next would exceed the limit."""
-    run = W.partitionBy(*by).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    return sites.withColumn("cum_trees", F.sum(trees).over(run)).withColumn("planned", F.col("cum_trees") <= limit)
+    d = running_sum(sites, by, "rank", trees, "cum_trees")
+    return d.withColumn("planned", F.col("cum_trees") <= limit)
 
 
 def plan_skip(sites: DataFrame, by: Sequence[str], trees: str, limit: float, top: int) -> DataFrame:

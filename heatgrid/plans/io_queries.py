@@ -168,8 +168,8 @@ def _(spark, sf):
 @query("met7_parse_hourly", "SELECT user_id, true AS ok, ts AS time, round(value, 6) AS value FROM events")
 def _(spark, sf):
     e = table(spark, sf, "events")
-    # One payload per user and day, as a feed would send it.
-    day = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
+    # One payload per user and hour, as a feed would send it.
+    day = e.groupBy("user_id", F.date_trunc("hour", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
     payload = F.to_json(F.struct(F.transform("r", lambda x: x["ts"].cast("string")).alias("time"), F.col("r.value").alias("value")))
     p = day.select("user_id", payload.alias("payload"))
     return M.parse_hourly(p, "payload", "time array<timestamp>, value array<double>", ["time", "value"])

@@ -391,9 +391,7 @@ def _(spark, sf):
 SELECT year, zone_id, rank, round(cum_ha, 6) AS cum_ha, min(CASE WHEN cum_ha >= 5 THEN rank END) OVER (PARTITION BY year) AS enters_at FROM (
   SELECT *, sum(usable_ha) OVER (PARTITION BY year ORDER BY rank) AS cum_ha FROM sites WHERE NOT oversized)""", "sites")
 def _(spark, sf):
-    from pyspark.sql.window import Window as W
-    z = site_table(spark, sf).where("not oversized")
-    z = z.withColumn("cum_ha", F.sum("usable_ha").over(W.partitionBy("year").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    z = R.running_sum(site_table(spark, sf).where("not oversized"), ["year"], "rank", "usable_ha", "cum_ha")
     first = z.groupBy("year").agg(F.min(F.when(c("cum_ha") >= 5, c("rank"))).alias("enters_at"))
     return z.join(F.broadcast(first), "year").select("year", "zone_id", "rank", "cum_ha", "enters_at")
 
