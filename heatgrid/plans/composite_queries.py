@@ -94,10 +94,10 @@ def accumulators(spark, sf):
 
 @query("cmp9_cell_accumulators", f"""
 WITH {_ACC_SQL}
-SELECT win, year, row, col, n, round(total, 6) AS total, round(total_sq, 4) AS total_sq, round(lo, 6) AS lo,
+SELECT win, year, row, col, n, round(total, 6) AS total, round(total_sq, 6) AS total_sq, round(lo, 6) AS lo,
        round(hi, 6) AS hi FROM acc""", "scene_obs")
 def _(spark, sf):
-    return accumulators(spark, sf).withColumn("total_sq", F.round("total_sq", 4))
+    return accumulators(spark, sf)
 
 
 @query("cmp10_window_metrics", f"""
