@@ -40,6 +40,11 @@ def rule_score(df: DataFrame, train: DataFrame, by: Sequence[str] = ("year",)) -
     bounds = quantile_columns(
         train, by, {"ndbi": ["_b5", "_b95"], "ndvi": ["_v5", "_v95"]}, [0.05, 0.95]
     )
+    return scale_by_bounds(df, bounds, by)
+
+
+def scale_by_bounds(df: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rule score from a small table of bounds per `by`."""
 
     def scaled(x, lo, hi):
         span = F.col(hi) - F.col(lo)

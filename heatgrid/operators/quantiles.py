@@ -45,6 +45,38 @@ def exact_quantiles_long(long: DataFrame, by: Sequence[str], probs: Sequence[flo
     by = list(by)
     b = long.withColumn("_b", value_bucket(F.col("v")))
     hist = b.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    need = _wanted(hist, by, probs)
+    keys = [*by, "_b"]
+    picked = b.join(F.broadcast(need.select(*keys)), keys, "left_semi")
+    return _settle(picked, need, by, probs)
+
+
+def leave_out_quantiles(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], own: str = "own", fold: str = "fold"
+) -> DataFrame:
+    """`by` + (fold, variable, n, q): quantiles over the rows whose `own` fold is another one.
+
+    A fold's bucket counts are the counts of all rows less its own, so the rows are never copied
+    once per fold; only rows of the wanted buckets, much the same ones for every fold, are.
+    """
+    by = [*by, "variable"]
+    b = long_form(df, [own, *by[:-1]], cols).withColumn("_b", value_bucket(F.col("v")))
+    mine = b.groupBy(*by, own, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    every = mine.groupBy(*by, "_b").agg(F.sum("_m").alias("_n"))
+    folds = mine.agg(F.array_sort(F.collect_set(own)).alias("_fs"))
+    grid = every.join(F.broadcast(folds)).withColumn(fold, F.explode("_fs")).drop("_fs")
+    hist = (
+        grid.join(mine.withColumnRenamed(own, fold), [*by, fold, "_b"], "left")
+        .withColumn("_n", F.col("_n") - F.coalesce("_m", F.lit(0))).where("_n > 0").drop("_m"))
+    keys = [*by, fold]
+    need = _wanted(hist, keys, probs)
+    wanted = F.broadcast(need.select(*keys, "_b"))
+    picked = b.join(wanted, [*by, "_b"]).where(F.col(own) != F.col(fold)).drop(own)
+    return _settle(picked, need, keys, probs)
+
+
+def _wanted(hist: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Buckets holding a wanted rank: (by, _b, _lo rows before it, _total, _ranks)."""
     run = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     ranks = F.array(
         *[
@@ -64,9 +96,12 @@ def exact_quantiles_long(long: DataFrame, by: Sequence[str], probs: Sequence[flo
             ),
         )
     )
-    need = cum.where(F.size("_ranks") > 0).select(*by, "_b", "_lo", "_total", "_ranks")
+    return cum.where(F.size("_ranks") > 0).select(*by, "_b", "_lo", "_total", "_ranks")
+
+
+def _settle(picked: DataFrame, need: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Order the values of the wanted buckets and read the quantiles off: `by` + (n, q)."""
     keys = [*by, "_b"]
-    picked = b.join(F.broadcast(need.select(*keys)), keys, "left_semi")
     counts = picked.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
     inside = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     at_rank = (

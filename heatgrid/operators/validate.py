@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatgrid.operators import classify as L
+from heatgrid.operators.quantiles import leave_out_quantiles
 from heatgrid.operators.ranking import hash_number
 
 Fit = Callable[[DataFrame, DataFrame], DataFrame]
@@ -76,6 +77,42 @@ def rule_predictions(train: DataFrame, val: DataFrame, by: Sequence[str], k: int
     return L.assign_class(out, cut_s, "s", "y_pred", by=by).drop("thresholds")
 
 
+def fold_rule_predictions(
+    df: DataFrame, folds: DataFrame, group: str = "block_id", k: int = 3, value: str = "lst_c"
+) -> DataFrame:
+    """The rule model on every fold at once, each row predicted by the fold that left it out.
+
+    Bounds and true-class thresholds come from leave-out counts, without copying rows. The score
+    depends on the fold's bounds, so three narrow columns are scored once per other fold; their
+    bucket counts are combined before any of it is shuffled.
+    """
+    probs = [i / k for i in range(1, k)]
+    d = df.drop(*[x for x in ("y_true", "y_pred", "s", "thresholds") if x in df.columns])
+    d = d.join(F.broadcast(folds.select(group, F.col("fold").alias("own"))), group)
+    q = leave_out_quantiles(d, ["year"], ["ndbi", "ndvi", value], [0.05, 0.95, *probs])
+
+    def of(v, i):
+        return F.max(F.when(F.col("variable") == v, F.col("q")[i]))
+
+    by = ["fold", "year"]
+    table = q.groupBy(*by).agg(
+        of("ndbi", 0).alias("_b5"), of("ndbi", 1).alias("_b95"), of("ndvi", 0).alias("_v5"), of("ndvi", 1).alias("_v95"),
+        F.array(*[of(value, 2 + i) for i in range(len(probs))]).alias("thresholds"))
+    bounds, truth = table.drop("thresholds"), table.select(*by, "thresholds")
+    every = folds.agg(F.array_sort(F.collect_set("fold")).alias("_fs"))
+    narrow = d.select("year", "ndbi", "ndvi", "own").join(F.broadcast(every))
+    narrow = narrow.withColumn("fold", F.explode(F.array_remove("_fs", F.col("own")))).drop("_fs", "own")
+    nudge = 1.2345e-9
+
+    def score(x):
+        return L.scale_by_bounds(x, bounds, by).withColumn("s", F.round(F.col("s") + nudge, 6))
+
+    cut_s = L.year_thresholds(score(narrow), "s", probs, by)
+    val = score(d.withColumn("fold", F.col("own")).drop("own"))
+    out = L.assign_class(val, truth, value, "y_true", by=by).drop("thresholds")
+    return L.assign_class(out, cut_s, "s", "y_pred", by=by).drop("thresholds")
+
+
 def confusion(pred: DataFrame, by: Sequence[str], k: int = 3) -> DataFrame:
     """Counts n_{true}_{pred} per group in one aggregate row."""
     return pred.groupBy(*by).agg(*[

@@ -72,8 +72,12 @@ def slim(spark, sf):
 
 def oof(spark, sf):
     d = slim(spark, sf)
-    train, val = VL.fold_rows(d, pinned_folds(d))
-    return VL.rule_predictions(train, val, ["fold", "year"])
+    return VL.fold_rule_predictions(d, pinned_folds(d))
+
+
+def lobo(spark, sf):
+    d = slim(spark, sf)
+    return VL.fold_rule_predictions(d, d.select("block_id", c("block_id").alias("fold")).distinct())
 
 
 @query("ml1_group_folds")
@@ -95,9 +99,7 @@ dv AS (SELECT *, block_id AS fold FROM domain), dt AS (SELECT d.*, f.fold FROM d
 
 @query("ml3_lobo", f"WITH {_LOBO}, {rule_sql('dt', 'dv', ['fold', 'year'])} {_metrics_sql('oof', ['fold'], per_class=False)}", "domain")
 def _(spark, sf):
-    d = slim(spark, sf)
-    train, val = VL.fold_rows(d, d.select("block_id", c("block_id").alias("fold")).distinct())
-    return VL.class_metrics(VL.rule_predictions(train, val, ["fold", "year"]), ["fold"], per_class=False)
+    return VL.class_metrics(lobo(spark, sf), ["fold"], per_class=False)
 
 
 _HELD = """tr AS (SELECT * FROM domain WHERE block_id NOT IN (2, 9, 15, 23)), va AS (SELECT * FROM domain WHERE block_id IN (2, 9, 15, 23))"""
@@ -242,9 +244,7 @@ def _(spark, sf):
 WITH {_LOBO}, {rule_sql('dt', 'dv', ['fold', 'year'])}, m AS ({_metrics_sql('oof', ['fold'], per_class=False)})
 SELECT fold, macro_f1, accuracy FROM m ORDER BY macro_f1 DESC, accuracy DESC, fold LIMIT 1""", "domain")
 def _(spark, sf):
-    d = slim(spark, sf)
-    train, val = VL.fold_rows(d, d.select("block_id", c("block_id").alias("fold")).distinct())
-    m = VL.class_metrics(VL.rule_predictions(train, val, ["fold", "year"]), ["fold"], per_class=False)
+    m = VL.class_metrics(lobo(spark, sf), ["fold"], per_class=False)
     m = m.select("fold", *[F.round(c(x) + 1.2345e-9, 6).alias(x) for x in ("macro_f1", "accuracy")])
     return MM.select_best(m, ["macro_f1", "accuracy"], "fold")
 
