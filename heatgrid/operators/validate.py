@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from heatgrid.operators import classify as L
 from heatgrid.operators.quantiles import leave_out_quantiles
 from heatgrid.operators.ranking import hash_number
+from heatgrid.session import cut
 
 Fit = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -95,9 +96,10 @@ def fold_rule_predictions(
         return F.max(F.when(F.col("variable") == v, F.col("q")[i]))
 
     by = ["fold", "year"]
-    table = q.groupBy(*by).agg(
+    # One row per fold and year, read three times below: settled once.
+    table = cut(q.groupBy(*by).agg(
         of("ndbi", 0).alias("_b5"), of("ndbi", 1).alias("_b95"), of("ndvi", 0).alias("_v5"), of("ndvi", 1).alias("_v95"),
-        F.array(*[of(value, 2 + i) for i in range(len(probs))]).alias("thresholds"))
+        F.array(*[of(value, 2 + i) for i in range(len(probs))]).alias("thresholds")))
     bounds, truth = table.drop("thresholds"), table.select(*by, "thresholds")
     every = folds.agg(F.array_sort(F.collect_set("fold")).alias("_fs"))
     narrow = d.select("year", "ndbi", "ndvi", "own").join(F.broadcast(every))
