@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatgrid.llm import lines, tokens
+from heatgrid.llm import lines, mixing, pii, tokens, urls
 from heatgrid.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small labelled table: urls that the rules decide, labelled by them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = urls.url_parts(F.col("url"))
+    rule = urls.rule_of(host, path, URL_RULES)
+    blocked = F.when(rule.isin([r for what, r in URL_RULES if what == "block"]), 1).when(rule.isNotNull(), 0)
+    model = urls.fit(pages.select("url", blocked.alias("label")))
+    return urls.filter_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs).withColumn("base_sha256", F.sha2("base_spans", 256))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
