@@ -88,19 +88,13 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def slot(key: Column, bits: int) -> Column:
-    """Place of a key in a bitmap of 2**bits places."""
-    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
-
-
-def id_bitmap(keys: DataFrame, name: str, bits: int = 22) -> np.ndarray:
-    """Bit set of the slots of one column of keys: 2**bits / 8 bytes, whatever the table's size.
+def bitmap(keys: DataFrame, place: Column, bits: int = 22) -> np.ndarray:
+    """Bit set of `place` (0 to 2**bits - 1) over all rows: 2**bits / 8 bytes, whatever the table's size.
 
     It thins rows before a shuffle when few keys are wanted, and thins nothing when very many are.
     False hits only cost work; misses do not occur.
     """
-    place = slot(F.col(name), bits) + 1
-    rows = (keys.select(place.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
+    rows = (keys.select((place + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect())
     out = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
     for r in rows:
@@ -109,5 +103,11 @@ def id_bitmap(keys: DataFrame, name: str, bits: int = 22) -> np.ndarray:
     return out
 
 
-def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+def high_bits(name: str, bits: int) -> Column:
+    """The upper bits of a column of mixed 64-bit hashes, as a place in a bitmap."""
+    return F.shiftrightunsigned(F.col(name), 64 - bits)
+
+
+def in_bitmap(found: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    place = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (found[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
