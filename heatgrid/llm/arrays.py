@@ -75,6 +75,8 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 
 def batch_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow binary array without nulls."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     bufs = column.buffers()
     off = np.frombuffer(bufs[1], np.int32, len(column) + 1 + column.offset)[column.offset:].astype(np.int64)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.empty(0, np.uint8)
@@ -126,6 +128,8 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
 
 def texts_of(column, nbytes: int = 1 << 23):
     """Slices (from, to) of an Arrow binary array holding about `nbytes` bytes each, one text at least."""
+    if not len(column):
+        return
     off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1 + column.offset)[column.offset:]
     at = 0
     while at < len(column):
