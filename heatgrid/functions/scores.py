@@ -26,13 +26,15 @@ def scaled(v: Column, lo: Column, hi: Column, top: float = 100.0) -> Column:
 
 
 def road_accessibility(m: Column) -> Column:
+    """NULL where the distance is NULL (an empty layer)."""
     return (
-        F.when(m < 50, m * 40.0 / 50.0).when(m <= 500, 100.0)
+        F.when(m.isNull(), F.lit(None)).when(m < 50, m * 40.0 / 50.0).when(m <= 500, 100.0)
         .when(m < 2000, 100.0 - 70.0 * (m - 500) / 1500.0).otherwise(30.0))
 
 
 def green_proximity(m: Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - m / 500.0) * 100.0
+    """NULL where the distance is NULL (an empty layer)."""
+    return F.when(m.isNotNull(), F.greatest(F.lit(0.0), 1 - m / 500.0) * 100.0)
 
 
 def landuse_eligibility(code: Column) -> Column:

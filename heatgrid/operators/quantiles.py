@@ -175,14 +175,15 @@ def grouped_quantiles(
     cols = list(names)
     rows = F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"q{i}") for i, c in enumerate(cols)]))
     # Arrays gain nothing from map-side combining: move plain rows once, then pack.
-    packed = df.repartition(*by).join(hot, by, "left_anti").groupBy(*by).agg(rows.alias("_rows"), *extra)
+    # The hot keys go before that move; there are at most rows / hot_rows of them.
+    packed = df.join(F.broadcast(hot), by, "left_anti").repartition(*by).groupBy(*by).agg(rows.alias("_rows"), *extra)
     others = [c for c in packed.columns if c not in (*by, "_rows")]
     packed = packed.select(*by, *others, *[
         F.sort_array(F.filter(F.col(f"_rows.q{i}"), lambda x: x.isNotNull())).alias(f"_a{i}") for i in range(len(cols))])
     cold = packed.select(*by, *[
         _array_quantile(F.col(f"_a{i}"), p).alias(name)
         for i, c in enumerate(cols) for p, name in zip(probs, names[c])], *others)
-    heavy = df.join(hot, by, "left_semi")
+    heavy = df.join(F.broadcast(hot), by, "left_semi")
     warm = quantile_columns(heavy, by, names, probs)
     if extra:
         warm = heavy.groupBy(*by).agg(*extra).join(warm, by, "left")

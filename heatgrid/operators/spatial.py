@@ -325,42 +325,46 @@ def cell_area_m2(cells: DataFrame, origin_x: float, origin_y: float, res: float)
 
 # --- inverse distance, nearest neighbours ----------------------------------------------------
 
-#: A point table up to this size is carried as one array per year; a larger one is joined in rows.
-MAX_ARRAY_POINTS = 512
+#: Stations carried in one array; a larger network travels as several arrays whose sums are merged.
+ARRAY_POINTS = 512
 
 
-def idw(cells: DataFrame, points: DataFrame, names: Sequence[str], by: Sequence[str] = ("year",)) -> DataFrame:
-    """sum(w v) / sum(w), w = 1/(dlat^2 + (cos(lat0) dlon)^2 + eps), from a year's station points.
+def idw(
+    cells: DataFrame, points: DataFrame, names: Sequence[str], by: Sequence[str] = ("year",), array_points: int = ARRAY_POINTS
+) -> DataFrame:
+    """sum(w v) / sum(w), w = 1/(dlat^2 + (cos(lat0) dlon)^2 + eps), over a year's stations whose v is not null.
 
-    Stations travel with each cell as one array, so cells are neither multiplied nor shuffled.
-    The stations of a year are counted first; a larger network takes the row-wise join.
+    One row per row of `cells`, repeated rows included; NULL where no station has a value. Stations travel
+    with each cell as arrays, so cells are neither paired with stations nor shuffled. Only when a year has more
+    than `array_points` stations is a cell met once per array, and the sums of its arrays are added.
     """
     by = list(by)
     cosl = math.cos(math.radians(IDW_COS_LAT))
     most = points.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if most > MAX_ARRAY_POINTS:
-        dlat, dlon = F.col("lat") - F.col("p_lat"), (F.col("lon") - F.col("p_lon")) * cosl
-        p = points.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})
-        j = cells.join(p, by).withColumn("_w", 1.0 / (dlat * dlat + dlon * dlon + IDW_EPS))
-        keys = cells.columns
-        return j.groupBy(*keys).agg(*[(F.sum(F.col("_w") * F.col(n)) / F.sum("_w")).alias(n) for n in names])
-    packed = points.groupBy(*by).agg(
+    parts = max(1, -(-most // array_points))
+    packed = points.groupBy(*by, F.pmod(F.hash("point_id", "lat", "lon"), F.lit(parts)).alias("_part")).agg(
         F.array_sort(F.collect_list(F.struct("point_id", "lat", "lon", *names))).alias("_pts")
-    )
+    ).drop("_part")
 
     def weight(p):
         dlat, dlon = F.col("lat") - p["lat"], (F.col("lon") - p["lon"]) * cosl
         return 1.0 / (dlat * dlat + dlon * dlon + IDW_EPS)
 
-    def weighted(n):
-        return F.zip_with("_pts", "_w", lambda p, w: p[n] * w)
-
-    d = cells.join(F.broadcast(packed), by).withColumn("_w", F.transform("_pts", weight))
-    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
-    d = d.withColumn("_t", total)
-    for n in names:
-        d = d.withColumn(n, F.aggregate(weighted(n), F.lit(0.0), lambda a, x: a + x) / F.col("_t"))
-    return d.drop("_pts", "_w", "_t")
+    def added(terms):
+        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+    keys = cells.columns
+    if parts > 1:  # repeated rows are settled once
+        cells = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"))
+    stations = F.broadcast(packed) if parts == 1 else packed
+    d = cells.join(stations, by).withColumn("_w", F.transform("_pts", weight))
+    for i, n in enumerate(names):
+        d = d.withColumn(f"_v{i}", added(F.zip_with("_pts", "_w", lambda p, w: p[n] * w)))
+        d = d.withColumn(f"_t{i}", added(F.zip_with("_pts", "_w", lambda p, w: F.when(p[n].isNotNull(), w))))
+    if parts > 1:
+        sums = [F.sum(f"_{x}{i}").alias(f"_{x}{i}") for x in "vt" for i in range(len(names))]
+        d = d.groupBy(*keys, "_times").agg(*sums).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return d.select(*keys, *[F.try_divide(f"_v{i}", f"_t{i}").alias(n) for i, n in enumerate(names)])
 
 
 def knn(points: DataFrame, k: int = 8, keys: Sequence[str] = ("year",), start: int = 2) -> DataFrame:

@@ -10,14 +10,12 @@ from heatgrid.functions import scores as S
 from heatgrid.operators import components as G
 from heatgrid.operators.classify import class_of_edges
 from heatgrid.operators.quantiles import quantile_columns
-from heatgrid.operators.ranking import sample_per_group
 from heatgrid.plans import views as V
 from heatgrid.plans.ctes import cte
 
 c = F.col
 K = ["year", "row", "col"]
 VARS = {"severity_score": "sev", "ndvi": "ndvi", "ndbi": "ndbi", "lst_c": "lst", "vegetation_cover": "veg"}
-POOL_PER_YEAR, POOL_PRIORITY = 200_000, 400_000
 
 _LU = " ".join(f"WHEN {k} THEN {v}" for k, v in S.LANDUSE_SCORE.items())
 
@@ -110,8 +108,8 @@ def build_scored(spark, sf) -> DataFrame:
     d = V.classed(spark, sf)
     d = d.join(F.broadcast(bounds(d, ["year"], VARS)), "year")
     d = d.withColumns({f"n_{a}": F.round(S.scaled(c(v), c(f"{a}_lo"), c(f"{a}_hi")), 9) for v, a in VARS.items()})
-    # Pooled references: one row over all years, from a capped sample per year (the rule's own cap).
-    pool = sample_per_group(V.domain(spark, sf), ["year"], POOL_PER_YEAR, seed=42)
+    # Pooled references: one row over all cells of all years.
+    pool = V.domain(spark, sf)
     names = {"lst_c": "pl", "ndvi": "pv", "ndbi": "pb", "vegetation_cover": "pg"}
     d = d.join(F.broadcast(bounds(pool.withColumn("_all", F.lit(1)), ["_all"], names).drop("_all")))
     d = d.withColumns({
@@ -153,8 +151,7 @@ def scored(spark, sf) -> DataFrame:
 
 def cuts(spark, sf) -> DataFrame:
     """One row: pooled terciles and the selection constants over feasible land."""
-    pool = sample_per_group(scored(spark, sf).where("feasible"), ["year"], POOL_PRIORITY, seed=42)
-    d = pool.select(F.lit(1).alias("_all"), "priority", "need01")
+    d = scored(spark, sf).where("feasible").select(F.lit(1).alias("_all"), "priority", "need01")
     q = quantile_columns(d, ["_all"], {"priority": ["t1", "t2", "p90", "_p"], "need01": ["_a", "_b", "_c", "nd75"]},
                          [1 / 3, 2 / 3, 0.9, 0.75])
     return q.select("t1", "t2", "p90", "nd75")

@@ -35,7 +35,7 @@ def _(spark, sf):
 
 @query("sco2_pooled_normalize", "SELECT year, row, col, round(p_lst, 6) AS p_lst, round(p_veg_deficit, 6) AS p_veg_deficit FROM prescored", "prescored")
 def _(spark, sf):
-    pool = R.sample_per_group(V.domain(spark, sf), ["year"], 200_000).withColumn("_all", F.lit(1))
+    pool = V.domain(spark, sf).withColumn("_all", F.lit(1))
     b = quantile_columns(pool, ["_all"], {"lst_c": ["l1", "l99"], "vegetation_cover": ["g1", "g99"]}, [0.01, 0.99])
     return V.domain(spark, sf).join(F.broadcast(b)).select(
         *K, F.round(S.scaled(c("lst_c"), c("l1"), c("l99")), 6).alias("p_lst"),

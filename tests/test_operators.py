@@ -177,14 +177,42 @@ def test_resample_ignores_invalid_sources(spark):
     assert got[0, 0] == pytest.approx(2.0) and got[1, 1] is None
 
 
-def test_idw_by_hand_and_by_rows(spark, monkeypatch):
+def test_idw_by_hand_and_by_parts(spark):
     cells = spark.createDataFrame([(1, 28.0, 77.0)], "year int, lat double, lon double")
     pts = spark.createDataFrame([(1, 0, 28.0, 77.1, 10.0), (1, 1, 28.2, 77.0, 20.0)], "year int, point_id int, lat double, lon double, t double")
     w = [1 / ((np.cos(np.radians(28.64)) * 0.1) ** 2 + 1e-6), 1 / (0.2**2 + 1e-6)]
     want = (10 * w[0] + 20 * w[1]) / sum(w)
     assert SP.idw(cells, pts, ["t"]).first()["t"] == pytest.approx(want)
-    monkeypatch.setattr(SP, "MAX_ARRAY_POINTS", 1)
-    assert SP.idw(cells, pts, ["t"]).first()["t"] == pytest.approx(want)
+    assert SP.idw(cells, pts, ["t"], array_points=1).first()["t"] == pytest.approx(want)
+
+
+def test_idw_null_stations_and_repeated_cells(spark):
+    cells = spark.createDataFrame([(1, 28.0, 77.0), (1, 28.0, 77.0), (2, 28.0, 77.0)], "year int, lat double, lon double")
+    pts = spark.createDataFrame(
+        [(1, 0, 28.0, 77.1, 10.0, None), (1, 1, 28.2, 77.0, None, None), (1, 2, 28.1, 77.0, 4.0, None), (2, 0, 28.0, 77.1, 3.0, 1.0)],
+        "year int, point_id int, lat double, lon double, t double, u double")
+    w = [1 / ((np.cos(np.radians(28.64)) * 0.1) ** 2 + 1e-6), 1 / (0.1**2 + 1e-6)]
+    for size in (512, 2, 1):
+        rows = sorted(SP.idw(cells, pts, ["t", "u"], array_points=size).collect(), key=lambda r: r["year"])
+        assert [r["t"] for r in rows] == pytest.approx([(10 * w[0] + 4 * w[1]) / sum(w)] * 2 + [3.0])
+        assert [r["u"] for r in rows] == [None, None, pytest.approx(1.0)]
+
+
+def test_hot_groups_leave_before_the_raw_rows_move(spark):
+    df = spark.createDataFrame([(0 if i % 3 else i, float(i)) for i in range(900)], "g int, v double")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        q = Qn.grouped_quantiles(df, ["g"], {"v": ["med"]}, [0.5], hot_rows=100)
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [g" not in plan.split("Union")[0] and "LeftAnti, BuildRight" in plan
+        got = {r["g"]: r["med"] for r in q.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {}
+    for i in range(900):
+        want.setdefault(0 if i % 3 else i, []).append(float(i))
+    assert got == {g: float(np.median(v)) for g, v in want.items()}
 
 
 def test_thresholds_come_from_training_rows_only(spark):
