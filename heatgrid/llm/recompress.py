@@ -7,9 +7,10 @@ symbol named by both. Names are hashes of what they stand for, hence the same in
 moves no rows. A symbol of level k spans at most 2**k words, and where it begins depends on a few
 words around that place alone.
 
-Places where a symbol of level 3 begins are thus found alike in equal passages. Each window of `WINDOW`
-words takes, of those in its inside, the one whose two neighbouring symbols of level 2 have the least
-name as its key. Equal windows have equal keys, and a key is shared by about seven windows in a row.
+Places where a symbol of level 3 begins are thus found alike in equal passages. Such a place is named by
+its two neighbouring symbols of level 2 and the `LEFT + RIGHT` words around it, since two symbols alone may
+span so few words that they meet by chance. Each window of `WINDOW` words takes the least name of the places
+in its inside as its key. Equal windows have equal keys, and a key is shared by about seven windows in a row.
 
 1. Spark counts keys by document and keeps those of two documents or more: shared symbols reveal
    the passages that may repeat.
@@ -78,8 +79,10 @@ def window_keys(names: np.ndarray, at: np.ndarray) -> np.ndarray:
     left = round_of(sym, 3)
     starts = ~(left[:-1] & ~left[1:]) & ~first[1:]  # the next round does not join the two
     i = np.flatnonzero(starts) + 1
+    around = window_hashes(names, LEFT + RIGHT)
+    i = i[(begin[i] >= LEFT) & (begin[i] - LEFT < len(around))]
     value = np.full(len(names), NONE)
-    value[begin[i]] = mix(sym[i - 1] * BASE + sym[i] * OTHER) >> np.uint64(1)
+    value[begin[i]] = mix(sym[i - 1] * BASE + sym[i] * OTHER + around[begin[i] - LEFT]) >> np.uint64(1)
     span = WINDOW - LEFT - RIGHT + 1
     least, size = value, 1
     while size < span:
@@ -143,10 +146,11 @@ def candidate_windows(rows: DataFrame) -> DataFrame:
                         mine = slice(at[i], max(at[i], at[i + 1] - WINDOW + 1))
                         shared = batch.column(2)[lo + a + i].values.to_numpy(zero_copy_only=False)
                         some = np.flatnonzero(np.isin(keys[mine].view(np.int64), shared))
-                        u, where = np.unique(w[mine][some], return_index=True)
-                        out_w.append(u.view(np.int64))
-                        out_k.append(keys[mine][some][where].view(np.int64))
-                        out_n.append(len(u))
+                        # in the order of the text, where a key stands several times in a row: this is stored small
+                        some = some[np.sort(np.unique(w[mine][some], return_index=True)[1])]
+                        out_w.append(w[mine][some].view(np.int64))
+                        out_k.append(keys[mine][some].view(np.int64))
+                        out_n.append(len(some))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(out_w)), pa.array(np.concatenate(out_k)),
                          pa.array(np.repeat(docs[lo + a:lo + b], out_n))], ["w", "key", "doc"])
