@@ -12,11 +12,13 @@ its two neighbouring symbols of level 2 and the `LEFT + RIGHT` words around it,
 span so few words that they meet by chance. Each window of `WINDOW` words takes the least name of the places
 in its inside as its key. Equal windows have equal keys, and a key is shared by about seven windows in a row.
 
+0. Rows whose whole word sequence a smaller id holds share the topmost symbol, its name being the hash of all
+   words (128 bits). They lose every word, and need not be looked at again: what they hold begins earlier.
 1. Spark counts keys by document and keeps those of two documents or more: shared symbols reveal
    the passages that may repeat.
 2. Only windows with such a key are looked at again, once per document; their hash together with the
    key (128 bits) verifies the repeat, and the smallest id holding one is its first place.
-3. A document drops the words of its windows whose first place is a smaller id, or which began earlier
+3. Another document drops the words of its windows whose first place is a smaller id, or which began earlier
    in itself.
 
 Defined cases: null text has no words (and stays null); texts shorter than a window lose nothing; kept words are
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,19 +101,36 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_names(data, starts, ends), at
 
 
+def whole_name(names: np.ndarray) -> bytes:
+    """Name of a text's whole word sequence."""
+    return xxhash.xxh3_128_digest(names.tobytes())
+
+
 def document_keys(texts: DataFrame) -> DataFrame:
-    """(doc, keys): the distinct window keys of each row (doc, t)."""
+    """(doc, whole, keys): each row (doc, t) of at least a window: its whole sequence's name, its distinct window keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in texts_of(batch.column(1)):
                 names, at = words_of(batch.column(1).slice(a, b - a))
                 keys = window_keys(names, at)
-                out = [np.unique(keys[at[i]:max(at[i], at[i + 1] - WINDOW + 1)]).view(np.int64) for i in range(b - a)]
+                some = np.flatnonzero(np.diff(at) >= WINDOW)
+                whole = [whole_name(names[at[i]:at[i + 1]]) for i in some]
+                out = [np.unique(keys[at[i]:at[i + 1] - WINDOW + 1]).view(np.int64) for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(out, pa.list_(pa.int64()))], ["doc", "keys"])
+                    [batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array(whole, pa.binary()),
+                     pa.array(out, pa.list_(pa.int64()))], ["doc", "whole", "keys"])
 
-    return texts.mapInArrow(rows, "doc long, keys array<long>")
+    return texts.mapInArrow(rows, "doc long, whole binary, keys array<long>")
+
+
+def later_copies(keys: DataFrame) -> DataFrame:
+    """(doc, whole) of the rows whose whole word sequence a smaller id holds."""
+    first = keys.groupBy("whole").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi")
+    first = kept(first.select("whole", "lo"))
+    out = kept(keys.select("doc", "whole").join(first.df, "whole").where("doc <> lo").select("doc", "whole"))
+    first.discard()
+    return out.df
 
 
 def packed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -158,10 +178,11 @@ def candidate_windows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "w long, key long, doc long")
 
 
-def earlier_windows(texts: DataFrame) -> DataFrame:
-    """(doc, ws): the windows of each document that a smaller id holds, as hashes."""
+def earlier_windows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, ws): the windows of each document that a smaller id holds, as hashes; (doc, wholes): its texts that are later copies."""
     keys = kept(document_keys(texts))
-    each = keys.df.select("doc", F.explode("keys").alias("key"))
+    copies = later_copies(keys.df)
+    each = keys.df.join(copies, ["doc", "whole"], "left_anti").select("doc", F.explode("keys").alias("key"))
     shared = kept(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("key"))
     wanted = kept(each.join(shared.df, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")))
     keys.discard()
@@ -173,7 +194,7 @@ def earlier_windows(texts: DataFrame) -> DataFrame:
     out = kept(late.groupBy("doc").agg(F.collect_list("w").alias("ws")))
     windows.discard()
     first.discard()
-    return out.df
+    return out.df, copies.groupBy("doc").agg(F.collect_set("whole").alias("wholes"))
 
 
 def covered(names: np.ndarray, late: np.ndarray) -> np.ndarray:
@@ -193,10 +214,10 @@ def covered(names: np.ndarray, late: np.ndarray) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs`, with `text_col` made of the words kept, n_words and n_removed."""
     texts = docs.select(id_or_least(id_col).alias("doc"), F.col(f"`{text_col}`").cast("binary").alias("t")).where("t is not null")
-    late = earlier_windows(texts)
+    late, copies = earlier_windows(texts)
 
     @F.arrow_udf("struct<text:string,n_words:bigint,n_removed:bigint>")
-    def rebuild(column: pa.Array, lists: pa.Array) -> pa.Array:
+    def rebuild(column: pa.Array, lists: pa.Array, wholes: pa.Array) -> pa.Array:
         out, n_words, n_removed = [], [], []
         full = column.fill_null(b"")
         for a, b in texts_of(full):
@@ -204,8 +225,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             names, at = words_of(part)
             for i in range(b - a):
                 mine = names[at[i]:at[i + 1]]
-                ws = lists[a + i]
-                gone = covered(mine, ws.values.to_numpy(zero_copy_only=False) if ws.is_valid else np.empty(0, np.int64))
+                ws, copied = lists[a + i], wholes[a + i]
+                if copied.is_valid and whole_name(mine) in copied.as_py():
+                    gone = np.ones(len(mine), bool)
+                else:
+                    gone = covered(mine, ws.values.to_numpy(zero_copy_only=False) if ws.is_valid else np.empty(0, np.int64))
                 words = part[i].as_py().split()
                 if gone.any():
                     words = [words[j] for j in np.flatnonzero(~gone)]
@@ -218,8 +242,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     joined = (docs.select(*[F.col(f"`{c}`") for c in names], id_or_least(id_col).alias("__doc"))
-              .join(late.select(F.col("doc").alias("__doc"), F.col("ws").alias("__ws")), "__doc", "left"))
-    done = joined.withColumn("__r", rebuild(F.col(f"`{text_col}`").cast("binary"), F.col("__ws")))
+              .join(late.select(F.col("doc").alias("__doc"), F.col("ws").alias("__ws")), "__doc", "left")
+              .join(copies.select(F.col("doc").alias("__doc"), F.col("wholes").alias("__wholes")), "__doc", "left"))
+    done = joined.withColumn("__r", rebuild(F.col(f"`{text_col}`").cast("binary"), F.col("__ws"), F.col("__wholes")))
     return done.select(
         *[F.col("__r.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
         F.col("__r.n_words").alias("n_words"), F.col("__r.n_removed").alias("n_removed"))

@@ -151,6 +151,15 @@ def test_substrings(docs):
     assert got == want
 
 
+def test_substrings_of_repeated_ids(spark):
+    """One row of an id is a later copy, the other is not; equal rows of one id are not earlier than one another."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (5, " " + a), (5, b), (5, b), (7, b + " tail"), (8, "short text"), (9, "short text"), (None, "x " + b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_removed"], r["text"]) for r in recompress.dedup_substrings(df).collect())
+    assert got == [(0, 0, "x " + b), (3, 0, a), (5, 30, ""), (5, 30, ""), (5, 30, ""), (7, 30, "tail"), (8, 0, "short text"), (9, 0, "short text")]
+
+
 def test_equal_windows_have_equal_keys():
     import numpy as np
 
