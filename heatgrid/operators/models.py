@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from heatgrid.functions.cells import argmax_class
 from heatgrid.operators import classify as L
 from heatgrid.operators import validate as VL
+from heatgrid.session import cut
 
 
 def ordinal_probabilities(at_least: Sequence[Column]) -> list[Column]:
@@ -123,22 +126,28 @@ def run_grid(train, val, grid, label, trees=20) -> DataFrame:
     return out
 
 
-def nested_cv(df, features, label, depths=(4, 8), outer=5, inner=4, trees=20) -> DataFrame:
-    """Depth chosen by inner folds of each outer training part only."""
+def nested_cv(df, features, label, depths=(4, 8), outer=5, inner=4, trees=20, parallelism=4) -> DataFrame:
+    """Depth chosen by inner folds of each outer training part only.
+
+    Every fit reads one checkpoint of the needed columns; the fits of an outer fold do not depend on
+    each other, so `parallelism` of them are submitted at a time, as in MLlib's CrossValidator.
+    """
     folds = VL.group_folds(df, outer)
-    d = df.join(F.broadcast(folds.withColumnRenamed("fold", "outer")), "block_id")
+    d = cut(df.select("block_id", label, *features).join(F.broadcast(folds.withColumnRenamed("fold", "outer")), "block_id"))
     out = None
     for o in range(outer):
         train, val = d.where(F.col("outer") != o), d.where(F.col("outer") == o)
         inner_folds = VL.group_folds(train, inner).withColumnRenamed("fold", "inner")
         t = train.join(F.broadcast(inner_folds), "block_id")
-        tries = None
-        for depth in depths:
-            for i in range(inner):
-                m = _score(t.where(F.col("inner") != i), t.where(F.col("inner") == i), features, label, trees, depth)
-                m = m.select(F.lit(depth).alias("depth"), "macro_f1")
-                tries = m if tries is None else tries.unionByName(m)
-        best = tries.groupBy("depth").agg(F.avg("macro_f1").alias("m")).orderBy(F.desc("m"), "depth").first()["depth"]
+
+        def attempt(depth, i, t=t):
+            m = _score(t.where(F.col("inner") != i), t.where(F.col("inner") == i), features, label, trees, depth)
+            return depth, m.agg(F.avg("macro_f1")).first()[0]
+
+        with ThreadPool(parallelism) as pool:
+            tries = pool.starmap(inheritable_thread_target(df.sparkSession)(attempt), [(x, i) for x in depths for i in range(inner)])
+        scores = {x: [f for y, f in tries if y == x and f is not None] for x in depths}
+        best = max(depths, key=lambda x: (round(sum(scores[x]) / max(1, len(scores[x])), 12), -x))
         row = _score(train, val, features, label, trees, best).select(
             F.lit(o).alias("fold"), F.lit(best).alias("depth"), "n", "accuracy", "macro_f1")
         out = row if out is None else out.unionByName(row)

@@ -281,7 +281,7 @@ FEATURES = ["ndvi", "ndbi", "ndmi", "bsi", "vegetation_cover", "dist_road_m", "d
 @query("ml11_reg_then_threshold")
 def _(spark, sf):
     d = V.domain(spark, sf)
-    p = MM.fit_regressor(V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT)), FEATURES, "lst_c", trees=10, depth=6)
+    p = MM.fit_regressor(V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT)), FEATURES, "lst_c", depth=6)
     return MM.threshold_metrics(p, V.train_rows(d))
 
 
@@ -290,25 +290,25 @@ def _(spark, sf):
     d = V.classed(spark, sf)
     tr, va = V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT))
     grid = [("all", FEATURES, 6, 1), ("no_distance", FEATURES[:5], 6, 1), ("shallow", FEATURES, 3, 1), ("seed_2", FEATURES, 6, 2)]
-    return MM.run_grid(tr, va, grid, "y_true", trees=10)
+    return MM.run_grid(tr, va, grid, "y_true")
 
 
 @query("ml18_nested_cv")
 def _(spark, sf):
     d = V.classed(spark, sf)
-    return MM.nested_cv(d, FEATURES, "y_true", depths=(3, 6), outer=2, inner=2, trees=5)
+    return MM.nested_cv(d, FEATURES, "y_true")
 
 
 @query("ml19_feature_importance")
 def _(spark, sf):
     d = V.domain(spark, sf)
-    return MM.importances(V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT)), FEATURES, "lst_c", trees=10, depth=6)
+    return MM.importances(V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT)), FEATURES, "lst_c", depth=6)
 
 
 @query("ml22_predict_grid")
 def _(spark, sf):
     d = V.classed(spark, sf)
-    p = MM.predict_classes(V.train_rows(d), d, FEATURES, "y_true", trees=10, depth=6)
+    p = MM.predict_classes(V.train_rows(d), d, FEATURES, "y_true", depth=6)
     return p.select(*K, "y_hat", F.array_max("prob").alias("confidence"))
 
 
@@ -330,7 +330,7 @@ def _(spark, sf):
 def _(spark, sf):
     from heatgrid.plans.scoring_views import scored, site_labels
     cells = site_labels(spark, sf).join(scored(spark, sf).drop("s"), K)
-    return MM.model_cooling(transitions(spark, sf), cells, (400, 1000, 2500), trees=10)
+    return MM.model_cooling(transitions(spark, sf), cells, (400, 1000, 2500))
 
 
 @query("sco21_cooling_distribution", """
