@@ -5,25 +5,28 @@ A text becomes a template: numbers (tokens that begin with a digit), units (a kn
 number) and names (a capital followed by no capital) turn into typed placeholders, all else is
 lower-cased. Windows of `WINDOW` template tokens with at least `PLAIN` plain ones are hash-joined
 with the windows of the benchmark. A second form keeps the words of names, so that a passage in other
-capitals is found as well.
+capitals is found as well. Windows of the literal tokens (numbers and names kept, no matter how many are
+plain) find verbatim copies; an item of fewer than `WINDOW` tokens is one literal window as long as itself,
+joined by hash and length.
 
 Matches of a document and an item on one diagonal (document place minus item place) belong together.
 Their slots must be consistent: one value of the item goes with one value in the document throughout,
-up to `SLACK` of the values. So a question with other numbers and names is caught, while a chance meeting of
-placeholders is not. A document leaks an item when consistent diagonals match at least half of the
-item's windows, or `ENOUGH` of them.
+up to `SLACK` of the values, or one where the diagonal matches most of the item's template windows. So a question
+with other numbers and names is caught, while a chance meeting of placeholders is not. A document leaks an item
+when consistent diagonals match at least half of the item's template windows, or `ENOUGH` of them, or when
+literal windows match at least half of the item's literal windows, or `ENOUGH` of them.
 
 A bit set of fixed size over the benchmark's hashes thins the documents' windows before the join; the
 join itself is left to the planner, which broadcasts the benchmark only below its size limit.
 
-Defined cases: null and empty texts match nothing; items without a window (fewer than WINDOW tokens, or
-too few plain ones) are not looked for; repeated items or documents count once per id; null ids are one
+Defined cases: null texts and texts without a token match nothing; an item of few tokens is found wherever those
+tokens stand in a row, so an item of one word is leaked by every document with that word; repeated items or documents count once per id; null ids are one
 id; empty tables give no leaks; other columns of the inputs are ignored by `leaks` and kept by `decontaminate`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +72,13 @@ def template(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndar
     return np.where(name & ~unit, NAME, kept_names), kept_names, values
 
 
-def windows(texts: DataFrame, found: np.ndarray | None, bits: int = BITS) -> DataFrame:
-    """(id, pos, w, slots) of rows (id, t): the windows whose hash is in the bit set `found`, or all."""
+def windows(texts: DataFrame, found: np.ndarray | None, bits: int = BITS, short: Sequence[int] = range(1, WINDOW)) -> DataFrame:
+    """(id, pos, size, w, slots) of rows (id, t): the windows whose hash is in the bit set `found`, or all.
+
+    `size` is 0 for template windows and the number of tokens for literal ones. Literal windows of the
+    sizes `short` are taken anywhere in a text; without `found` only where they are the whole text.
+    """
+    literal_sizes = [*short, WINDOW]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,27 +87,36 @@ def windows(texts: DataFrame, found: np.ndarray | None, bits: int = BITS) -> Dat
                 data, offsets = batch_bytes(batch.column(1).slice(a, b - a))
                 starts, ends, at = spans(data, offsets, IS_TOKEN)
                 typed, literal, values = template(data, starts, ends, at)
-                ok = inside(at, WINDOW)
-                out_id, out_pos, out_w, out_slots = [], [], [], []
-                for seed, symbols in ((1, typed), (2, literal)):
-                    slot = (symbols == NUM) | (symbols == NAME) | (symbols == UNIT)
-                    plain = np.concatenate([[0], np.cumsum(~slot)])
-                    w = mix(window_hashes(symbols, WINDOW) + np.uint64(seed))
-                    good = ok & (plain[WINDOW:] - plain[:-WINDOW] >= PLAIN) if len(w) else np.zeros(0, bool)
+                out_id, out_pos, out_size, out_w, out_slots = [], [], [], [], []
+                for seed, symbols, size in ((1, typed, WINDOW), (2, literal, WINDOW), *((3, values, k) for k in literal_sizes)):
+                    w = mix(window_hashes(symbols, size) + np.uint64(seed))
+                    good = inside(at, size)
+                    if seed == 3:
+                        slot = np.zeros(len(symbols), bool)
+                        if found is None and size < WINDOW and len(w):
+                            whole = at[:-1][np.diff(at) == size]
+                            good = np.zeros(len(w), bool)
+                            good[whole] = True
+                    else:
+                        slot = (symbols == NUM) | (symbols == NAME) | (symbols == UNIT)
+                        plain = np.concatenate([[0], np.cumsum(~slot)])
+                        if len(w):
+                            good &= plain[WINDOW:] - plain[:-WINDOW] >= PLAIN
                     if found is not None and len(w):
                         good &= in_bitmap(found, w, bits)
                     pos = np.flatnonzero(good)
                     text = np.searchsorted(at, pos, side="right") - 1
                     out_id.append(ids[a:b][text])
                     out_pos.append(pos - at[text])
+                    out_size.append(np.full(len(pos), size if seed == 3 else 0))
                     out_w.append(w[pos])
-                    out_slots += [values[p:p + WINDOW][slot[p:p + WINDOW]].view(np.int64) for p in pos]
+                    out_slots += [values[p:p + size][slot[p:p + size]].view(np.int64) for p in pos]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out_id).astype(np.int64)), pa.array(np.concatenate(out_pos).astype(np.int32)),
-                     pa.array(np.concatenate(out_w).view(np.int64)), pa.array(out_slots, pa.list_(pa.int64()))],
-                    ["id", "pos", "w", "slots"])
+                     pa.array(np.concatenate(out_size).astype(np.int32)), pa.array(np.concatenate(out_w).view(np.int64)), pa.array(out_slots, pa.list_(pa.int64()))],
+                    ["id", "pos", "size", "w", "slots"])
 
-    return texts.mapInArrow(rows, "id long, pos int, w long, slots array<long>")
+    return texts.mapInArrow(rows, "id long, pos int, size int, w long, slots array<long>")
 
 
 def leaks(
@@ -109,22 +126,35 @@ def leaks(
     """(id, item, n_matched, n_windows, n_slots): the items each document leaks; one row per pair."""
     t = F.col(f"`{item_text_col}`").cast("binary")
     bench = items.select(id_or_least(item_col).alias("id"), t.alias("t")).where("t is not null")
-    bench = kept(windows(bench, None).select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "w", F.col("slots").alias("islots")).distinct()).df
+    bench = kept(windows(bench, None).select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "size", "w", F.col("slots").alias("islots")).distinct()).df
+    short = sorted(r["size"] for r in bench.select("size").where(F.col("size").between(1, WINDOW - 1)).distinct().collect())
     found = bitmap(bench, high_bits("w", BITS), BITS)
     t = F.col(f"`{text_col}`").cast("binary")
-    mine = windows(docs.select(id_or_least(id_col).alias("id"), t.alias("t")).where("t is not null"), found)
-    hits = mine.join(bench, "w")
+    mine = windows(docs.select(id_or_least(id_col).alias("id"), t.alias("t")).where("t is not null"), found, short=short)
+    hits = mine.join(bench, ["w", "size"])
+    typed = F.col("size") == 0
+    sizes = bench.groupBy("item").agg(
+        F.count_distinct("ipos").alias("n_windows"), F.count_distinct(F.when(typed, F.col("ipos"))).alias("n_typed"),
+        F.count_distinct(F.when(~typed, F.col("ipos"))).alias("n_literal"))
     diagonals = hits.groupBy("id", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.collect_set("ipos").alias("at"),
+        F.collect_set(F.when(typed, F.col("ipos"))).alias("at"), F.collect_set(F.when(~typed, F.col("ipos"))).alias("literal_at"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("islots", "slots")))).alias("slots"))
     # a value of the item that goes with several values in the document is inconsistent
     distinct = F.size(F.array_distinct(F.transform("slots", lambda s: s["islots"])))
-    steady = F.size("slots") - distinct <= SLACK * distinct
-    matched = diagonals.where(steady).groupBy("id", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max(F.size("slots")).alias("n_slots"))
-    sizes = bench.groupBy("item").agg(F.count_distinct("ipos").alias("n_windows"))
-    need = F.least(F.ceil(F.col("n_windows") / 2), F.lit(ENOUGH))
-    return matched.join(sizes, "item").where(F.col("n_matched") >= need).select(
+    slack = F.greatest(SLACK * distinct, (2 * F.size("at") > F.col("n_typed")).cast("int"))
+    steady = F.size("slots") - distinct <= slack
+
+    def places(*names):
+        return F.size(F.array_distinct(F.flatten(F.concat(*[F.collect_list(x) for x in names]))))
+
+    matched = diagonals.join(sizes, "item").withColumn("at", F.when(steady, F.col("at")).otherwise(F.slice("at", 1, 0))).groupBy("id", "item").agg(
+        places("at").alias("typed"), places("literal_at").alias("literal"), places("at", "literal_at").alias("n_matched"),
+        F.coalesce(F.max(F.when(steady, F.size("slots"))), F.lit(0)).alias("n_slots"), *[F.first(x).alias(x) for x in ("n_windows", "n_typed", "n_literal")])
+
+    def leaked(n, of):
+        return (F.col(n) > 0) & (F.col(n) >= F.least(F.ceil(F.col(of) / 2), F.lit(ENOUGH)))
+
+    return matched.where(leaked("typed", "n_typed") | leaked("literal", "n_literal")).select(
         id_or_null("id").alias("id"), id_or_null("item").alias("item"), F.col("n_matched").cast("long"), "n_windows", F.col("n_slots").cast("long"))
 
 

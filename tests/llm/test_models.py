@@ -88,3 +88,18 @@ def test_decontamination_of_templates(spark):
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 7]
     assert decontaminate.leaks(df.limit(0), items).count() == 0 and decontaminate.leaks(df, items.limit(0)).count() == 0
     assert loose != ITEM
+
+
+def test_decontamination_of_short_and_number_dense_items_and_of_values_that_meet_by_chance(spark):
+    short, dense = "Name the capital of Chad", "12 + 7 = 19, 19 * 3 = 57, 57 - 8 kg = 49 kg, 49 / 7 = 7"
+    bags = "A farmer fills 5 bags with 5 apples and then carries all of them to the market before noon"
+    pad = "some words that stand before the copy, {} and others that follow it on the page"
+    items = spark.createDataFrame([(1, short), (2, dense), (3, bags), (4, "!?")], "item_id long, text string")
+    docs = [(10, pad.format(short)), (11, pad.format("Name the capital city of Chad")), (12, "Name the capital of"),
+            (20, pad.format(dense)), (21, pad.format(dense.replace("19", "20").replace("57", "60").replace("7", "6"))),
+            (30, pad.format(bags.replace("5 bags", "7 bags").replace("5 apples", "3 apples"))), (31, pad.format(bags)),
+            (40, "Name the capital"), (41, "of Chad")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["id"], r["item"]) for r in decontaminate.leaks(df, items).collect()}
+    assert found == {(10, 1), (20, 2), (30, 3), (31, 3)}
+    assert decontaminate.leaks(df.coalesce(1), items.where("item_id = 1")).count() == 1
