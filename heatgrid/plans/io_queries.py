@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("src6_file_inventory")
 def _(spark, sf):
-    return P.file_inventory(spark, sf).drop("sha256")
+    return P.file_inventory(spark, sf)
 
 
 @query("snk1_write_cells", "SELECT year, count(*) AS n FROM cells GROUP BY year", "cells")

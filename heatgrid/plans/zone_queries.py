@@ -189,6 +189,7 @@ def _(spark, sf):
 
 
 MAX_HA, TOP = 2.0, 20
+PLAN_TOP = 100
 cte("sites", "site_cells scored", f"""
 SELECT *, rank() OVER w * 0 + CAST(row_number() OVER w AS INT) AS rank, usable_ha > {MAX_HA} AS oversized,
   CASE WHEN usable_ha > {MAX_HA} THEN 0 ELSE CAST(sum(CASE WHEN usable_ha > {MAX_HA} THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS INT) END AS rank_excl
@@ -200,7 +201,7 @@ WINDOW w AS (PARTITION BY year ORDER BY score DESC, zone_id)
 """.replace("rank() OVER w * 0 + ", ""))
 
 
-def site_table(spark, sf):
+def site_table(spark, sf, top=TOP):
     """Sites with score parts and shortlist flags. The usable area is rounded, as the rule does."""
     d = site_labels(spark, sf).join(scored(spark, sf), K)
     z = d.groupBy("year", "zone_id").agg(
@@ -208,7 +209,7 @@ def site_table(spark, sf):
         F.avg(c("opp01") * 100).alias("opp_c"), F.avg(F.coalesce(c("landuse_class") == 0, F.lit(False)).cast("int")).alias("untagged_share"))
     z = z.withColumn("usable_ha", F.round(c("px") * HA, 3)).withColumn(
         "score", F.round(c("need_c") * 0.5 + c("veg_c") * 0.25 + c("opp_c") * 0.25 + 1.2345e-9, 6))
-    return R.shortlist(z, ["year"], "score", "usable_ha", MAX_HA, TOP)
+    return R.shortlist(z, ["year"], "score", "usable_ha", MAX_HA, top)
 
 
 @query("grf5_candidate_sites", """
@@ -383,8 +384,8 @@ def _(spark, sf):
 
 @query("rnk8_plan_skip_over")
 def _(spark, sf):
-    z = site_table(spark, sf).withColumn("trees", trees().cast("double"))
-    return R.plan_skip(z, ["year"], "trees", 10000.0, TOP)
+    z = site_table(spark, sf, PLAN_TOP).withColumn("trees", trees().cast("double"))
+    return R.plan_skip(z, ["year"], "trees", 10000.0, PLAN_TOP)
 
 
 @query("rnk9_cumulative_area", """
