@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heatgrid.operators import features as E
 from heatgrid.operators import focal as N
 from heatgrid.plans import views as V
-from heatgrid.plans.join_queries import met_fields
+from heatgrid.plans.join_queries import MET_OUT, met_fields
 from heatgrid.plans.registry import query
 
 c = F.col
@@ -164,9 +164,42 @@ def _(spark, sf):
     return N.adjacent_gradient(V.domain(spark, sf), "lst_c")
 
 
+# Levels of the frozen schema; other codes (land use 1 and 3) give all zeros.
+_LANDUSE = (0, 2, 4, 5, 6, 7, 8)
+_LULC = tuple(range(9))
+
+
+def schema_order() -> list[str]:
+    """The 178 names of the frozen feature schema, in its order."""
+    out = ["ndvi", "ndbi", "vegetation_cover", "ndmi", "mndwi", "bsi", "ndre"]
+    out += [f"landuse_class_{k}.0" for k in _LANDUSE] + [f"lulc_class_{k}" for k in _LULC]
+    out += ["dist_road_m", "dist_vegetation_m", "dist_building_m", "year"]
+    out += [f"{v}_mean{w}" for v in E.BASES for w in E.WINDOWS]
+    for m in N.RADII_M:
+        out += [f"{n}_pixel_fraction_{m}m" for n in ("building", "road", "vegetation")] + [f"vegetation_cover_mean_{m}m"]
+        out += [f"landuse_frac_{k}_{m}m" for k in E.LANDUSE] + [f"landuse_dominant_{m}m_{k}" for k in _LANDUSE]
+        out += [f"landuse_entropy_{m}m", f"ndvi_contrast_{m}m", f"ndbi_contrast_{m}m"]
+    out += MET_OUT
+    out += [f"{v}_std{w}" for v in E.STD_BANDS for w in E.WINDOWS] + [f"{v}_mean{w}" for v in E.MEAN_BANDS for w in E.WINDOWS]
+    return out + [f"{v}_range{w}" for v in E.RANGE_BANDS for w in E.WINDOWS]
+
+
 def feature_columns(spark, sf):
-    """The full stack with weather, by one equi join on (year, row, col)."""
-    return E.feature_stack(grid_cells(spark, sf)).join(met_fields(spark, sf), ["row", "col"])
+    """The full stack with weather, by one equi join on (row, col), one-hot in the frozen order after row, col, block_id, lst_c."""
+    d = E.feature_stack(grid_cells(spark, sf)).join(met_fields(spark, sf), ["row", "col"])
+
+    def level(v, k):
+        return F.coalesce((c(v) == k).cast("int"), F.lit(0))
+
+    hot = {f"landuse_class_{k}.0": level("landuse_class", k) for k in _LANDUSE} | {f"lulc_class_{k}": level("lulc_class", k) for k in _LULC}
+    hot |= {f"landuse_dominant_{m}m_{k}": level(f"landuse_dominant_{m}m", k) for m in N.RADII_M for k in _LANDUSE}
+    return d.select("row", "col", "block_id", "lst_c", *[hot[n].alias(n) if n in hot else c(n) for n in schema_order()])
+
+
+@query("nbr10_feature_table", digits=5)
+def _(spark, sf):
+    """Every column of the frozen schema; `nbr10_feature_stack` checks some of its families by SQL."""
+    return feature_columns(spark, sf)
 
 
 _STACK_DISK = {50: 2, 500: 17}

@@ -12,6 +12,8 @@ from heatgrid.plans.registry import QUERIES
 load_all()
 from heatgrid.plans import zone_queries  # noqa: E402
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_skip_plan_offers_sites_up_to_rank_100(spark, monkeypatch):
     def sites(_, sf, top=zone_queries.TOP):
@@ -30,3 +32,20 @@ def test_file_inventory_has_the_hash_of_every_file(spark, tmp_path):
     (tmp_path / "notes.csv").write_bytes(b"x,y\n")
     got = {r["name"]: r["sha256"] for r in QUERIES["src6_file_inventory"](spark, str(tmp_path)).collect()}
     assert got == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in Path(tmp_path).iterdir()}
+
+
+def test_feature_table_has_the_frozen_schema_and_the_stack_that_sql_checks(spark):
+    d = QUERIES["nbr10_feature_table"](spark, SF)
+    assert d.columns[:4] == ["row", "col", "block_id", "lst_c"]
+    names = d.columns[4:]
+    assert len(names) == len(set(names)) == 178
+    assert hashlib.sha256("\n".join(names).encode()).hexdigest() == "ca71c137c15ed20240bd59814667ae407124fde54c634acb645b74070329074c"
+    rows = {(r["year"], r["row"], r["col"]): r for r in d.collect()}
+    stack = QUERIES["nbr10_feature_stack"](spark, SF)
+    some = stack.collect()
+    assert len(some) == len(rows) > 0
+    assert all(rows[r["year"], r["row"], r["col"]][x] == r[x] for r in some for x in stack.columns)
+    for r in rows.values():
+        for m in (50, 100, 250, 500):
+            assert sum(r[f"landuse_dominant_{m}m_{k}"] for k in (0, 2, 4, 5, 6, 7, 8)) <= 1
+        assert sum(r[f"lulc_class_{k}"] for k in range(9)) <= 1 and r["met_t2m_c"] is not None
