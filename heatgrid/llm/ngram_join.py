@@ -9,13 +9,16 @@ tokens. Each document picks its l by estimated cost: looking at the tokens of th
 against verifying the candidates that l shared tokens leave. A pair must share the smaller of both l.
 
 Candidates are met without pairing a group with itself:
-1. Tokens found in one class only are dropped; they can join nothing.
-2. Star: every class meets its tokens' most central class (the one with fewest rarer tokens), is
-   filtered by size, position and number of shared tokens, and verified exactly. Near copies of one
-   text become one component here, with as many pairs as classes.
+1. Entries are shuffled once, by token. Tokens found in one class only are dropped; they can join nothing.
+   Every other entry learns its token's most central class (the one with fewest rarer tokens).
+2. Star: every class meets the central class, is filtered by size, position and number of shared
+   tokens, and verified exactly. Near copies of one text become one component here, with as many pairs
+   as classes.
 3. Rest: what links could still be missing lie between components. On each token, only classes outside
-   the pivot's component meet the others, under the same filters and the exact check.
-Verification reads the sets of the classes that occur in candidate pairs, no others.
+   the centre's component meet the others, in the same band of sizes or the next, under the same filters
+   and the exact check.
+Verification reads the texts of the classes that occur in candidate pairs, no others, and compares sets
+made from them again; a class of very many pairs is dealt to several tasks.
 
 Components are those of all links: pairs inside one component need no check.
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatgrid.llm.arrays import batch_bytes, inside, mix, spans, texts_of, window_hashes, word_names
-from heatgrid.llm.shared import bitmap, components, id_or_least, id_or_null, in_bitmap, kept
+from heatgrid.llm.shared import Kept, bitmap, components, id_or_least, id_or_null, in_bitmap, kept
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,7 +48,9 @@ CELL_BITS = 20
 SLICE_BITS = 14
 LONGEST = 4
 VERIFY_COST = 8.0
-DOC_BITS = 23
+MOST_BITS = 28
+HOT = 1 << 20
+FEW = 64
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,98 +154,228 @@ def prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
     return texts.mapInArrow(rows, "doc long, cls long, n int, level byte, tokens array<long>")
 
 
-def may_link(a: str, b: str) -> Column:
+def grouped(sets: DataFrame, cells: np.ndarray, hot: int) -> DataFrame:
+    """Prefix entries by token, each with its token's most central class (p_*); tokens of one class only are dropped.
+
+    One shuffle by token, then one pass over the sorted rows that keeps a group's first row and no others, so a
+    group may be of any size. Tokens that the counters put above `hot` rows are dealt to several tasks by
+    class; each part has a centre of its own (part 0 is a token that was not dealt out).
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(cells)
+
+    @F.arrow_udf("array<int>")
+    def parts(tokens: pa.Array, cls: pa.Array) -> pa.Array:
+        flat = tokens.flatten().to_numpy().view(np.uint64)
+        lengths = np.diff(tokens.offsets.to_numpy())
+        times = shared.value[(flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.int64)
+        name = np.repeat(mix(cls.to_numpy().view(np.uint64)) >> np.uint64(32), lengths).astype(np.int64)
+        part = np.where(times > hot, name % (times // hot + 1) + 1, 0).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(part))
+
+    both = F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t")
+    rows = (sets.withColumn("parts", parts("tokens", "cls")).select("cls", "n", "level", both)
+            .select(F.col("t.tokens").alias("token"), F.col("t.parts").alias("part"), "pos", "cls", "n", "level"))
+    fields = ["pos", "cls", "n", "level"]
+    names = ["token", "part", *fields, *[f"p_{c}" for c in fields]]
+
+    def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waits = None, False  # the first row of the group at the end of the last batch; is it still to be returned
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            if held is not None:  # that row goes first
+                cols = [np.concatenate([[h], c]) for h, c in zip(held, cols)]
+            token, part, pos, cls = cols[:4]
+            start = np.ones(len(token), bool)
+            start[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+            again = np.zeros(len(token), bool)  # rows of copies
+            again[1:] = ~start[1:] & (pos[1:] == pos[:-1]) & (cls[1:] == cls[:-1])
+            if held is not None and len(token) > 1 and not start[1]:
+                again[1] |= last == (pos[1], cls[1])
+            last = pos[-1], cls[-1]
+            group = np.cumsum(start) - 1
+            first = np.flatnonzero(start)
+            several = np.bincount(group, ~again) > 1
+            if held is not None and not waits:
+                several[0] = True
+            keep = ~again & (several[group] | (part > 0))
+            if held is not None and not waits:
+                keep[0] = False  # returned before
+            at = first[-1]
+            waits = not (keep[at] or (at == 0 and held is not None and not waits))
+            held = [c[at] for c in cols]
+            centre = first[group[keep]]
+            out = [c[keep] for c in cols] + [c[centre] for c in cols[2:]]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int8()]
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(k) for x, k in zip(out, kinds)], names)
+
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "pos", "cls").mapInArrow(
+        central, "token long, part int, pos int, cls long, n int, level byte, p_pos int, p_cls long, p_n int, p_level byte")
+
+
+def may_link(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Size and position filters of two entries of one token that is among the first l shared."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    extra = F.least(F.col(f"{a}.level"), F.col(f"{b}.level")) - 1
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) + extra
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * rest >= PERCENT * (na + nb))
-
-
-def counted(joined: DataFrame) -> DataFrame:
-    """(u, v): pairs of classes with as many shared prefix tokens as the smaller l of both."""
-    pairs = joined.select(
-        F.least("a.cls", "b.cls").alias("u"), F.greatest("a.cls", "b.cls").alias("v"), "token",
-        F.least("a.level", "b.level").alias("need"))
-    return (pairs.groupBy("u", "v").agg(F.count_distinct("token").alias("shared"), F.min("need").alias("need"))
-            .where("shared >= need").select("u", "v"))
+    extra = F.least(a["level"], b["level"]) - 1
+    rest = F.least(a["n"] - a["pos"], b["n"] - b["pos"]) + extra
+    return ((100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"]))
+            & ((100 + PERCENT) * rest >= PERCENT * (a["n"] + b["n"])))
+
 
+def entry(prefix: str) -> dict[str, Column]:
+    return {c: F.col(f"{prefix}{c}") for c in ("pos", "cls", "n", "level")}
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold. classes: (doc, cls); texts: (doc, t)."""
-    wanted = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    one = kept(classes.groupBy("cls").agg(F.min("doc").alias("doc")).join(wanted, "cls"))
-    place = F.shiftrightunsigned(F.xxhash64("doc"), 64 - DOC_BITS)
-    found = bitmap(one.df, place, DOC_BITS)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pairs_of(rows: DataFrame, a: dict[str, Column], b: dict[str, Column]) -> DataFrame:
+    """(u, v, need) of entries of one token that may link."""
+    return rows.where((a["cls"] != b["cls"]) & may_link(a, b)).select(
+        F.least(a["cls"], b["cls"]).alias("u"), F.greatest(a["cls"], b["cls"]).alias("v"), F.least(a["level"], b["level"]).alias("need"))
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    """(u, v): pairs of classes with as many shared prefix tokens as the smaller l of both. A token gives a pair once."""
+    return (pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+            .where("shared >= need").select("u", "v"))
+
+
+class Texts:
+    """Texts of the classes that occur in candidate pairs, compressed, read from `texts` once for each class."""
+
+    def __init__(self, classes: DataFrame, texts: DataFrame) -> None:
+        self.one = kept(classes.groupBy("cls").agg(F.min("doc").alias("doc")))
+        self.texts, self.stored = texts, []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(cls, packed, size) of the classes in pairs, and those asked for before."""
+        wanted = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+        for have in self.stored:
+            wanted = wanted.join(have.df.select("cls"), "cls", "left_anti")
+        one = kept(self.one.df.join(wanted, "cls"))
+        bits = min(MOST_BITS, max(16, int(8 * one.df.count()).bit_length()))  # some eight places for each wanted document
+        found = bitmap(one.df, F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits), bits)
+
+        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                some = np.flatnonzero(in_bitmap(found, batch.column(2).to_numpy(zero_copy_only=False), bits))
+                batch = batch.take(pa.array(some))
+                for a, b in texts_of(batch.column(1)):
+                    column = batch.column(1).slice(a, b - a)
+                    h, at = shingles(column)
+                    us = [np.unique(h[at[i]:at[i + 1]]) for i in range(b - a)]
+                    raw = [x.as_py() for x in column]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(a, b - a), pa.array([class_id(u) if len(u) else None for u in us], pa.int64()),
+                         pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in raw], pa.binary()),
+                         pa.array([len(x) for x in raw], pa.int64())], ["doc", "cls", "packed", "size"])
+
+        thinned = self.texts.withColumn("h", F.xxhash64("doc")).mapInArrow(picked, "doc long, cls long, packed binary, size long")
+        self.stored.append(kept(thinned.join(one.df, ["doc", "cls"]).select("cls", "packed", "size").dropDuplicates(["cls"])))
+        one.discard()
+        return reduce(DataFrame.unionByName, [x.df for x in self.stored])
+
+    def discard(self) -> None:
+        for x in (self.one, *self.stored):
+            x.discard()
+
+
+def verified(pairs: DataFrame, members: DataFrame) -> Kept:
+    """The pairs (u, v) whose sets reach the threshold. The text of u travels once for up to FEW of its pairs."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / FEW).alias("parts"))
+    dealt = kept(pairs.join(many, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).select("u", "part", "v"))
+    left = dealt.df.select("u", "part").distinct().join(members.withColumnRenamed("cls", "u"), "u").withColumn("v", F.lit(None).cast("long"))
+    right = dealt.df.join(members.withColumnRenamed("cls", "v"), "v")
+    cols = ["u", "part", "v", "packed", "size"]
+    rows = left.select(*cols).unionByName(right.select(*cols)).repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first())
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine = None, None
         for batch in batches:
-            hashed = batch.column(2).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(in_bitmap(found, hashed, DOC_BITS))
-            batch = batch.take(pa.array(some))
-            for a, b in texts_of(batch.column(1)):
-                h, at = shingles(batch.column(1).slice(a, b - a))
-                us = [np.unique(h[at[i]:at[i + 1]]) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a),
-                     pa.array([class_id(u) if len(u) else None for u in us], pa.int64()),
-                     pa.array([u.tobytes() for u in us], pa.binary())], ["doc", "cls", "members"])
-
-    thinned = texts.withColumn("h", F.xxhash64("doc")).mapInArrow(sets, "doc long, cls long, members binary")
-    members = kept(thinned.join(one.df, ["doc", "cls"]).select("cls", "members").dropDuplicates(["cls"]))
-
-    @F.arrow_udf(T.BooleanType())
-    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    m = members.df
-    whole = (pairs.join(m.select(F.col("cls").alias("u"), F.col("members").alias("x")), "u")
-             .join(m.select(F.col("cls").alias("v"), F.col("members").alias("y")), "v"))
-    links = kept(whole.where(linked("x", "y")).select("u", "v"))
-    one.discard()
-    members.discard()
-    return links.df
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            us, vs, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            a = 0
+            while a < len(batch):
+                b, size = a, 0
+                while b < len(batch) and (b == a or size + sizes[b] <= 1 << 22):
+                    size += sizes[b]
+                    b += 1
+                raw = [pa.decompress(batch.column(3)[k].as_py(), sizes[k], codec="zstd", asbytes=True) for k in range(a, b)]
+                h, at = shingles(pa.array(raw, pa.binary()))
+                out: list[tuple[int, int]] = []
+                for k in range(a, b):
+                    x = np.unique(h[at[k - a]:at[k - a + 1]])
+                    if vs[k] is None:
+                        now, mine = us[k], x
+                        continue
+                    assert us[k] == now
+                    both = len(np.intersect1d(mine, x, assume_unique=True))
+                    if 100 * both >= PERCENT * (len(mine) + len(x) - both):
+                        out.append((us[k], vs[k]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+                a = b
+
+    links = kept(rows.mapInArrow(compared, "u long, v long"))
+    dealt.discard()
+    return links
+
+
+def band(n: Column) -> Column:
+    """Sizes of two sets that may link lie in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+
+
+def between(e: DataFrame, roots: DataFrame) -> tuple[Kept, DataFrame]:
+    """The placed entries, stored, and (u, v, need) of entries of one token that may link and lie in different components, one of them outside its centre's."""
+    root = roots.select("cls", "root")
+    placed = e.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    centre = root.select(F.col("cls").alias("p_cls"), F.col("root").alias("centre"))
+    first = e.where("part = 0 and cls = p_cls").select("token", "p_cls").unionByName(
+        # of a token that was dealt out, one of its parts' centres
+        e.where("part > 0").groupBy("token").agg(F.min(F.struct("p_pos", "p_cls")).alias("p")).select("token", "p.p_cls"))
+    first = first.join(centre, "p_cls", "left").select("token", F.coalesce("centre", "p_cls").alias("centre"))
+    placed = kept(placed.join(first, "token").select("token", "cls", "n", "level", "pos", "root", (F.col("root") != F.col("centre")).alias("out"), band(F.col("n")).alias("band")))
+    out = placed.df.where("out").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    out = out.select("token", "band", *[F.col(c).alias(f"a_{c}") for c in ("cls", "n", "level", "pos", "root")])
+    # a pair of two that are both outside meets once
+    met = out.join(placed.df, ["token", "band"]).where("a_root <> root and (not out or a_cls < cls)")
+    return placed, pairs_of(met, entry("a_"), entry(""))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, n_shingles, component) of every row of `docs`: component is the smallest id reachable by links."""
     texts = docs.select(id_or_least(id_col).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("t"))
-    sets = kept(prefixes(texts, sketch(texts)))
-    entries = sets.df.select("cls", "n", "level", F.posexplode("tokens").alias("pos", "token"))
-    # 1. tokens of one class only
-    shared = kept(entries.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token"))
-    met = kept(entries.join(shared.df, "token"))
-    shared.discard()
-    e = kept(met.df.distinct())
-    met.discard()
-    # 2. star
-    pivot = kept(e.df.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "level")).alias("p")).select("token", "p.*"))
-    a = e.df.alias("a")
-    star = a.join(pivot.df.alias("b"), "token").where((F.col("a.cls") != F.col("b.cls")) & may_link("a", "b"))
+    cells = sketch(texts)
+    prefixed = kept(prefixes(texts, cells))
+    # 1. tokens of several classes
+    e = kept(grouped(prefixed.df, cells, hot))
+    sets = kept(prefixed.df.select("doc", "cls", "n"))
+    prefixed.discard()
+    # 2. star; the centres of a token that was dealt out meet one of them
+    star = pairs_of(e.df, entry(""), entry("p_"))
+    parts = e.df.where("part > 0 and cls = p_cls").select("token", "pos", "cls", "n", "level")
+    one = parts.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "level")).alias("c")).select("token", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("pos", "cls", "n", "level")])
+    star = star.unionByName(pairs_of(parts.join(one, "token"), entry(""), entry("c_")))
     pairs = kept(counted(star))
-    links = verified(pairs.df, sets.df, texts)
+    bodies = Texts(sets.df, texts)
+    links = verified(pairs.df, bodies.of(pairs.df))
     pairs.discard()
     # 3. between components
-    roots = kept(components(links))
-    root = roots.df.select(F.col("node").alias("cls"), "root")
-    placed = kept(e.df.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    centre = kept(pivot.df.join(root, "cls", "left").select("token", F.coalesce("root", "cls").alias("centre")))
-    outside = kept(placed.df.join(centre.df, "token").where("root <> centre").drop("centre"))
-    rest = outside.df.alias("a").join(placed.df.alias("b"), "token").where(
-        (F.col("a.root") != F.col("b.root")) & may_link("a", "b"))
-    pairs = kept(counted(rest))
-    links = kept(links.unionByName(verified(pairs.df, sets.df, texts)))
-    roots = components(links.df)
+    roots = kept(components(links.df).withColumnRenamed("node", "cls"))
+    placed, met = between(e.df, roots.df)
+    e.discard()
+    pairs = kept(counted(met))
+    placed.discard()
+    more = verified(pairs.df, bodies.of(pairs.df))
+    for x in (pairs, roots, bodies):
+        x.discard()
+    roots = components(links.df.unionByName(more.df))
     # the smallest id of each component, handed out class by class
     least = sets.df.groupBy("cls").agg(F.min("doc").alias("doc"))
     least = least.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = kept(least)
-    smallest = kept(least.df.groupBy("root").agg(F.min("doc").alias("component")))
-    named = kept(least.df.join(smallest.df, "root").select("cls", "component"))
-    return sets.df.select("doc", "cls", "n").join(named.df, "cls").select(
+    smallest = least.df.groupBy("root").agg(F.min("doc").alias("component"))
+    named = kept(least.df.join(smallest, "root").select("cls", "component"))
+    for x in (least, links, more):
+        x.discard()
+    return sets.df.join(named.df, "cls").select(
         id_or_null("doc").alias("id"), F.col("n").cast("long").alias("n_shingles"), id_or_null("component").alias("component"))

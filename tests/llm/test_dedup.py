@@ -110,9 +110,11 @@ def linked_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_ngram_join(docs):
+@pytest.mark.parametrize("hot", [ngram_join.HOT, 6])
+def test_ngram_join(docs, hot):
+    """Also with tokens dealt to several tasks."""
     want = linked_components(rows_of())
-    got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_components(docs).collect()}
+    got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_components(docs, hot=hot).collect()}
     assert got == want
 
 
@@ -127,8 +129,26 @@ def test_ngram_join_chains_and_sizes(spark):
             rows.append((n * 7 % 1009, " ".join(t), "c"))
             t = t[1 + step % 3:] + [f"g{group}n{n}x{j}" for j in range(1 + step % 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
-    got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_components(df).collect()}
-    assert got == linked_components(rows)
+    for hot in (ngram_join.HOT, 3):
+        got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_components(df, hot=hot).collect()}
+        assert got == linked_components(rows)
+
+
+def test_ngram_join_groups_over_batches(spark):
+    """A template that many unlinked texts share, copies of them, and groups that span Arrow batches."""
+    rng = random.Random(3)
+    stem, rows = [f"s{i}" for i in range(30)], []
+    for i in range(300):
+        own = [f"o{i}x{j}" for j in range(rng.choice([12, 14, 60]))]
+        rows += [(3 * i + k, " ".join(stem + own[:len(own) - k % 2]), "c") for k in range(rng.choice([1, 1, 2, 3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for hot in (ngram_join.HOT, 50):
+            got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.jaccard_components(df, hot=hot).collect()}
+            assert got == linked_components(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def removed(rows):
