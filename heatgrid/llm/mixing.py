@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 1. Sources in code point order (null last) get the weights 3, 1, 2, repeating, and share `share` of all
-   words; a target stops at `cap` times its source's size and the excess is reshared by weight. That
-   is one level for all sources: target = min(cap * size, level * weight), found in one pass over the
-   sources ordered by cap * size / weight.
-2. The mix has `total / block` blocks; the highest quotients target / (2k - 1) give each source its number.
+   words; a target stops at `cap` times its source's size and the excess is reshared by weight, until
+   none is above: target = min(cap * size, level * weight).
+2. The mix has `total / block` blocks; the highest quotients target / (2k - 1) give each source its number. A block
+   has BLOCK words, fewer if the smallest source would not hold LEAST_BLOCKS of them. Sources are numbered
+   and quotients ranked by range sorts, so there may be many.
 3. Sources are cut into shards by a seeded hash of the id; a source's blocks go to its shards the same way.
    Shards hold about `shard_words` words, so a large source is spread over many tasks.
 4. In a shard, documents stand in seeded order and their words are cut into equal blocks. Whole passes take
@@ -32,12 +33,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from heatgrid.llm.arrays import batch_bytes, spans, texts_of
-from heatgrid.llm.shared import kept
+from heatgrid.llm.shared import kept, numbered
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BLOCK = 64
+LEAST_BLOCKS = 32
 SHARD_WORDS = 1 << 16
 MAX_SHARDS = 1 << 16
 
@@ -55,20 +57,38 @@ def word_count(column: pa.Array) -> pa.Array:
 def source_targets(
     sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP,
 ) -> DataFrame:
-    """(source, source_size, weight, target) of rows (source, size): one row per source."""
-    src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))) + 1))
-    src = src.withColumns({"room": cap * F.col("source_size").cast("double")})
-    order = W.orderBy(F.col("room") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    full_before = F.coalesce(F.sum("room").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    weight_left = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    level = (share * F.sum("source_size").over(everything) - full_before) / weight_left
-    src = src.withColumn("level", F.when(level * F.col("weight") <= F.col("room"), level))
-    level = F.first("level", ignorenulls=True).over(everything)
-    return src.select("source", "source_size", "weight", F.coalesce(
-        F.least("room", level * F.col("weight")), F.col("room")).alias("target"))
+    """(source, no, source_size, weight, target) of rows (source, size): one row per source, `no` its place.
+
+    The level rises until the sources below their cap share what the full ones leave: a sum over all sources each time.
+    """
+    src = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "no", F.col("source").asc_nulls_last()).df
+    src = src.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("no", F.lit(len(weights))) + 1).cast("int")))
+    src = kept(src.withColumn("room", cap * F.col("source_size").cast("double"))).df
+    whole = share * (src.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("room") <= level * F.col("weight")
+        now = src.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("room"))), F.sum(F.when(~is_full, F.col("weight")))).first()
+        if now[0] == full or not now[2]:
+            break
+        full, level = now[0], (whole - (now[1] or 0.0)) / now[2]
+    return src.select("source", "no", "source_size", "weight", F.least("room", level * F.col("weight")).alias("target"))
+
+
+def source_quotas(src: DataFrame, blocks: int) -> DataFrame:
+    """`src` with quota: how many of `blocks` each source gets, by the highest quotients target / (2k - 1) of all sources."""
+    total, n = src.agg(F.sum("target"), F.count(F.lit(1))).first()
+    if not total:
+        return src.withColumn("quota", F.lit(0).cast("long"))
+    each = F.col("target") / float(total)
+    few = F.floor(each * max(0.0, blocks - n / 2) + 0.5)  # surely too few, and
+    many = F.ceil(each * (blocks + n / 2) + 0.5)  # surely too many: some two quotients a source are left to rank
+    src = src.withColumns({"few": few, "many": many})
+    rest = blocks - (src.agg(F.sum("few")).first()[0] or 0)
+    left = src.where("many > few and target > 0").select("no", "target", F.explode(F.sequence(F.col("few") + 1, F.col("many"))).alias("k"))
+    ranked = numbered(left, "place", (F.col("target") / (2 * F.col("k") - 1)).desc(), F.col("no"), F.col("k"))
+    won = ranked.df.where(F.col("place") < rest).groupBy("no").agg(F.count(F.lit(1)).alias("won"))
+    return src.join(won, "no", "left").withColumn("quota", (F.col("few") + F.coalesce("won", F.lit(0))).cast("long")).drop("few", "many", "won")
 
 
 def apportion(df: DataFrame, by: Sequence[str], key: str, weight: str, seats: Column, out: str) -> DataFrame:
@@ -103,14 +123,13 @@ def mix_sources(
     sizes = kept(docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
         word_count(F.col(f"`{text_col}`").cast("binary")).alias("size"))).df
-    src = source_targets(sizes, weights, share, cap)
-    total = F.sum("source_size").over(W.partitionBy())
-    per_shard = F.greatest(F.lit(shard_words), F.ceil(total / MAX_SHARDS))
-    src = src.withColumns({
-        "all": F.lit(0), "no": F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())),
-        "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long"),
-        "blocks": F.round(share * total / block)})
-    src = kept(apportion(src, ["all"], "no", "target", F.col("blocks"), "quota")).df
+    src = kept(source_targets(sizes, weights, share, cap)).df
+    total, least = src.where("source_size > 0").agg(F.sum("source_size"), F.min("source_size")).first()
+    block = max(1, min(block, (least or 1) // LEAST_BLOCKS))
+    per_shard = max(shard_words, -(-(total or 0) // MAX_SHARDS))
+    src = source_quotas(src, round(share * (total or 0) / block)).withColumn(
+        "shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("long"))
+    src = kept(src).df
 
     place = F.xxhash64(F.lit(seed), F.col("id"))
     rows = sizes.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
@@ -120,7 +139,9 @@ def mix_sources(
     shards = rows.groupBy("no", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     shards = apportion(shards, ["no"], "shard", "words", F.col("quota"), "take")
     n = F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long")
-    shards = shards.where("words > 0").withColumns({"n": n, "take": F.least(F.col("take"), cap * n)}).select(
+    # a shard's blocks hold words / n words each: so many of them as hold what it is to give
+    take = F.round(F.col("take") * block / (F.col("words") / n)).cast("long")
+    shards = shards.where("words > 0").withColumns({"n": n, "take": F.least(take, cap * n)}).select(
         "no", "shard", "n", (F.col("words") / F.col("n")).alias("each"), F.expr("take div n").alias("passes"), (F.col("take") % F.col("n")).alias("rest"),
         F.pmod(F.xxhash64(F.lit(seed), F.col("no"), F.col("shard")), n).alias("from"))
     shards = kept(shards).df

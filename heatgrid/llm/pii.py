@@ -17,13 +17,19 @@ columns are kept, columns named like the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatgrid.llm.shared import free_name
+
 WINDOW = 40
 CONTEXT_GAIN = 0.2
+#: A match has four code points at least, so this many pairs hold WINDOW of them.
+NEAR = WINDOW // 4 + 1
+RUN = 64
 LOCAL = "A-Za-z0-9._%+-"
 DOMAIN = "[A-Za-z0-9-]++"
 
@@ -86,33 +92,59 @@ def proposals(text: Column, kind: Kind) -> Column:
     return F.when(hinted, pairs).otherwise(empty)
 
 
-def spans(pairs: Column, text: Column, kind: Kind) -> Column:
-    """array<struct<start, end, score>> of the confirmed matches, code points, end exclusive."""
-    acc = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>").alias("out"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with value computed once, however often and inside however many loops body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pieces_of(pairs: Column) -> Column:
+    """Of each gap and match: their lengths, the gap's ends, and the match."""
+    return F.transform(pairs, lambda p: F.struct(
+        (F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0))).alias("size"), F.length(p["gap"]).alias("gap"),
+        F.left(p["gap"], F.lit(WINDOW)).alias("head"), F.right(p["gap"], F.lit(WINDOW)).alias("tail"), p["match"].alias("match")))
+
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["match"]), F.lit(0))
-        found = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"))
-        good = F.coalesce(confirmed(kind.name, p["match"]), F.lit(False)) & p["match"].isNotNull()
-        return F.struct(end.alias("at"), F.when(good, F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
+def added_up(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(0), lambda a, p: a + p["size"])
 
-    def score(s: Column) -> Column:
-        low = F.greatest(s["start"] - WINDOW, F.lit(0))
-        near = F.concat_ws("\n", F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(WINDOW)))
+
+def spans(pairs: Column, kind: Kind) -> Column:
+    """array<struct<start, end, score>> of the confirmed matches, code points, end exclusive.
+
+    Positions come from sums over blocks of RUN pairs, and inside a block from the pairs before: work grows with the number
+    of matches. Context is put together from the gaps and matches next to a span; NEAR of them always hold WINDOW code points.
+    """
+
+    def found(p: Column, blocks: Column, i: Column) -> Column:
+        me = F.get(p, i)
+        run = F.floor(i / RUN).cast("int")
+        start = F.get(blocks, run) + added_up(F.slice(p, run * RUN + 1, i - run * RUN)) + me["gap"]
+        first = F.greatest(i - NEAR, F.lit(0))
+        before = F.transform(F.slice(p, first + 1, i - first), lambda q: F.concat(q["tail"], q["match"]))
+        after = F.transform(F.slice(p, i + 2, F.lit(NEAR)), lambda q: F.concat(q["head"], F.coalesce(q["match"], F.lit(""))))
+        left = F.right(F.concat(F.array_join(before, ""), me["tail"]), F.lit(WINDOW))
+        near = F.concat_ws("\n", left, F.left(F.array_join(after, ""), F.lit(WINDOW)))
         told = F.rlike(F.lower(near), F.lit(kind.context))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"),
+        return F.struct(start.alias("start"), (start + F.length(me["match"])).alias("end"),
                         F.round(F.lit(kind.score) + F.when(told, CONTEXT_GAIN).otherwise(0.0), 2).alias("score"))
 
-    scored = F.transform(F.aggregate(pairs, acc, step, lambda a: a["out"]), score)
+    def placed(p: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda k: added_up(F.slice(p, k * RUN + 1, F.lit(RUN))))
+        starts = F.aggregate(runs, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        good = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.coalesce(confirmed(kind.name, F.get(p, i)["match"]), F.lit(False))
+                        & F.get(p, i)["match"].isNotNull())
+        return let(starts, lambda blocks: F.transform(good, lambda i: found(p, blocks, i)))
+
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,score:double>>")
+    scored = let(pieces_of(pairs), lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(none))
     if kind.needs_context:
         scored = F.filter(scored, lambda s: s["score"] > kind.score)
     return scored
 
 
-def joined(kinds: list[str], last: str = "end") -> Column:
+def joined(name: str, kinds: list[str], last: str = "end") -> Column:
     def of(kind: str) -> Column:
-        return F.transform(F.col(f"__{kind}"), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s[last]))
+        return F.transform(F.col(f"{name}{kind}"), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s[last]))
 
     return F.array_join(F.concat(*[of(k) for k in kinds]), ",")
 
@@ -120,12 +152,10 @@ def joined(kinds: list[str], last: str = "end") -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of `docs`; n_<base kind>; base_spans, spans (kind:start:end) and scores (kind:start:score), comma-joined."""
     added = [f"n_{k}" for k in BASE] + ["base_spans", "spans", "scores"]
-    keep = [c for c in docs.columns if c not in added]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    names = [k.name for k in KINDS]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], *[proposals(text, k).alias(f"__p_{k.name}") for k in KINDS])
-    df = df.select(*[F.col(f"`{c}`") for c in keep], *[spans(F.col(f"__p_{k.name}"), text, k).alias(f"__{k.name}") for k in KINDS])
+    names, own = [k.name for k in KINDS], free_name(docs, "pii_")
+    df = docs.select(*keep, *[spans(proposals(text, k), k).alias(f"{own}{k.name}") for k in KINDS])
     return df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE],
-        joined(list(BASE)).alias("base_spans"), joined(names).alias("spans"), joined(names, "score").alias("scores"))
+        *keep, *[F.size(f"{own}{k}").cast("long").alias(f"n_{k}") for k in BASE],
+        joined(own, list(BASE)).alias("base_spans"), joined(own, names).alias("spans"), joined(own, names, "score").alias("scores"))

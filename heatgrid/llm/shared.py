@@ -13,6 +13,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from heatgrid.session import checkpoint_root
 
@@ -58,6 +59,27 @@ def id_or_null(name: str) -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so or begins so."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> Kept:
+    """`df`, stored in the given order, with each row's place in it (from 0).
+
+    No window over all rows: rows are sorted by ranges, numbered inside a partition, and the partitions' sizes are added up.
+    """
+    stored = kept(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    sizes = stored.df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row for each partition
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("_part", before.alias("_before"))
+    within = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return Kept(stored.df.join(places, part == F.col("_part")).withColumn(name, within + F.col("_before")).drop("_part", "_before"), stored.path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected edge list (u, v) of longs: root is the least node reachable.
 
