@@ -1,4 +1,4 @@
-"""8-connected components of cell masks, zone attributes and outlines.
+"""8-connected components of cell masks and zone attributes; their rings are in `rings`.
 
 Cells are labelled inside square tiles first (a task sees one tile, at most tile x tile cells).
 Only cells on tile borders are then matched with their neighbours across the border, which
@@ -141,58 +141,3 @@ def zone_edges(zone_cells: DataFrame, keys: Sequence[str] = ("year", "zone_id"))
         for r1, c1, r2, c2 in ((0, 0, 0, 1), (1, 0, 1, 1), (0, 0, 1, 0), (0, 1, 1, 1))])
     s = zone_cells.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
     return s.groupBy(*keys, "r1", "c1", "r2", "c2").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-
-
-def zone_corners(zone_cells: DataFrame, keys: Sequence[str] = ("year", "zone_id")) -> DataFrame:
-    """Directed outline pieces (start corner and step), with the zone on the right-hand side."""
-    near = zone_cells.select(*keys, "row", "col")
-    # Around each cell clockwise: top, right, bottom, left, with the neighbour that would hide it.
-    parts = [((0, 0), (0, 1), (-1, 0)), ((0, 1), (1, 0), (0, 1)), ((1, 1), (0, -1), (1, 0)), ((1, 0), (-1, 0), (0, -1))]
-    arr = F.array(*[
-        F.struct((F.col("row") + s[0]).alias("r"), (F.col("col") + s[1]).alias("c"), F.lit(d[0]).alias("dr"),
-                 F.lit(d[1]).alias("dc"), (F.col("row") + o[0]).alias("nr"), (F.col("col") + o[1]).alias("nc"))
-        for s, d, o in parts])
-    p = near.select(*keys, F.explode(arr).alias("p")).select(*keys, "p.*")
-    hidden = near.withColumnsRenamed({"row": "nr", "col": "nc"})
-    return p.join(hidden, [*keys, "nr", "nc"], "left_anti").drop("nr", "nc")
-
-
-def zone_rings(zone_cells: DataFrame, keys: Sequence[str] = ("year", "zone_id")) -> DataFrame:
-    """(keys, ring, perimeter, pts): outline rings chained from the directed pieces.
-
-    Where four pieces meet, the chain turns right, so cells that touch diagonally keep apart.
-    A task chains the outline of one zone, which is far smaller than the zone itself.
-    """
-    keys = list(keys)
-    p = zone_corners(zone_cells, keys)
-    schema = T.StructType([p.schema[k] for k in keys] + [
-        T.StructField("ring", T.IntegerType()), T.StructField("perimeter", T.IntegerType()),
-        T.StructField("pts", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    turn = {(0, 1): (1, 0), (1, 0): (0, -1), (0, -1): (-1, 0), (-1, 0): (0, 1)}
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_of: dict = {}
-        for r, c, dr, dc in pdf[["r", "c", "dr", "dc"]].sort_values(["r", "c", "dr", "dc"]).itertuples(index=False):
-            out_of.setdefault((r, c), []).append((dr, dc))
-        rows = []
-        for start in sorted(out_of):
-            while out_of.get(start):
-                at, d, pts, length = start, out_of[start].pop(0), [list(start)], 0
-                while True:
-                    at = (at[0] + d[0], at[1] + d[1])
-                    length += 1
-                    if at == start:
-                        break
-                    choice = out_of[at]
-                    nxt = turn[d] if turn[d] in choice else choice[0]
-                    choice.remove(nxt)
-                    if nxt != d:
-                        pts.append([int(at[0]), int(at[1])])
-                    d = nxt
-                rows.append((len(rows), length, [[int(a) for a in q] for q in pts]))
-        res = pd.DataFrame(rows, columns=["ring", "perimeter", "pts"])
-        for k in reversed(keys):
-            res.insert(0, k, pdf[k].iloc[0])
-        return res
-
-    return p.groupBy(*keys).applyInPandas(chain, schema)

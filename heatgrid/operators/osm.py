@@ -1,20 +1,18 @@
-"""Nested map elements: ways from nodes, rings from segments, tags to classes."""
+"""Nested map elements: ways from nodes, tags to classes; rings of relations are in `rings`."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Tag presets and land-use codes.
 ROADS = {"highway": ["motorway", "trunk", "primary"]}
 VEGETATION = {"leisure": ["park", "garden", "nature_reserve"], "landuse": ["forest", "grass", "meadow"],
               "natural": ["wood", "scrub", "grassland"]}
 LANDUSE_CODES = {"park": 1, "forest": 2, "grass": 3, "commercial": 4, "industrial": 5, "residential": 6, "retail": 7, "farmland": 8}
-LEISURE_CODES = {"park": 1, "garden": 1, "nature_reserve": 1}
+LEISURE_CODES = {"park": 1, "garden": 1, "nature_reserve": 1, "pitch": 3, "playground": 3}
 NATURAL_CODES = {"wood": 2, "scrub": 3, "grassland": 3}
 
 ELEMENTS = (
@@ -69,48 +67,6 @@ def ways_from_nodes(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return w.join(got, "way", "left").withColumn("n_found", F.coalesce("n_found", F.lit(0).cast("long")))
 
 
-def relation_rings(segments: DataFrame) -> DataFrame:
-    """(relation, role, ring, n_points, closed): member segments chained end to end into rings.
-
-    `segments` is (relation, role, seg, a, z, n): end nodes and node count. The members of one
-    relation and role travel as one short array (never their points), many relations per batch.
-    """
-    packed = segments.groupBy("relation", "role").agg(
-        F.array_sort(F.collect_list(F.struct("seg", "a", "z", "n"))).alias("members"))
-    schema = T.StructType([segments.schema["relation"], segments.schema["role"], T.StructField("ring", T.IntegerType()),
-                           T.StructField("n_points", T.LongType()), T.StructField("closed", T.BooleanType())])
-
-    def rings(batches):
-        for pdf in batches:
-            rows = [
-                (rel, role, i, n, closed)
-                for rel, role, members in pdf.itertuples(index=False)
-                for i, (n, closed) in enumerate(_chain([(m["seg"], m["a"], m["z"], m["n"]) for m in members]))]
-            yield pd.DataFrame(rows, columns=["relation", "role", "ring", "n_points", "closed"])
-
-    return packed.mapInPandas(rings, schema)
-
-
-def _chain(members):
-    """(points, closed) of each ring made by joining segments end to end, in segment order."""
-    left = {s: (a, z, n) for s, a, z, n in members}
-    ends: dict = {}
-    for s, (a, z, _) in left.items():
-        ends.setdefault(a, []).append(s)
-        ends.setdefault(z, []).append(s)
-    for s in list(left):
-        if s not in left:
-            continue
-        start, at, n = left.pop(s)
-        while at != start:
-            nxt = next((t for t in ends[at] if t in left), None)
-            if nxt is None:
-                break
-            a, z, m = left.pop(nxt)
-            at, n = (z if a == at else a), n + m - 1
-        yield n, at == start
-
-
 def json_profile(el: DataFrame) -> DataFrame:
     return el.groupBy("type").agg(
         F.count(F.lit(1)).alias("n"), F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),

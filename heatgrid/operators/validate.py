@@ -19,14 +19,16 @@ from heatgrid.session import cut
 Fit = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def group_folds(df: DataFrame, k: int = 5, group: str = "block_id", exclude: Sequence[int] = ()) -> DataFrame:
+def group_folds(df: DataFrame, k: int = 5, group: str = "block_id", exclude: Sequence[int] = (), max_groups: int = 100_000) -> DataFrame:
     """(group, fold): whole groups, the largest first to the lightest fold.
 
-    The at most few dozen group sizes are the only thing brought to the driver.
+    The group sizes are the only thing brought to the driver; more than `max_groups` are refused.
     """
     sizes = (
         df.where(~F.col(group).isin(*exclude)) if exclude else df
-    ).groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), group).collect()
+    ).groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), group).limit(max_groups + 1).collect()
+    if len(sizes) > max_groups:
+        raise ValueError(f"{group} has more than {max_groups} values: folds are of few, large groups")
     load = [0] * k
     rows = []
     for r in sizes:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from heatgrid.operators import checks as Q
 from heatgrid.operators import components as G
 from heatgrid.operators import osm as OS
+from heatgrid.operators import rings as RG
 from heatgrid.operators import spatial as SP
 from heatgrid.operators import weather as M
 from heatgrid.operators.overlap import upsert_section
 from heatgrid.plans import views as V
+from heatgrid.plans.cell_queries import LAT0, LON0, res_of
 from heatgrid.plans.ctes import cte
 from heatgrid.plans.join_queries import MET, met_hourly, met_points, vertices
 from heatgrid.plans.registry import query
 from heatgrid.plans.scoring_views import hot_labels, scored
-from heatgrid.plans.zone_queries import site_table, zone_table
+from heatgrid.plans.zone_queries import hot_rings, site_table, zone_table
 from heatgrid.session import checkpoint_root
 from heatgrid.sources import products as P
 from heatgrid.sources.tables import table
@@ -79,11 +84,38 @@ def _(spark, sf):
     return spark.read.schema("year int, block_id int, n bigint").json(path)
 
 
+def zone_features(spark, sf):
+    h, (pieces, rings) = hot_labels(spark, sf), hot_rings(spark, sf)
+    r = res_of(V.side(spark, sf))
+    zones = h.groupBy("year", "zone_id").agg(F.count(F.lit(1)).alias("n_px"))
+    polygons = RG.multipolygons(pieces, rings, F.lit(LON0) + c("c") * r, F.lit(LAT0) - c("r") * r)
+    return P.geojson_features(zones, polygons, ["year", "zone_id"], ["n_px"])
+
+
 @query("snk4_zones_geojson")
 def _(spark, sf):
-    h = hot_labels(spark, sf)
-    zones = h.groupBy("year", "zone_id").agg(F.count(F.lit(1)).alias("n_px"))
-    return P.geojson_features(zones, G.zone_rings(h), ["year", "zone_id"], ["n_px"])
+    return zone_features(spark, sf)
+
+
+@query("snk4_geojson_area", """
+SELECT year, zone_id, count(*) AS n_px, round(count(*) * (0.52 / any_value(side)) * (0.52 / any_value(side)) * 1000000, 3) AS area, round(76.80 + min(col) * (0.52 / any_value(side)), 6) AS west,
+  round(76.80 + (max(col) + 1) * (0.52 / any_value(side)), 6) AS east, round(28.92 - (max(row) + 1) * (0.52 / any_value(side)), 6) AS south, round(28.92 - min(row) * (0.52 / any_value(side)), 6) AS north
+FROM hot_cells, grid GROUP BY year, zone_id""", "hot_cells grid", digits=6)
+def _(spark, sf):
+    """Written as JSON lines, read back and measured: outer rings less their holes, in millionths of a square degree, and the box."""
+    path = scratch(spark, sf, "zones_geojson")
+    zone_features(spark, sf).select("feature").write.mode("overwrite").text(path)
+    kind = "struct<properties: struct<year: int, zone_id: int, n_px: bigint>, geometry: struct<type: string, coordinates: array<array<array<array<double>>>>>>"
+    f = spark.read.text(path).select(F.from_json("value", kind).alias("f"))
+    ring = f.select("f.properties.*", F.explode("f.geometry.coordinates").alias("_p")).select("year", "zone_id", "n_px", F.explode("_p").alias("_l"))
+    # about a corner of its own, so that the products stay small beside their differences
+    x, y = (lambda p: p[0] - c("_l")[0][0]), (lambda p: p[1] - c("_l")[0][1])
+    step = F.zip_with(F.slice("_l", 1, F.size("_l") - 1), F.slice("_l", 2, F.size("_l") - 1), lambda p, q: x(q) * y(p) - x(p) * y(q))
+    area = F.aggregate(step, F.lit(0.0), lambda a, v: a + v) / 2
+    xs, ys = F.transform("_l", lambda p: p[0]), F.transform("_l", lambda p: p[1])
+    return ring.groupBy("year", "zone_id", "n_px").agg(
+        F.round(F.sum(area) * 1_000_000 + 1.2345e-6, 3).alias("area"), F.min(F.array_min(xs)).alias("west"), F.max(F.array_max(xs)).alias("east"),
+        F.min(F.array_min(ys)).alias("south"), F.max(F.array_max(ys)).alias("north"))
 
 
 @query("snk5_upsert_section", """
@@ -232,14 +264,37 @@ def _(spark, sf):
     return OS.ways_from_nodes(el.where("type = 'way'"), el.where("type = 'node'"))
 
 
-@query("jsn2_relation_rings")
-def _(spark, sf):
-    """Orders of a customer as the segments of a relation, end nodes by position on a small circle."""
-    o = table(spark, sf, "orders")
+def relation_members(spark, sf):
+    """Segments and points: a customer's orders as members of a relation, on a circle for each role.
+
+    Member i of m goes from place i to place i + 1 of m, by way of the point between them. Members of odd number are
+    stored the other way round. The last outer member of every fifth customer is missing: a chain stays open.
+    """
     k = c("o_orderkey")
-    seg = o.select(c("o_custkey").alias("relation"), F.when(k % 4 == 0, "inner").otherwise("outer").alias("role"), k.alias("seg"),
-                   (k % 3).alias("a"), ((k + 1) % 3).alias("z"), F.lit(2).alias("n"))
-    return OS.relation_rings(seg)
+    o = table(spark, sf, "orders").select(c("o_custkey").alias("relation"), F.when(k % 4 == 0, "inner").otherwise("outer").alias("role"), k.alias("seg")).distinct()
+    g = W.partitionBy("relation", "role")
+    o = o.withColumns({"i": F.row_number().over(g.orderBy("seg")) - 1, "m": F.count(F.lit(1)).over(g)})
+    o = o.where("not (relation % 5 = 0 and role = 'outer' and m > 1 and i = m - 1)")
+    turned, base = c("seg") % 2 == 1, F.when(c("role") == "inner", 0).otherwise(1_000_000)
+    here, there = base + c("i"), base + (c("i") + 1) % c("m")
+    seg = o.select("relation", "role", "seg", F.when(turned, there).otherwise(here).alias("a"), F.when(turned, here).otherwise(there).alias("z"), F.lit(3).alias("n"))
+    r = F.when(c("role") == "inner", 0.01).otherwise(0.1)
+    at = F.posexplode(F.when(turned, F.array(F.lit(1.0), F.lit(0.5), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))).alias("pos", "step")
+    p = o.select("seg", "i", "m", r.alias("r"), at).withColumn("angle", 2 * math.pi * (c("i") + c("step")) / c("m") + 0.1)
+    return seg, p.select("seg", "pos", (c("r") * F.cos("angle")).alias("x"), (c("r") * F.sin("angle")).alias("y"))
+
+
+@query("jsn2_relation_rings", """
+WITH o AS (SELECT relation, role, seg, row_number() OVER (PARTITION BY relation, role ORDER BY seg) - 1 AS i, count(*) OVER (PARTITION BY relation, role) AS m
+  FROM (SELECT DISTINCT o_custkey AS relation, CASE WHEN o_orderkey % 4 = 0 THEN 'inner' ELSE 'outer' END AS role, o_orderkey AS seg FROM orders)),
+g AS (SELECT relation, role, min(seg) AS ring, any_value(m) AS m, relation % 5 = 0 AND role = 'outer' AND any_value(m) > 1 AS cut_ FROM o GROUP BY relation, role),
+r AS (SELECT relation, role, ring, m - CAST(cut_ AS INT) AS n_segments, 2 * (m - CAST(cut_ AS INT)) + 1 AS n_points, NOT cut_ AS closed,
+  CASE WHEN NOT cut_ THEN (CASE WHEN ring % 2 = 1 THEN -1 ELSE 1 END) * m * CASE WHEN role = 'inner' THEN 0.0001 ELSE 0.01 END * sin(pi() / m) END * 1000 AS area FROM g)
+SELECT r.relation, r.role, r.ring, r.n_segments, r.n_points, r.closed, round(r.area, 6) AS area, CASE WHEN r.role = 'inner' THEN w.ring END AS of
+FROM r LEFT JOIN r w ON w.relation = r.relation AND w.role = 'outer' AND w.closed AND w.n_segments > 1""")
+def _(spark, sf):
+    rings = RG.relation_rings(*relation_members(spark, sf))
+    return rings.withColumn("area", c("area") * 1000)
 
 
 @query("jsn3_dedupe_elements", "SELECT key, count(*) AS n FROM ways GROUP BY key", "ways")
@@ -419,9 +474,12 @@ def _(spark, sf):
     """Cells inside the hotspot outlines, rasterised from the rings, must be hot cells again."""
     n = V.side(spark, sf)
     h = hot_labels(spark, sf)
-    pts = G.zone_rings(h).withColumn("pts", F.concat("pts", F.array(c("pts")[0])))
-    v = pts.select((c("year").cast("long") * 1_000_000_000 + c("zone_id")).alias("feature"), "ring", F.posexplode("pts").alias("pos", "p"))
-    v = v.select("feature", "ring", "pos", c("p")[0].cast("double").alias("y"), c("p")[1].cast("double").alias("x"))
+    pieces = hot_rings(spark, sf)[0]
+    corner = [(c("r") + c("dr")).cast("double").alias("y"), (c("c") + c("dc")).cast("double").alias("x")]
+    feature = (c("year").cast("long") * 1_000_000_000 + c("zone_id")).alias("feature")
+    v = pieces.where("turn <> 0").select(feature, "ring", "pos", *corner)
+    first = v.groupBy("feature", "ring").agg(F.min_by(F.struct("y", "x"), "pos").alias("p"), (F.max("pos") + 1).alias("pos"))
+    v = v.unionByName(first.select("feature", "ring", "pos", "p.y", "p.x"))
     inside = SP.rasterize_spans(SP.ring_edges(v), n, n).select(
         F.expr("cast(feature div 1000000000 as int)").alias("year"), "row", F.explode(F.sequence("c_lo", "c_hi")).alias("col"))
     j = inside.join(h.select(*K, F.lit(1).alias("hot")), K, "left")

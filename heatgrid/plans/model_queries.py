@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from heatgrid.operators import models as MM
+from heatgrid.operators import protocol as PR
 from heatgrid.operators import spatial as SP
 from heatgrid.operators import validate as VL
 from heatgrid.operators.ranking import hash_number
@@ -80,7 +83,14 @@ def lobo(spark, sf):
     return VL.fold_rule_predictions(d, d.select("block_id", c("block_id").alias("fold")).distinct())
 
 
-@query("ml1_group_folds")
+_GREEDY = """
+s AS (SELECT block_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, block_id) AS i FROM domain WHERE block_id NOT IN (2, 9, 15, 23) GROUP BY block_id),
+r(i, loads, block_id, fold, n) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], NULL::INTEGER, NULL::INTEGER, NULL::BIGINT
+  UNION ALL SELECT s.i, list_transform(range(1, 6), lambda k: r.loads[k] + CASE WHEN k = list_position(r.loads, list_min(r.loads)) THEN s.n ELSE 0 END),
+    CAST(s.block_id AS INTEGER), CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER), s.n FROM r JOIN s ON s.i = r.i + 1)"""
+
+
+@query("ml1_group_folds", f"WITH RECURSIVE {_GREEDY} SELECT block_id, fold, n FROM r WHERE i > 0", "domain")
 def _(spark, sf):
     d = slim(spark, sf)
     f = VL.group_folds(d, 5, exclude=V.HELD_OUT)
@@ -199,23 +209,9 @@ def _(spark, sf):
     return VL.morans_i(p, SP.knn(p, 8), "e")
 
 
-_RUNS = "[0.0, 0.1, -0.1, 0.2, -0.2]"
 _TIER = "CASE WHEN agree >= 5 THEN '5/5' WHEN agree = 4 THEN '4/5' WHEN agree = 3 THEN '3/5' ELSE '<=2/5' END"
 
 
-@query("ml14_prediction_stability", f"""
-WITH r AS (SELECT *, list_transform({_RUNS}, lambda d: CAST(s >= d - 0.2 AS INT) + CAST(s >= d + 0.3 AS INT)) AS runs FROM classed),
-a AS (SELECT y.*, len(list_filter(runs, lambda x: x = runs[1])) AS agree, len(list_filter(runs, lambda x: (x = 2) = (runs[1] = 2))) AS hot_agree FROM r y)
-SELECT kind, cls, tier, n, round(n * 100.0 / sum(n) OVER (PARTITION BY kind, cls), 6) AS percent FROM (
-  SELECT 'overall' AS kind, -1 AS cls, {_TIER} AS tier, count(*) AS n FROM a GROUP BY 3
-  UNION ALL SELECT 'per_class', runs[1], {_TIER}, count(*) FROM a GROUP BY 2, 3
-  UNION ALL SELECT 'hotspot', -1, {_TIER.replace('agree', 'hot_agree')}, count(*) FROM a GROUP BY 3)""", "classed")
-def _(spark, sf):
-    runs = [(c("s") >= d - 0.2).cast("int") + (c("s") >= d + 0.3).cast("int") for d in (0.0, 0.1, -0.1, 0.2, -0.2)]
-    d = V.classed(spark, sf).select(F.array(*runs).alias("runs"))
-    return MM.agreement_tiers(d)
-
-
 @query("ml16_label_permutation", """
 WITH d AS (SELECT year, row, col, y_true, y_pred, row_number() OVER (PARTITION BY year ORDER BY row, col) AS i,
   row_number() OVER (PARTITION BY year ORDER BY CAST(('0x' || substr(md5('11|' || year || '|' || row || '|' || col), 1, 13))::BIGINT AS DOUBLE), row, col) AS j FROM classed)
@@ -285,14 +281,6 @@ def _(spark, sf):
     return MM.threshold_metrics(p, V.train_rows(d))
 
 
-@query("ml15_grid_ablation")
-def _(spark, sf):
-    d = V.classed(spark, sf)
-    tr, va = V.train_rows(d), d.where(c("block_id").isin(*V.HELD_OUT))
-    grid = [("all", FEATURES, 6, 1), ("no_distance", FEATURES[:5], 6, 1), ("shallow", FEATURES, 3, 1), ("seed_2", FEATURES, 6, 2)]
-    return MM.run_grid(tr, va, grid, "y_true")
-
-
 @query("ml18_nested_cv")
 def _(spark, sf):
     d = V.classed(spark, sf)
@@ -341,3 +329,183 @@ def _(spark, sf):
     t = transitions(spark, sf)
     a = t.groupBy("start_year").agg(F.min("delta_lst").alias("lo"), F.max("delta_lst").alias("hi"), F.count_if(F.abs("delta_lst") > 10).alias("n_extreme"))
     return a.join(quantile_columns(t, ["start_year"], {"delta_lst": ["p05", "median", "p95"]}, [0.05, 0.5, 0.95]), "start_year")
+
+
+# --- the protocols with estimators ------------------------------------------------------------------
+# A straight line is the estimator whose fit SQL can repeat: those rows check the whole driver. Forests go the same way.
+
+def _line_sql(train: str, val: str, key: str, x: str = "ndvi", by: tuple[str, ...] = ("year",), more: tuple[str, ...] = ()) -> str:
+    """CTEs ending in `oof`: a line fitted per key, classes by the training rows' terciles of each group."""
+    fit, cut_ = ", ".join((key, *more)), ", ".join((key, *more, *by))
+    on = " AND ".join(f"d.{k} = lr.{k}" for k in (key, *more))
+    on2 = " AND ".join(f"d.{k} = th.{k}" for k in (key, *more, *by))
+    return f"""
+lr AS (SELECT {fit}, regr_slope(lst_c, {x}) AS b1, regr_intercept(lst_c, {x}) AS b0 FROM {train} GROUP BY {fit}),
+th AS (SELECT {cut_}, quantile_cont(lst_true, 1.0/3) AS t1, quantile_cont(lst_true, 2.0/3) AS t2 FROM (SELECT *, lst_c AS lst_true FROM {train}) GROUP BY {cut_}),
+oof AS (SELECT d.*, CAST(lst_c >= t1 AS INT) + CAST(lst_c >= t2 AS INT) AS y_true, CAST(b0 + b1 * {x} >= t1 AS INT) + CAST(b0 + b1 * {x} >= t2 AS INT) AS y_pred
+  FROM {val} d JOIN lr ON {on} JOIN th ON {on2})"""
+
+
+_METRICS = ("accuracy, balanced_accuracy, macro_precision, macro_recall, macro_f1, weighted_precision, weighted_recall, weighted_f1, kappa")
+
+
+def _scores_sql(key: str, keys: str, train: str = "dt", val: str = "dv") -> str:
+    return f"""SELECT k.{key}, coalesce(a.n, 0) AS n_train, coalesce(b.n, 0) AS n_validation, CASE WHEN a.n > 0 AND b.n > 0 THEN 'ok' ELSE 'empty' END AS status, {_METRICS}
+FROM ({keys}) k LEFT JOIN (SELECT {key}, count(*) AS n FROM {train} GROUP BY {key}) a ON a.{key} = k.{key} LEFT JOIN (SELECT {key}, count(*) AS n FROM {val} GROUP BY {key}) b ON b.{key} = k.{key}
+LEFT JOIN ({_metrics_sql('oof', [key], per_class=False)}) m ON m.{key} = k.{key}"""
+
+
+def line(features=("ndvi",)):
+    return PR.thresholded(PR.estimator_fit(LinearRegression(), features, "lst_c"))
+
+
+def forest(depth: int = 6, seed: int = 42, features=None, leaf: int = 2, trees: int = 20):
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+    return PR.estimator_fit(rf, features or FEATURES)
+
+
+def cv_input(spark, sf):
+    d = V.domain(spark, sf)
+    return d.join(F.broadcast(pinned_folds(d)), "block_id")
+
+
+BLOCKS = range(25)
+YEAR_PAIRS = [(a, b) for a in range(2022, 2027) for b in range(2022, 2027) if abs(a - b) in (1, 4)]
+FRACTIONS = (0.2, 0.6, 1.0)
+
+
+def prefixes(d):
+    blocks = [r[0] for r in V.train_rows(d).select("block_id").distinct().collect()]  # at most 25 by the grid's rule
+    return PR.prefix_splits(PR.block_prefixes(blocks, FRACTIONS), V.HELD_OUT)
+
+
+def protocol(name, sql, ctes, key, build):
+    """Two queries of one protocol: with a line, checked in SQL, and with a forest."""
+    query(f"{name}_line", sql, ctes)(lambda spark, sf: PR.scores(build(spark, sf, line(), ["ndvi"]), key))
+    query(f"{name}_forest")(lambda spark, sf: PR.scores(build(spark, sf, forest(), FEATURES), key))
+
+
+protocol("ml2_spatial_cv", f"WITH {_FOLDED}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT unnest(range(0, 5)) AS fold')}", "domain", "fold",
+         lambda spark, sf, fit, cols: PR.run(cv_input(spark, sf), PR.group_splits("fold", range(5)), fit, [*cols, "fold"]))
+protocol("ml3_lobo", f"WITH {_LOBO}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT unnest(range(0, 25)) AS fold')}", "domain", "fold",
+         lambda spark, sf, fit, cols: PR.run(V.domain(spark, sf), PR.group_splits("block_id", BLOCKS), fit, cols))
+protocol("ml4_locked_holdout", f"WITH {_HELD}, dt AS (SELECT *, 'holdout' AS fold FROM tr), dv AS (SELECT *, 'holdout' AS fold FROM va), {_line_sql('dt', 'dv', 'fold')} "
+         f"{_scores_sql('fold', chr(39).join(('SELECT ', 'holdout', ' AS fold')))}", "domain", "fold",
+         lambda spark, sf, fit, cols: PR.run(V.domain(spark, sf), PR.holdout_split("block_id", V.HELD_OUT), fit, cols))
+protocol("ml9_temporal_holdout", f"""WITH yp AS (SELECT *, train_year || '-' || test_year AS fold FROM {_YP}), dt AS (SELECT d.*, fold FROM domain d JOIN yp ON d.year = train_year),
+dv AS (SELECT d.*, fold FROM domain d JOIN yp ON d.year = test_year), {_line_sql('dt', 'dv', 'fold', by=())} {_scores_sql('fold', 'SELECT fold FROM yp')}""", "domain", "fold",
+         lambda spark, sf, fit, cols: PR.run(V.domain(spark, sf), PR.year_splits(YEAR_PAIRS), fit, cols, by=()))
+protocol("ml17_learning_curve", f"""WITH tb AS (SELECT block_id, dense_rank() OVER (ORDER BY block_id) AS k FROM (SELECT DISTINCT block_id FROM domain WHERE block_id NOT IN (2, 9, 15, 23))),
+fr AS (SELECT * FROM (VALUES (0.2::DOUBLE), (0.6::DOUBLE), (1.0::DOUBLE)) t(fraction)), nb AS (SELECT count(*) AS m FROM tb),
+dt AS (SELECT d.*, fraction FROM domain d JOIN tb ON tb.block_id = d.block_id, fr, nb WHERE k <= greatest(1, round_even(fraction * m, 0))),
+dv AS (SELECT d.*, fraction FROM domain d, fr WHERE block_id IN (2, 9, 15, 23)), {_line_sql('dt', 'dv', 'fraction')} {_scores_sql('fraction', 'SELECT fraction FROM fr')}""", "domain", "fraction",
+         lambda spark, sf, fit, cols: PR.run(V.domain(spark, sf), prefixes(V.domain(spark, sf)), fit, cols, key="fraction"))
+
+
+@query("ml9_leave_one_transition_out", """
+WITH f AS (SELECT DISTINCT start_year AS fold FROM transitions), lr AS (SELECT fold, count(*) AS n_train, regr_slope(delta_lst, vegetation_change) AS b1, regr_intercept(delta_lst, vegetation_change) AS b0
+  FROM transitions t JOIN f ON t.start_year <> f.fold GROUP BY fold), e AS (SELECT lr.*, delta_lst, delta_lst - (b0 + b1 * vegetation_change) AS e FROM transitions t JOIN lr ON t.start_year = lr.fold)
+SELECT fold, any_value(n_train) AS n_train, count(*) AS n_validation, 'ok' AS status, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - sum(e * e) / (var_pop(delta_lst) * count(*)), 6) AS r2,
+  round(avg(e), 6) AS residual_mean, round(stddev_pop(e), 6) AS residual_std, round(avg(CAST(abs(e) > 2 AS INT)), 6) AS share_over_2 FROM e GROUP BY fold""", "transitions")
+def _(spark, sf):
+    """Every transition predicted by a line through all others."""
+    t = transitions(spark, sf)
+    splits = [PR.Split(y, c("start_year") != y, c("start_year") == y) for y in range(2022, 2026)]
+    runs = PR.run(t, splits, PR.estimator_fit(LinearRegression(), ["vegetation_change"], "delta_lst"), ["vegetation_change"],
+                  keep=("start_year", "row", "col", "block_id", "delta_lst"), value=None)
+    return PR.scores(runs, regression="delta_lst")
+
+
+@query("ml10_ordinal_fits")
+def _(spark, sf):
+    """Real probabilities of reaching each class: one binary forest per threshold, on the held-out blocks."""
+    rf = RandomForestClassifier(numTrees=20, maxDepth=6, minInstancesPerNode=2, seed=42)
+    runs = PR.run(V.domain(spark, sf), PR.holdout_split("block_id", V.HELD_OUT), PR.ordinal_fit(rf, FEATURES), FEATURES)
+    return runs.predictions.select(*K, "y_true", "y_pred", *[c("prob")[i].alias(f"q{i}") for i in range(3)])
+
+
+SEEDS = (11, 12, 13)
+
+
+def _refit_sql(permuted: str) -> str:
+    """Scores per fold and variant when `permuted` (lst_c or ndvi) is dealt out anew among a fold's training rows of a year."""
+    other = "ndvi" if permuted == "lst_c" else "lst_c"
+    order = "CAST(('0x' || substr(md5(seed || '|' || year || '|' || row || '|' || col), 1, 13))::BIGINT AS DOUBLE)"
+    return f"""WITH {_FOLDED}, sd AS (SELECT * FROM (VALUES {', '.join(f"('seed_{s}', {s})" for s in SEEDS)}) t(variant, seed)),
+dn AS (SELECT fold, year, variant, lst_c, ndvi, lst_c AS lst_true, row_number() OVER (PARTITION BY fold, year, variant ORDER BY row, col) AS i,
+  row_number() OVER (PARTITION BY fold, year, variant ORDER BY {order}, row, col) AS j FROM dt, sd),
+tp AS (SELECT a.fold, a.year, a.variant, b.{permuted}, a.{other} FROM dn a JOIN dn b ON a.fold = b.fold AND a.year = b.year AND a.variant = b.variant AND a.i = b.j
+  UNION ALL SELECT fold, year, 'as_is', {permuted}, {other} FROM dt),
+lr AS (SELECT fold, variant, regr_slope(lst_c, ndvi) AS b1, regr_intercept(lst_c, ndvi) AS b0 FROM tp GROUP BY fold, variant),
+th AS (SELECT fold, year, quantile_cont(lst_c, 1.0/3) AS t1, quantile_cont(lst_c, 2.0/3) AS t2 FROM dt GROUP BY fold, year),
+oof AS (SELECT d.fold, variant, CAST(lst_c >= t1 AS INT) + CAST(lst_c >= t2 AS INT) AS y_true, CAST(b0 + b1 * ndvi >= t1 AS INT) + CAST(b0 + b1 * ndvi >= t2 AS INT) AS y_pred
+  FROM dv d JOIN lr ON lr.fold = d.fold JOIN th ON th.fold = d.fold AND th.year = d.year)
+SELECT fold, variant, accuracy, balanced_accuracy, macro_f1 FROM ({_metrics_sql('oof', ['fold', 'variant'], per_class=False)})"""
+
+
+def _refits(spark, sf, column, fit, cols):
+    variants = {"as_is": None} | {f"seed_{s}": PR.permuted(column, s) for s in SEEDS}
+    runs = PR.run(cv_input(spark, sf), PR.group_splits("fold", range(5)), fit, [*cols, "fold"], variants=variants)
+    return VL.class_metrics(runs.predictions, ["fold", "variant"], per_class=False)
+
+
+@query("ml16_label_refit", _refit_sql("lst_c"), "domain")
+def _(spark, sf):
+    """Training labels dealt out anew and the model fitted again; validation labels stay."""
+    return _refits(spark, sf, "lst_c", line(), ["ndvi"]).select("fold", "variant", "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query("ml16_feature_refit", _refit_sql("ndvi"), "domain")
+def _(spark, sf):
+    """A training feature dealt out anew and the model fitted again; validation features stay."""
+    return _refits(spark, sf, "ndvi", line(), ["ndvi"]).select("fold", "variant", "accuracy", "balanced_accuracy", "macro_f1")
+
+
+@query("ml16_label_refit_forest")
+def _(spark, sf):
+    """Where the forest's score stands among those of forests fitted to permuted labels."""
+    return PR.null_position(_refits(spark, sf, "y_true", forest(), FEATURES), "macro_f1", ["fold"])
+
+
+LINES = ("ndvi", "ndbi", "ndmi", "bsi", "vegetation_cover")
+
+
+def stability(runs, first, names):
+    """Tiers of agreement of stored runs, put side by side on the cell by one groupBy."""
+    order = F.create_map(*[F.lit(x) for i, m in enumerate([first, *[n for n in names if n != first]]) for x in (m, i)])
+    cells = runs.predictions.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct(order[c("model")].alias("i"), "y_pred"))).alias("_r"))
+    return MM.agreement_tiers(cells.select(F.transform("_r", lambda x: x["y_pred"]).alias("runs")))
+
+
+@query("ml14_prediction_stability", f"""
+WITH {_HELD}, th AS (SELECT year, quantile_cont(lst_c, 1.0/3) AS t1, quantile_cont(lst_c, 2.0/3) AS t2 FROM tr GROUP BY year),
+lr AS (SELECT {', '.join(f'regr_slope(lst_c, {x}) AS b_{x}, regr_intercept(lst_c, {x}) AS a_{x}' for x in LINES)} FROM tr),
+r AS (SELECT [{', '.join(f'CAST(a_{x} + b_{x} * {x} >= t1 AS INT) + CAST(a_{x} + b_{x} * {x} >= t2 AS INT)' for x in LINES)}] AS runs FROM va JOIN th ON th.year = va.year, lr),
+a AS (SELECT y.*, len(list_filter(runs, lambda x: x = runs[1])) AS agree, len(list_filter(runs, lambda x: (x = 2) = (runs[1] = 2))) AS hot_agree FROM r y)
+SELECT kind, cls, tier, n, round(n * 100.0 / sum(n) OVER (PARTITION BY kind, cls), 6) AS percent FROM (
+  SELECT 'overall' AS kind, -1 AS cls, {{_TIER}} AS tier, count(*) AS n FROM a GROUP BY 3
+  UNION ALL SELECT 'per_class', runs[1], {{_TIER}}, count(*) FROM a GROUP BY 2, 3
+  UNION ALL SELECT 'hotspot', -1, {{_HOT}}, count(*) FROM a GROUP BY 3)""".replace("{_TIER}", _TIER).replace("{_HOT}", _TIER.replace("agree", "hot_agree")), "domain")
+def _(spark, sf):
+    """Five real runs, one line per predictor, predicted on the held-out blocks."""
+    fits = {x: line((x,)) for x in LINES}
+    return stability(PR.run(V.domain(spark, sf), PR.holdout_split("block_id", V.HELD_OUT), fits, LINES), LINES[0], LINES)
+
+
+@query("ml14_seed_stability")
+def _(spark, sf):
+    """Five forests that differ in nothing but their seed."""
+    fits = {f"seed_{s}": forest(seed=s) for s in (42, 7, 123, 2024, 99)}
+    return stability(PR.run(V.domain(spark, sf), PR.holdout_split("block_id", V.HELD_OUT), fits, FEATURES), "seed_42", list(fits))
+
+
+@query("ml15_grid_ablation")
+def _(spark, sf):
+    """Seeds, regularisation, feature sets and left-out training years, each a fit against the same held-out blocks."""
+    d, split = V.domain(spark, sf), PR.holdout_split("block_id", V.HELD_OUT)
+    fits = {"base": forest(), "seed_7": forest(seed=7), "seed_123": forest(seed=123), "shallow": forest(depth=3), "deep": forest(depth=10),
+            "leaf_20": forest(leaf=20), "no_distance": forest(features=FEATURES[:5]), "distance_only": forest(features=FEATURES[5:])}
+    grid = VL.class_metrics(PR.run(d, split, fits, FEATURES).predictions, ["model", "variant"], per_class=False)
+    years = {f"without_{y}": PR.without(y) for y in range(2022, 2027)}
+    ablated = VL.class_metrics(PR.run(d, split, {"base": forest()}, FEATURES, variants=years).predictions, ["model", "variant"], per_class=False)
+    return grid.unionByName(ablated)

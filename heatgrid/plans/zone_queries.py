@@ -8,6 +8,7 @@ from heatgrid.functions import cells as C
 from heatgrid.functions import scores as S
 from heatgrid.operators import components as G
 from heatgrid.operators import ranking as R
+from heatgrid.operators import rings as RG
 from heatgrid.operators.composite import mode_composite
 from heatgrid.operators.quantiles import exact_quantiles, grouped_quantiles, quantile_columns, ranked
 from heatgrid.plans import views as V
@@ -292,6 +293,12 @@ def _(spark, sf):
         F.first("n_px").alias("n_px"), F.min("zone_id").alias("zone_id"), (F.count_distinct("zone_id") == 1).alias("in_one_zone"))
 
 
+def hot_rings(spark, sf, tile=16):
+    """Outline pieces and rings of the hotspots; small tiles, so that rings cross them on the check's small grid too."""
+    p = V.product(spark, sf, "hot_pieces", lambda: RG.outline_pieces(hot_labels(spark, sf), tile=tile))
+    return p, V.product(spark, sf, "hot_rings", lambda: RG.zone_rings(p))
+
+
 _SIDES = " UNION ALL ".join(f"SELECT year, zone_id, row + {a} AS r1, col + {b} AS c1, row + {d} AS r2, col + {e} AS c2 FROM hot_cells"
                             for a, b, d, e in ((0, 0, 0, 1), (1, 0, 1, 1), (0, 0, 1, 0), (0, 1, 1, 1)))
 
@@ -301,10 +308,23 @@ def _(spark, sf):
     return G.zone_edges(hot_labels(spark, sf))
 
 
-@query("grf9_zone_rings", f"""SELECT year, zone_id, CAST(count(*) AS BIGINT) AS perimeter FROM (
-  SELECT year, zone_id, r1, c1, r2, c2 FROM ({_SIDES}) GROUP BY ALL HAVING count(*) = 1) GROUP BY year, zone_id""", "hot_cells")
+_QUADS = """
+q AS (SELECT year, zone_id, r, c, count(*) AS k, count(*) = 2 AND count(DISTINCT dr) = 2 AND count(DISTINCT dc) = 2 AS diagonal
+  FROM (SELECT year, zone_id, row + dr AS r, col + dc AS c, dr, dc FROM hot_cells, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dr, dc)) GROUP BY ALL)"""
+
+
+@query("grf9_zone_rings", f"""WITH {_QUADS}, z AS (SELECT year, zone_id, count(*) AS area FROM hot_cells GROUP BY year, zone_id),
+p AS (SELECT year, zone_id, count(*) AS perimeter FROM (SELECT year, zone_id, r1, c1, r2, c2 FROM ({_SIDES}) GROUP BY ALL HAVING count(*) = 1) GROUP BY year, zone_id),
+e AS (SELECT year, zone_id, count(*) FILTER (WHERE k = 1) AS q1, count(*) FILTER (WHERE k = 3) AS q3, count(*) FILTER (WHERE diagonal) AS qd FROM q GROUP BY year, zone_id)
+SELECT z.year, z.zone_id, area, perimeter, q1 + q3 + 2 * qd AS n_corners, CAST((q1 - q3 + 2 * qd) / 4 AS BIGINT) AS outer_less_holes, 0::BIGINT AS n_stray
+FROM z JOIN p ON p.year = z.year AND p.zone_id = z.zone_id JOIN e ON e.year = z.year AND e.zone_id = z.zone_id""", "hot_cells")
 def _(spark, sf):
-    return G.zone_rings(hot_labels(spark, sf)).groupBy("year", "zone_id").agg(F.sum("perimeter").alias("perimeter"))
+    """Rings of every zone: their signed areas add up to the zone's cells, corners and rings to what the cells round each corner say."""
+    r = hot_rings(spark, sf)[1]
+    owner = r.where("outer").select("year", "zone_id", c("ring").alias("of"), F.lit(True).alias("_there"))
+    return r.join(owner, ["year", "zone_id", "of"], "left").groupBy("year", "zone_id").agg(
+        F.sum("area").alias("area"), F.sum("perimeter").alias("perimeter"), F.sum("n_corners").alias("n_corners"),
+        (F.count_if("outer") - F.count_if(~c("outer"))).alias("outer_less_holes"), F.count_if(~c("outer") & c("_there").isNull()).alias("n_stray"))
 
 
 @query("grf10_zone_geometry_check", """

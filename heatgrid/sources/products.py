@@ -70,13 +70,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     w.format(fmt).save(path)
 
 
-def geojson_features(zones: DataFrame, rings: DataFrame, keys: Sequence[str], props: Sequence[str]) -> DataFrame:
-    """One GeoJSON feature text per zone, rings as polygon coordinates."""
-    g = rings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ring", "pts"))).alias("_r"))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.transform("_r", lambda r: F.concat(
-        r["pts"], F.array(r["pts"][0]))).alias("coordinates"))
+def geojson_features(zones: DataFrame, polygons: DataFrame, keys: Sequence[str], props: Sequence[str]) -> DataFrame:
+    """One GeoJSON feature text per zone; `polygons` holds, per zone, outer rings each followed by its holes, as x and y."""
+    geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(*keys, *props).alias("properties"), geometry.alias("geometry"))
-    return zones.join(g, list(keys)).select(*keys, F.to_json(feature).alias("feature"))
+    return zones.join(polygons, list(keys)).select(*keys, F.to_json(feature).alias("feature"))
 
 
 def result_slice(table: DataFrame, year: int, scenario: str) -> DataFrame:

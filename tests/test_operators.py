@@ -128,14 +128,6 @@ def test_long_chain_graph(spark):
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == 100
 
 
-def test_rings_of_a_zone_with_a_hole_and_a_diagonal_touch(spark):
-    cells = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)] + [(3, 3)]
-    df = spark.createDataFrame([(1, 1, r, c) for r, c in cells], "year int, zone_id int, row int, col int")
-    got = sorted(r["perimeter"] for r in G.zone_rings(df).collect())
-    assert got == [4, 4, 12]
-    assert G.zone_edges(df).count() == 20
-
-
 def test_distance_is_exact(spark):
     rng = np.random.default_rng(7)
     on = rng.random((20, 33)) < 0.03
