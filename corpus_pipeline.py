@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir)).df
+        stored = kept(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.discard()
+        docs, before = stored.df, stored
     return STAGES[-1][1](spark, docs, sf_dir)
