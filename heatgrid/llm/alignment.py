@@ -2,9 +2,9 @@
 
 Texts are cut before a blank that follows a character which is no white space; neither vocabulary has a
 token over such a place (checked when a piece model is loaded), so the tokens of the pieces are the tokens
-of the text. Equal pieces of a task are encoded once.
+of the text. A task encodes and aligns equal pieces once: the pieces it has not met yet make one text.
 
-Alignment is diagonal run skipping over the two arrays of token ends. At the current shift between both
+Alignment is diagonal run skipping over the two arrays of token ends of that text. At the current shift between both
 indices, exponential probing compares ever longer slices and jumps the stretch in which tokens end
 together one by one; the first difference is an irregular group, settled locally by stepping whichever
 side ends first until both end together, which also gives the overlapping pairs; the shift follows from
@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from heatgrid.llm.shared import kept
 CUT = re.compile(r"(?<=\S)(?= )")
 CHUNK = 1 << 19
 MEMO_PIECES = 150_000
-MEMO_CHARS = 40
+MEMO_CHARS = 1 << 22
 SHIFT = 24
 MAX_PAIRS = 1 << 22
 FLUSH = 1 << 21
@@ -70,12 +69,12 @@ class ByteLevel:
         for piece, i in vocab.items():
             self.bytes[i] = bytes(place[c] for c in piece) if all(c in place for c in piece) else piece.encode()
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class PieceModel:
-    """A sentencepiece `.model`; it puts a blank before what it encodes, so pieces go in without theirs."""
+    """A sentencepiece `.model`; it puts a blank before what it encodes, so texts go in without theirs."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -88,55 +87,9 @@ class PieceModel:
         self.blank = [self.model.piece_to_id("▁")]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        """Each piece begins with one blank that the model adds itself."""
-        return [ids if p != " " else self.blank for p, ids in zip(pieces, self.model.encode([p[1:] for p in pieces], num_threads=1))]
-
-
-class Pair:
-    """Both tokenizers and the pieces a task has met: piece -> (ids of A, ids of B), None if bytes are lost."""
-
-    def __init__(self, a: str, b: str) -> None:
-        self.a, self.b = ByteLevel(a), PieceModel(b)
-        self.len_a = np.array([len(x) for x in self.a.bytes], np.int64)
-        self.len_b = np.array([len(x) for x in self.b.bytes], np.int64)
-        self.memo: dict[str, tuple[list[int], list[int]] | None] = {}
-        self.text: dict[int, str] = {}
-
-    def learn(self, cut: list[list[str]]) -> list[str]:
-        """Encode the pieces not met yet; returns those to forget after use."""
-        memo = self.memo
-        new = list({p for pieces in cut for p in pieces if p not in memo})
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-            new = list({p for pieces in cut for p in pieces})
-        for p, x, y in zip(new, self.a.encode(new), self.b.encode(new)):
-            raw = p.encode()
-            same = b"".join([self.a.bytes[i] for i in x]) == raw and b"".join([self.b.bytes[i] for i in y]) == raw
-            memo[p] = (x, y) if same else None
-        return [p for p in new if len(p) > MEMO_CHARS]
-
-    def group_text(self, keys: np.ndarray) -> list[str]:
-        """`a|b` of one-to-one groups."""
-        known, out = self.text, []
-        for k in keys.tolist():
-            s = known.get(k)
-            if s is None:
-                if len(known) > MEMO_PIECES:
-                    known.clear()
-                s = known[k] = f"{k >> SHIFT}|{k & ((1 << SHIFT) - 1)}"
-            out.append(s)
-        return out
-
-
-PAIRS: dict[tuple[str, str], Pair] = {}
-
-
-def tokenizers_of(a: str, b: str) -> Pair:
-    """Once per Python worker."""
-    if (a, b) not in PAIRS:
-        PAIRS[a, b] = Pair(a, b)
-    return PAIRS[a, b]
+    def encode(self, text: str) -> list[int]:
+        """`text` begins with the blank that the model adds itself."""
+        return self.model.encode(text[1:], num_threads=1) if text != " " else self.blank
 
 
 # --- diagonal run skipping ----------------------------------------------------------------------
@@ -186,48 +139,121 @@ def diagonal(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], li
     return runs, groups, links
 
 
-def aligned(pair: Pair, parts: list[list[str]]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
+class Pieces:
+    """The pieces a task has met, with their alignment. A cache: emptied when large, before a batch.
+
+    New pieces are put together to one text, which is encoded by both tokenizers and aligned as a whole.
+    """
+
+    def __init__(self, a: str, b: str) -> None:
+        self.a, self.b = ByteLevel(a), PieceModel(b)
+        self.len_a = np.array([len(x) for x in self.a.bytes], np.int64)
+        self.len_b = np.array([len(x) for x in self.b.bytes], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}  # piece -> number; -1 if its bytes are lost
+        self.texts: list[str] = []
+        self.chars = 0
+        self.sizes: list[np.ndarray] = []  # rows of (tokens of A, tokens of B, groups, links)
+        self.keys: list[np.ndarray] = []
+
+    def learn(self, cut: list[list[str]]) -> None:
+        if len(self.place) > MEMO_PIECES or self.chars > MEMO_CHARS:
+            self.clear()
+        new = list(dict.fromkeys([p for pieces in cut for p in pieces if p not in self.place]))
+        self.chars += sum(map(len, new))
+        # a piece that ends with white space would not end where the next begins
+        inner = [p for p in new if not p[-1].isspace()]
+        ends = [p for p in new if p[-1].isspace()]
+        for some in ([inner] if inner else []) + [[p] for p in ends]:
+            if not self.add(some):
+                for p in some:  # one of them loses bytes
+                    if len(some) == 1 or not self.add([p]):
+                        self.place[p] = -1
+
+    def add(self, pieces: list[str]) -> bool:
+        """Encode and align pieces whose texts can stand one after the other; False if bytes are lost."""
+        text = "".join(pieces)
+        raw = text.encode()
+        ia, ib = self.a.encode(text), self.b.encode(text)
+        if b"".join(map(self.b.bytes.__getitem__, ib)) != raw or b"".join(map(self.a.bytes.__getitem__, ia)) != raw:
+            return False
+        fa, fb = np.array(ia, np.int64), np.array(ib, np.int64)
+        ends_a, ends_b = np.cumsum(self.len_a[fa]), np.cumsum(self.len_b[fb])
+        to = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces])
+        to_a, to_b = np.searchsorted(ends_a, to), np.searchsorted(ends_b, to)
+        if (ends_a[to_a] != to).any() or (ends_b[to_b] != to).any():
+            raise ValueError("a token reaches over a blank")
+        runs, groups, links = diagonal(ends_a.tolist(), ends_b.tolist())
+        r = np.array(runs, np.int64).reshape(-1, 3)
+        g = np.array(groups, np.int64).reshape(-1, 4)
+        m = np.array(links, np.int64).reshape(-1, 2)
+        ri, rj = stretched(r[:, 0], r[:, 2]), stretched(r[:, 1], r[:, 2])
+        keys = np.concatenate([fa[ri] << SHIFT | fb[rj], fa[m[:, 0]] << SHIFT | fb[m[:, 1]]])
+        at = np.concatenate([ri, m[:, 0]])
+        order = np.argsort(at, kind="stable")
+        at, keys = at[order], keys[order]
+        text_of, first = [], []  # of every group, in order: runs and irregular groups take turns
+        odd = iter(groups)
+        after = next(odd, None)
+        for i, j, n in runs:
+            while after is not None and after[0] < i:
+                text_of.append(",".join(map(str, ia[after[0]:after[1]])) + "|" + ",".join(map(str, ib[after[2]:after[3]])))
+                after = next(odd, None)
+            text_of += [f"{x}|{y}" for x, y in zip(ia[i:i + n], ib[j:j + n])]
+        while after is not None:
+            text_of.append(",".join(map(str, ia[after[0]:after[1]])) + "|" + ",".join(map(str, ib[after[2]:after[3]])))
+            after = next(odd, None)
+        first = np.sort(np.concatenate([ri, g[:, 0]]))  # first token of A of every group
+        group_to, link_to = np.searchsorted(first, to_a + 1).tolist(), np.searchsorted(at, to_a + 1)
+        start = len(self.texts)
+        g0 = 0
+        for g1 in group_to:
+            self.texts.append(";".join(text_of[g0:g1]))
+            g0 = g1
+        self.sizes.append(np.stack([np.diff(to_a, prepend=-1), np.diff(to_b, prepend=-1), np.diff(group_to, prepend=0), np.diff(link_to, prepend=0)], 1))
+        self.keys.append(keys)
+        self.place.update(zip(pieces, range(start, start + len(pieces))))
+        return True
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sizes, where each piece's keys begin, keys)."""
+        if len(self.sizes) > 1:
+            self.sizes, self.keys = [np.concatenate(self.sizes)], [np.concatenate(self.keys)]
+        sizes = self.sizes[0] if self.sizes else np.zeros((0, 4), np.int64)
+        return sizes, np.cumsum(sizes[:, 3]) - sizes[:, 3], self.keys[0] if self.keys else np.zeros(0, np.int64)
+
+
+PIECES: dict[tuple[str, str], Pieces] = {}
+
+
+def tokenizers_of(a: str, b: str) -> Pieces:
+    """Once per Python worker."""
+    if (a, b) not in PIECES:
+        PIECES[a, b] = Pieces(a, b)
+    return PIECES[a, b]
+
+
+def stretched(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. (n[0] of them), start[1], .."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def aligned(known: Pieces, parts: list[list[str]]) -> list[tuple[int, int, int, str, np.ndarray] | None]:
     """(tokens of A, tokens of B, groups, groups as text, keys of all links) of each list of pieces; None if bytes are lost."""
-    forget = pair.learn(parts)
-    memo = pair.memo
+    known.learn(parts)
+    sizes, begin, keys = known.tables()
+    place, texts = known.place, known.texts
     out: list = [None] * len(parts)
-    entries = [[memo[p] for p in pieces] for pieces in parts]
-    good = [k for k, e in enumerate(entries) if e and None not in e]
-    for p in forget:
-        memo.pop(p, None)
-    ids_a = [list(chain.from_iterable([e[0] for e in entries[k]])) for k in good]
-    ids_b = [list(chain.from_iterable([e[1] for e in entries[k]])) for k in good]
-    if not good:
-        return out
-    na, nb = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-    fa, fb = np.array(list(chain.from_iterable(ids_a)), np.int64), np.array(list(chain.from_iterable(ids_b)), np.int64)
-    runs, groups, links = diagonal(np.cumsum(pair.len_a[fa]).tolist(), np.cumsum(pair.len_b[fb]).tolist())
-
-    def stretched(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-
-    r = np.array(runs, np.int64).reshape(-1, 3)
-    g = np.array(groups, np.int64).reshape(-1, 4)
-    m = np.array(links, np.int64).reshape(-1, 2)
-    ri, rj = stretched(r[:, 0], r[:, 2]), stretched(r[:, 1], r[:, 2])
-    straight = fa[ri] << SHIFT | fb[rj]
-    texts = pair.group_text(straight)
-    sa, sb = list(map(str, fa.tolist())) if len(g) else [], list(map(str, fb.tolist())) if len(g) else []
-    odd = [",".join(sa[i:i2]) + "|" + ",".join(sb[j:j2]) for i, i2, j, j2 in groups]
-    first = np.concatenate([ri, g[:, 0]])  # first token of A of every group
-    order = np.argsort(first, kind="stable")
-    texts = np.array(texts + odd, object)[order]
-    first = first[order]
-    at = np.concatenate([ri, m[:, 0]])
-    keys = np.concatenate([straight, fa[m[:, 0]] << SHIFT | fb[m[:, 1]]])
-    order = np.argsort(at, kind="stable")
-    at, keys = at[order], keys[order]
-    to = np.cumsum(na)
-    group_to, link_to = np.searchsorted(first, to), np.searchsorted(at, to)
-    g0 = l0 = 0
-    for k, x, y, g1, l1 in zip(good, na.tolist(), nb.tolist(), group_to.tolist(), link_to.tolist()):
-        out[k] = (x, y, g1 - g0, ";".join(texts[g0:g1].tolist()), keys[l0:l1])
-        g0, l0 = g1, l1
+    for k, pieces in enumerate(parts):
+        where = [place[p] for p in pieces]
+        if not where or min(where) < 0:
+            continue
+        at = np.array(where)
+        mine = sizes[at]
+        a, b, g, _ = mine.sum(0).tolist()
+        out[k] = (a, b, g, ";".join([texts[i] for i in where]), keys[stretched(begin[at], mine[:, 3])])
     return out
 
 
@@ -264,7 +290,7 @@ def portions(pieces: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def whole(pair: Pair, pieces: list[str]) -> tuple[int, int, int, str, np.ndarray] | None:
+def whole(pair: Pieces, pieces: list[str]) -> tuple[int, int, int, str, np.ndarray] | None:
     """A long text, portion by portion."""
     got = []
     for part in portions(pieces):

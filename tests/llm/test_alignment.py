@@ -20,7 +20,7 @@ def texts():
     words = ["the", "committee", "überraschung", "naïve", "1,234.5", "x", "don't", "日本語", "🙂🙂", "<|endoftext|>", "</s>", "a\tb", "\n\n", "  ",
              "é", "\x00", " ", "ZZZZ", "antidisestablishmentarianism", "foo_bar()", "...", "​", "\r\n"]
     out = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
-    out += [out[0], out[1], "", None, " ", "   ", "trailing ", "\n", "has ▁ in it", "a" * 5000, "word " * 30_000, " lead", "end  "]
+    out += [out[0], out[1], "", None, " ", "   ", "trailing ", "two trailing  ", "\n", "has ▁ in it", "a" * 5000, "word " * 30_000, " lead", "end  "]
     return out
 
 
