@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,16 +72,19 @@ def duplicate_audit(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
     return out
 
 
-def exact_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], tol: float = 0.0) -> DataFrame:
-    """Rows on one side only, and rows whose values differ by more than `tol`, per column."""
+def exact_compare(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str], tol: float | Mapping[str, float] = 0.0, by: Sequence[str] = (),
+) -> DataFrame:
+    """Rows on one side only, and rows whose values differ by more than `tol` (one, or one per column), per column and group."""
+    tols = dict(tol) if isinstance(tol, Mapping) else dict.fromkeys(values, tol)
     x = a.select(*keys, F.lit(1).alias("_a"), *[F.col(v).alias(f"a_{v}") for v in values])
     y = b.select(*keys, F.lit(1).alias("_b"), *[F.col(v).alias(f"b_{v}") for v in values])
     j = x.join(y, list(keys), "full_outer")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     same = {
-        v: F.coalesce(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tol, F.col(f"a_{v}").isNull() & F.col(f"b_{v}").isNull())
+        v: F.coalesce(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tols[v], F.col(f"a_{v}").isNull() & F.col(f"b_{v}").isNull())
         for v in values}
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"),
         *[F.count_if(both & ~same[v]).alias(f"differ_{v}") for v in values])
 

@@ -104,11 +104,10 @@ def _(spark, sf):
 
 
 @query("cls9_priority_tier", """
-SELECT year, CASE WHEN cls >= 4 THEN 3 WHEN cls = 3 THEN 2 WHEN cls = 2 THEN 1 ELSE 0 END AS tier, count(*) AS n
-FROM scenario_cells WHERE scenario = 'B' GROUP BY 1, 2""", "scenario_cells")
+SELECT scenario, year, CASE WHEN cls >= 4 THEN 3 WHEN cls = 3 THEN 2 WHEN cls = 2 THEN 1 ELSE 0 END AS tier, count(*) AS n
+FROM scenario_cells GROUP BY 1, 2, 3""", "scenario_cells")
 def _(spark, sf):
-    return scenario_cells(spark, sf).where("scenario = 'B'").groupBy(
-        "year", S.priority_tier(c("cls")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return scenario_cells(spark, sf).groupBy("scenario", "year", S.priority_tier(c("cls")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cls10_boundary_distance", """
@@ -129,20 +128,25 @@ def _(spark, sf):
 
 # --- set operations ---------------------------------------------------------------------------
 
-@query("set1_union_years", """
-SELECT year, row, col, lst_c AS value, 'lst' AS kind FROM cells WHERE year IN (2022, 2023)
-UNION ALL SELECT year, row, col, ndvi, 'ndvi' FROM cells WHERE year IN (2025, 2026)""", "cells")
+_BANDS = ["lst_c", "ndvi", "ndbi", "ndre", "ndmi", "mndwi", "bsi", "vegetation_cover"]
+
+
+@query("set1_union_years", f"SELECT year, row, col, {', '.join(_BANDS[:-1])}, CASE WHEN year < 2026 THEN vegetation_cover END AS vegetation_cover FROM cells", "cells")
 def _(spark, sf):
+    """All years, each a frame with its columns in another order; the last lacks one, which is NULL there."""
     d = V.cells(spark, sf)
-    a = d.where(c("year").isin(2022, 2023)).select(*K, c("lst_c").alias("value"), F.lit("lst").alias("kind"))
-    b = d.where(c("year").isin(2025, 2026)).select(F.lit("ndvi").alias("kind"), c("ndvi").alias("value"), *K)
-    return a.unionByName(b)
+    out = None
+    for i, y in enumerate(range(2022, 2027)):
+        bands = _BANDS if y < 2026 else _BANDS[:-1]
+        one = d.where(c("year") == y).select(*bands[i:], *K, *bands[:i])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 @query("set2_mask_overlap", """
 WITH m AS (SELECT year, a, b, count(*) FILTER (WHERE in_a AND in_b) AS x, count(*) FILTER (WHERE in_a OR in_b) AS u,
   count(*) FILTER (WHERE in_a) AS na, count(*) FILTER (WHERE in_b) AS nb FROM (
-  SELECT c.year, p.a, p.b, bool_or(s.scenario = p.a AND s.cls >= 2) AS in_a, bool_or(s.scenario = p.b AND s.cls >= 2) AS in_b
+  SELECT c.year, p.a, p.b, bool_or(s.scenario = p.a AND s.cls >= 3) AS in_a, bool_or(s.scenario = p.b AND s.cls >= 3) AS in_b
   FROM scored c JOIN scenario_cells s ON s.year = c.year AND s.row = c.row AND s.col = c.col,
   (SELECT x.s AS a, y.s AS b FROM (VALUES ('A'), ('B'), ('C'), ('D')) x(s), (VALUES ('A'), ('B'), ('C'), ('D')) y(s) WHERE x.s < y.s) p
   GROUP BY c.year, c.row, c.col, p.a, p.b) GROUP BY year, a, b)
@@ -150,7 +154,7 @@ SELECT year, a, b, x AS intersection_px, u AS union_px, round(x * 1.0 / nullif(u
   round(x * 1.0 / nullif(nb, 0), 6) AS share_of_b FROM m""", "scored scenario_cells")
 def _(spark, sf):
     wide = scenario_cells(spark, sf).groupBy(*K).agg(*[
-        F.bool_or((c("scenario") == s) & (c("cls") >= 2)).alias(s) for s in "ABCD"])
+        F.bool_or((c("scenario") == s) & (c("cls") >= 3)).alias(s) for s in "ABCD"])
     pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), c(x).alias("in_a"), c(y).alias("in_b"))
                       for x in "ABCD" for y in "ABCD" if x < y])
     d = wide.select("year", F.explode(pairs).alias("p")).select("year", "p.*")
@@ -222,32 +226,36 @@ def _(spark, sf):
 WITH z AS (SELECT scenario, year, zone_id, n_px, row_number() OVER (PARTITION BY scenario, year ORDER BY n_px DESC, zone_id) AS r
   FROM (SELECT DISTINCT scenario, year, zone_id, n_px FROM zone_cells)),
 t AS (SELECT c.*, r FROM zone_cells c JOIN z ON z.scenario = c.scenario AND z.year = c.year AND z.zone_id = c.zone_id),
-a AS (SELECT * FROM t WHERE scenario = 'B' AND r <= 10), o AS (SELECT * FROM t WHERE scenario = 'C' AND r <= 20)
-SELECT y.year, (SELECT count(DISTINCT zone_id) FROM a WHERE a.year = y.year) AS baseline_zones,
- (SELECT count(DISTINCT a.zone_id) FROM a JOIN o ON a.year = o.year AND a.row = o.row AND a.col = o.col WHERE a.year = y.year) AS persisting_zones,
- (SELECT count(*) FROM a JOIN o ON a.year = o.year AND a.row = o.row AND a.col = o.col WHERE a.year = y.year) AS kept_px,
- (SELECT count(*) FROM a WHERE a.year = y.year) - (SELECT count(*) FROM a JOIN o ON a.year = o.year AND a.row = o.row AND a.col = o.col WHERE a.year = y.year) AS lost_px,
- (SELECT count(*) FROM o WHERE o.year = y.year) - (SELECT count(*) FROM a JOIN o ON a.year = o.year AND a.row = o.row AND a.col = o.col WHERE a.year = y.year) AS gained_px
-FROM (SELECT DISTINCT year FROM a) y""", "zone_cells")
+a AS (SELECT * FROM t WHERE scenario = 'B' AND r <= 10), o AS (SELECT * FROM t WHERE scenario <> 'B' AND r <= 20),
+y AS (SELECT DISTINCT a.year, s.scenario FROM a, (VALUES ('A'), ('C'), ('D')) s(scenario)),
+j AS (SELECT o.scenario, a.year, a.zone_id FROM a JOIN o ON a.year = o.year AND a.row = o.row AND a.col = o.col)
+SELECT y.scenario, y.year, (SELECT count(DISTINCT zone_id) FROM a WHERE a.year = y.year) AS baseline_zones,
+ (SELECT count(DISTINCT zone_id) FROM j WHERE j.year = y.year AND j.scenario = y.scenario) AS persisting_zones,
+ (SELECT count(*) FROM j WHERE j.year = y.year AND j.scenario = y.scenario) AS kept_px,
+ (SELECT count(*) FROM a WHERE a.year = y.year) - (SELECT count(*) FROM j WHERE j.year = y.year AND j.scenario = y.scenario) AS lost_px,
+ (SELECT count(*) FROM o WHERE o.year = y.year AND o.scenario = y.scenario) - (SELECT count(*) FROM j WHERE j.year = y.year AND j.scenario = y.scenario) AS gained_px
+FROM y""", "zone_cells")
 def _(spark, sf):
+    """The ten largest baseline zones against the twenty largest of every other scenario."""
     z = zone_labels(spark, sf)
     zones = z.select("scenario", "year", "zone_id", "n_px").distinct()
     top = ranked(zones, ["scenario", "year"], -c("n_px"), [c("zone_id")], out="r")
-    keep = ((c("scenario") == "B") & (c("r") <= 10)) | ((c("scenario") == "C") & (c("r") <= 20))
+    keep = c("r") <= F.when(c("scenario") == "B", 10).otherwise(20)
     t = z.join(top.where(keep).select("scenario", "year", "zone_id"), ["scenario", "year", "zone_id"], "left_semi")
-    a = t.where("scenario = 'B'").select(*K, c("zone_id").alias("za"))
-    o = t.where("scenario = 'C'").select(*K, F.lit(1).alias("o"))
-    j = a.join(o, K, "full_outer")
+    others = F.explode(F.array(*[F.lit(x) for x in ("A", "C", "D")])).alias("scenario")
+    a = t.where("scenario = 'B'").select(*K, c("zone_id").alias("za"), others)
+    o = t.where("scenario <> 'B'").select("scenario", *K, F.lit(1).alias("o"))
+    j = a.join(o, ["scenario", *K], "full_outer")
     hit = c("za").isNotNull() & c("o").isNotNull()
-    return j.groupBy("year").agg(
+    return j.groupBy("scenario", "year").agg(
         F.count_distinct("za").alias("baseline_zones"), F.count_distinct(F.when(hit, c("za"))).alias("persisting_zones"),
         F.count_if(hit).alias("kept_px"), F.count_if(c("za").isNotNull() & c("o").isNull()).alias("lost_px"),
         F.count_if(c("za").isNull()).alias("gained_px")).where("baseline_zones > 0")
 
 
-@query("set8_scenario_agreement", "SELECT year, row, col, round(avg(CAST(cls >= 2 AS INT)), 6) AS agreement FROM scenario_cells GROUP BY ALL", "scenario_cells")
+@query("set8_scenario_agreement", "SELECT year, row, col, round(avg(CAST(cls >= 3 AS INT)), 6) AS agreement FROM scenario_cells GROUP BY ALL", "scenario_cells")
 def _(spark, sf):
-    return scenario_cells(spark, sf).groupBy(*K).agg(F.avg((c("cls") >= 2).cast("int")).alias("agreement"))
+    return scenario_cells(spark, sf).groupBy(*K).agg(F.avg((c("cls") >= 3).cast("int")).alias("agreement"))
 
 
 @query("set9_duplicate_audit", """
@@ -264,14 +272,21 @@ def _(spark, sf):
     return dup.unionByName(labels)
 
 
-@query("set10_exact_compare", """
-SELECT count(*) FILTER (WHERE b.row IS NULL) AS only_a, count(*) FILTER (WHERE a.row IS NULL) AS only_b,
-  count(*) FILTER (WHERE a.row IS NOT NULL AND b.row IS NOT NULL AND NOT coalesce(abs(a.lst_c - b.lst_c) <= 5, a.lst_c IS NULL AND b.lst_c IS NULL)) AS differ_lst_c,
-  count(*) FILTER (WHERE a.row IS NOT NULL AND b.row IS NOT NULL AND NOT coalesce(abs(a.ndvi - b.ndvi) <= 5, a.ndvi IS NULL AND b.ndvi IS NULL)) AS differ_ndvi
-FROM (SELECT * FROM cells WHERE year = 2023) a FULL JOIN (SELECT * FROM cells WHERE year = 2024) b ON a.row = b.row AND a.col = b.col""", "cells")
+_TOLERANCE = {"lst_c": 0.01, "ndvi": 1e-6, "ndbi": 1e-6, "bsi": 1e-6, "vegetation_cover": 1e-6}
+
+
+def _differ_sql(v, tol):
+    return (f"count(*) FILTER (WHERE a.row IS NOT NULL AND b.row IS NOT NULL AND NOT coalesce(abs(a.{v} - b.{v}) <= {tol}, a.{v} IS NULL AND b.{v} IS NULL)) AS differ_{v}")
+
+
+@query("set10_exact_compare", " UNION ALL ".join(f"""
+SELECT {y} AS year, count(*) FILTER (WHERE b.row IS NULL) AS only_a, count(*) FILTER (WHERE a.row IS NULL) AS only_b, {', '.join(_differ_sql(v, t) for v, t in _TOLERANCE.items())}
+FROM (SELECT * FROM cells WHERE year = {y}) a FULL JOIN (SELECT * FROM cells WHERE year = {y + 1}) b ON a.row = b.row AND a.col = b.col""" for y in range(2022, 2026)), "cells")
 def _(spark, sf):
+    """Every year beside the next, as one comparison on (year, row, col), with a tolerance for each column."""
     d = V.cells(spark, sf)
-    return O.exact_compare(d.where("year = 2023"), d.where("year = 2024"), ["row", "col"], ["lst_c", "ndvi"], 5.0)
+    a, b = d.where("year < 2026"), d.where("year > 2022").withColumn("year", c("year") - 1)
+    return O.exact_compare(a, b, K, list(_TOLERANCE), _TOLERANCE, by=["year"])
 
 
 @query("set11_paired_sample", """

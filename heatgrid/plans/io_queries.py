@@ -177,14 +177,14 @@ def _(spark, sf):
 
 
 @query("met5_phenology", f"""
-WITH {_ONSET}, {_HOT} SELECT d.year, {', '.join(f'round(avg(tmax) FILTER (WHERE month(day) = {m}), 6) AS tmax_{m}' for m in range(4, 8))},
-  round(sum(rain), 6) AS annual_rain, any_value(o.onset) AS onset, any_value(h.window_end) AS hottest_end
+WITH {_ONSET}, {_HOT} SELECT d.year, {', '.join(f'round(avg(tmax) FILTER (WHERE month(day) = {m}), 6) AS tmax_{m}' for m in range(1, 13))},
+  round(sum(rain), 6) AS annual_rain, any_value(o.onset) AS onset, any_value(h.window_end) AS hottest_end, round(any_value(h.mean_value), 6) AS hottest_mean
 FROM daily d LEFT JOIN onset o ON o.year = d.year LEFT JOIN hottest h ON h.year = d.year GROUP BY d.year""", "daily")
 def _(spark, sf):
     d = daily(spark, sf)
     p = d.groupBy("year").agg(
-        *[F.avg(F.when(F.month("day") == m, c("tmax"))).alias(f"tmax_{m}") for m in range(4, 8)], F.sum("rain").alias("annual_rain"))
-    h = M.hottest_period(d, "tmax").select("year", c("window_end").alias("hottest_end"))
+        *[F.avg(F.when(F.month("day") == m, c("tmax"))).alias(f"tmax_{m}") for m in range(1, 13)], F.sum("rain").alias("annual_rain"))
+    h = M.hottest_period(d, "tmax").select("year", c("window_end").alias("hottest_end"), c("mean_value").alias("hottest_mean"))
     return p.join(M.monsoon_onset(d, "rain"), "year", "left").join(h, "year", "left")
 
 

@@ -156,14 +156,14 @@ SELECT z.scenario, z.year, z.zone_id, count(*) AS pixels, avg(s.score) AS mean_s
   avg(a.agreement) AS mean_agreement, avg(CAST(s.cls >= 3 AS INT)) AS high_share, avg(vegetation_cover) AS mean_veg
 FROM zone_cells z JOIN scenario_cells s ON s.scenario = z.scenario AND s.year = z.year AND s.row = z.row AND s.col = z.col
 JOIN scored d ON d.year = z.year AND d.row = z.row AND d.col = z.col
-JOIN (SELECT year, row, col, avg(CAST(cls >= 2 AS INT)) AS agreement FROM scenario_cells GROUP BY ALL) a ON a.year = z.year AND a.row = z.row AND a.col = z.col
+JOIN (SELECT year, row, col, avg(CAST(cls >= 3 AS INT)) AS agreement FROM scenario_cells GROUP BY ALL) a ON a.year = z.year AND a.row = z.row AND a.col = z.col
 GROUP BY z.scenario, z.year, z.zone_id
 """)
 
 
 def zone_table(spark, sf):
     s = scenario_cells(spark, sf)
-    agree = s.groupBy(*K).agg(F.avg((c("cls") >= 2).cast("int")).alias("agreement"))
+    agree = s.groupBy(*K).agg(F.avg((c("cls") >= 3).cast("int")).alias("agreement"))
     d = (
         zone_labels(spark, sf).join(s.select(*K, "scenario", "score", "cls"), ["scenario", *K]).join(agree, K)
         .join(scored(spark, sf).select(*K, "need", "confidence", "vegetation_cover"), K))
@@ -189,8 +189,7 @@ def _(spark, sf):
     return z.groupBy("scenario", "year").agg(F.count(F.lit(1)).alias("n_zones"), F.sum("n_px").alias("zone_px"))
 
 
-MAX_HA, TOP = 2.0, 20
-PLAN_TOP = 100
+MAX_HA, TOP = 2.0, 100
 cte("sites", "site_cells scored", f"""
 SELECT *, rank() OVER w * 0 + CAST(row_number() OVER w AS INT) AS rank, usable_ha > {MAX_HA} AS oversized,
   CASE WHEN usable_ha > {MAX_HA} THEN 0 ELSE CAST(sum(CASE WHEN usable_ha > {MAX_HA} THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS INT) END AS rank_excl
@@ -274,22 +273,23 @@ def stable_ids(labels, years, min_share=0.30, other=90_000):
     return out
 
 
-component_ctes("plant_cells", """SELECT s.year, s.row, s.col FROM scored s JOIN zone_cells z ON z.scenario = 'B' AND z.year = s.year AND z.row = s.row AND z.col = s.col
-  WHERE eligible AND vegetation_cover < 0.30""", "scored zone_cells", "year", 1)
+component_ctes("plant_cells", """SELECT z.scenario, s.year, s.row, s.col FROM scored s JOIN zone_cells z ON z.year = s.year AND z.row = s.row AND z.col = s.col
+  WHERE eligible AND vegetation_cover < 0.30""", "scored zone_cells", "scenario, year", 1)
 
 
 def plantable(spark, sf):
-    z = zone_labels(spark, sf).where("scenario = 'B'").select(*K, "zone_id", "n_px")
+    """The zones' cells of every scenario, and whether trees can be planted there."""
+    z = zone_labels(spark, sf).select("scenario", *K, "zone_id", "n_px")
     return scored(spark, sf).join(z, K).withColumn("plantable", c("eligible") & (c("vegetation_cover") < 0.30))
 
 
 @query("grf8_plantation_clusters", """
-SELECT p.year, p.zone_id AS cluster_id, any_value(p.n_px) AS n_px, min(z.zone_id) AS zone_id, count(DISTINCT z.zone_id) = 1 AS in_one_zone
-FROM plant_cells p JOIN zone_cells z ON z.scenario = 'B' AND z.year = p.year AND z.row = p.row AND z.col = p.col GROUP BY p.year, p.zone_id""", "plant_cells")
+SELECT p.scenario, p.year, p.zone_id AS cluster_id, any_value(p.n_px) AS n_px, min(z.zone_id) AS zone_id, count(DISTINCT z.zone_id) = 1 AS in_one_zone
+FROM plant_cells p JOIN zone_cells z ON z.scenario = p.scenario AND z.year = p.year AND z.row = p.row AND z.col = p.col GROUP BY p.scenario, p.year, p.zone_id""", "plant_cells")
 def _(spark, sf):
-    d = plantable(spark, sf).where("plantable").select(*K, "zone_id")
-    p = G.label_components(d, ["year"], 1).withColumnRenamed("zone_id", "cluster_id")
-    return p.join(d, K).groupBy("year", "cluster_id").agg(
+    d = plantable(spark, sf).where("plantable").select("scenario", *K, "zone_id")
+    p = G.label_components(d, ["scenario", "year"], 1).withColumnRenamed("zone_id", "cluster_id")
+    return p.join(d, ["scenario", *K]).groupBy("scenario", "year", "cluster_id").agg(
         F.first("n_px").alias("n_px"), F.min("zone_id").alias("zone_id"), (F.count_distinct("zone_id") == 1).alias("in_one_zone"))
 
 
@@ -374,17 +374,17 @@ def _(spark, sf):
 
 
 @query("rnk5_top_n_explain", """
-WITH q AS (SELECT year AS qy, quantile_cont(mean_need, [0.2, 0.4, 0.6, 0.8]) AS t FROM zone_table WHERE scenario = 'B' GROUP BY year)
-SELECT year, zone_id, r AS rank, round(mean_need, 6) AS mean_need,
+WITH q AS (SELECT scenario AS qs, year AS qy, quantile_cont(mean_need, [0.2, 0.4, 0.6, 0.8]) AS t FROM zone_table GROUP BY scenario, year)
+SELECT scenario, year, zone_id, r AS rank, round(mean_need, 6) AS mean_need,
   1 + CAST(mean_need >= t[1] AS INT) + CAST(mean_need >= t[2] AS INT) + CAST(mean_need >= t[3] AS INT) + CAST(mean_need >= t[4] AS INT) AS need_quintile
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY pixels DESC, zone_id) AS INT) AS r FROM zone_table WHERE scenario = 'B') JOIN q ON qy = year WHERE r <= 5""", "zone_table")
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY scenario, year ORDER BY pixels DESC, zone_id) AS INT) AS r FROM zone_table) JOIN q ON qs = scenario AND qy = year WHERE r <= 5""", "zone_table")
 def _(spark, sf):
     from heatgrid.operators.classify import class_of
-    z = zone_table(spark, sf).where("scenario = 'B'")
-    q = exact_quantiles(z, ["year"], ["mean_need"], [0.2, 0.4, 0.6, 0.8]).select("year", c("q").alias("t"))
-    top = ranked(z, ["year"], -c("pixels"), [c("zone_id")]).where("rank <= 5")
-    return top.join(F.broadcast(q), "year").select(
-        "year", "zone_id", "rank", "mean_need", (class_of(c("mean_need"), c("t")) + 1).alias("need_quintile"))
+    z, by = zone_table(spark, sf), ["scenario", "year"]
+    q = exact_quantiles(z, by, ["mean_need"], [0.2, 0.4, 0.6, 0.8]).select(*by, c("q").alias("t"))
+    top = ranked(z, by, -c("pixels"), [c("zone_id")]).where("rank <= 5")
+    return top.join(F.broadcast(q), by).select(
+        *by, "zone_id", "rank", "mean_need", (class_of(c("mean_need"), c("t")) + 1).alias("need_quintile"))
 
 
 _TREES = "CAST(floor(usable_ha * 1000 + 1e-6) AS BIGINT)"
@@ -404,8 +404,8 @@ def _(spark, sf):
 
 @query("rnk8_plan_skip_over")
 def _(spark, sf):
-    z = site_table(spark, sf, PLAN_TOP).withColumn("trees", trees().cast("double"))
-    return R.plan_skip(z, ["year"], "trees", 10000.0, PLAN_TOP)
+    z = site_table(spark, sf, TOP).withColumn("trees", trees().cast("double"))
+    return R.plan_skip(z, ["year"], "trees", 10000.0, TOP)
 
 
 @query("rnk9_cumulative_area", """
@@ -419,46 +419,47 @@ def _(spark, sf):
 
 # --- trees ------------------------------------------------------------------------------------------
 
-@query("sco15_plantable", """SELECT s.year, z.zone_id, count(*) AS px, count(*) FILTER (WHERE eligible AND vegetation_cover < 0.3) AS plantable_px,
-  count(*) FILTER (WHERE eligible AND vegetation_cover < 0.3) * 90 AS trees FROM scored s JOIN zone_cells z ON z.scenario = 'B' AND z.year = s.year AND z.row = s.row AND z.col = s.col
+@query("sco15_plantable", """SELECT z.scenario, s.year, z.zone_id, count(*) AS px, count(*) FILTER (WHERE eligible AND vegetation_cover < 0.3) AS plantable_px,
+  count(*) FILTER (WHERE eligible AND vegetation_cover < 0.3) * 90 AS trees FROM scored s JOIN zone_cells z ON z.year = s.year AND z.row = s.row AND z.col = s.col
 GROUP BY ALL""", "scored zone_cells")
 def _(spark, sf):
     n = F.count_if("plantable")
-    return plantable(spark, sf).groupBy("year", "zone_id").agg(
+    return plantable(spark, sf).groupBy("scenario", "year", "zone_id").agg(
         F.count(F.lit(1)).alias("px"), n.alias("plantable_px"), (n * 90).alias("trees"))
 
 
 _BYZONE = """
-bz AS (SELECT s.year, z.zone_id, count(*) AS px, round(avg(vegetation_cover) * 100, 6) AS veg_percent, round(avg(CAST(y_true = 2 AS INT)) * 100, 6) AS high_percent,
+bz AS (SELECT z.scenario, s.year, z.zone_id, count(*) AS px, round(avg(vegetation_cover) * 100, 6) AS veg_percent, round(avg(CAST(y_true = 2 AS INT)) * 100, 6) AS high_percent,
   count(*) FILTER (WHERE eligible AND vegetation_cover < 0.3) AS plantable_px
-  FROM scored s JOIN zone_cells z ON z.scenario = 'B' AND z.year = s.year AND z.row = s.row AND z.col = s.col GROUP BY ALL)"""
+  FROM scored s JOIN zone_cells z ON z.year = s.year AND z.row = s.row AND z.col = s.col GROUP BY ALL)"""
 
 
 def by_zone(spark, sf):
-    return plantable(spark, sf).groupBy("year", "zone_id").agg(
+    return plantable(spark, sf).groupBy("scenario", "year", "zone_id").agg(
         F.count(F.lit(1)).alias("px"), (F.avg("vegetation_cover") * 100).alias("veg_percent"),
         (F.avg((c("y_true") == 2).cast("int")) * 100).alias("high_percent"), F.count_if("plantable").alias("plantable_px"))
 
 
 @query("sco16_tree_requirement_by_zone", f"""
-WITH {_BYZONE}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY plantable_px DESC, zone_id) AS INT) AS rank, count(*) OVER (PARTITION BY year) AS n FROM bz)
-SELECT year, zone_id, px, veg_percent, high_percent, plantable_px, round(plantable_px * 0.09, 6) AS plantable_ha, plantable_px * 90 AS trees, rank,
+WITH {_BYZONE}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY scenario, year ORDER BY plantable_px DESC, zone_id) AS INT) AS rank, count(*) OVER (PARTITION BY scenario, year) AS n FROM bz)
+SELECT scenario, year, zone_id, px, veg_percent, high_percent, plantable_px, round(plantable_px * 0.09, 6) AS plantable_ha, plantable_px * 90 AS trees, rank,
   CASE WHEN rank <= ceil(n / 3.0) THEN 1 WHEN rank <= 2 * ceil(n / 3.0) THEN 2 ELSE 3 END AS third FROM r""", "scored zone_cells")
 def _(spark, sf):
-    z = ranked(by_zone(spark, sf), ["year"], -c("plantable_px"), [c("zone_id")])
-    n = z.groupBy("year").agg(F.count(F.lit(1)).alias("_n"))
-    return z.join(F.broadcast(n), "year").select(
-        "year", "zone_id", "px", "veg_percent", "high_percent", "plantable_px", (c("plantable_px") * HA).alias("plantable_ha"),
+    by = ["scenario", "year"]
+    z = ranked(by_zone(spark, sf), by, -c("plantable_px"), [c("zone_id")])
+    n = z.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return z.join(F.broadcast(n), by).select(
+        *by, "zone_id", "px", "veg_percent", "high_percent", "plantable_px", (c("plantable_px") * HA).alias("plantable_ha"),
         (c("plantable_px") * 90).alias("trees"), "rank", R.thirds(c("rank"), c("_n")).alias("third"))
 
 
 @query("sco17_tree_requirement_summary", f"""
-WITH {_BYZONE} SELECT year, density, count(*) AS n_zones, round(sum(plantable_px) * 0.09, 6) AS plantable_ha,
-  CAST(round_even(sum(plantable_px) * 0.09 * density, 0) AS BIGINT) AS trees FROM bz, (VALUES (400), (1000), (2500)) t(density) GROUP BY year, density""", "scored zone_cells")
+WITH {_BYZONE} SELECT scenario, year, density, count(*) AS n_zones, round(sum(plantable_px) * 0.09, 6) AS plantable_ha,
+  CAST(round_even(sum(plantable_px) * 0.09 * density, 0) AS BIGINT) AS trees FROM bz, (VALUES (400), (1000), (2500)) t(density) GROUP BY scenario, year, density""", "scored zone_cells")
 def _(spark, sf):
-    y = by_zone(spark, sf).groupBy("year").agg(F.count(F.lit(1)).alias("n_zones"), (F.sum("plantable_px") * HA).alias("plantable_ha"))
+    y = by_zone(spark, sf).groupBy("scenario", "year").agg(F.count(F.lit(1)).alias("n_zones"), (F.sum("plantable_px") * HA).alias("plantable_ha"))
     y = y.withColumn("density", F.explode(F.array(*[F.lit(d) for d in (400, 1000, 2500)])))
-    return y.select("year", "density", "n_zones", "plantable_ha", F.bround(c("plantable_ha") * c("density"), 0).cast("long").alias("trees"))
+    return y.select("scenario", "year", "density", "n_zones", "plantable_ha", F.bround(c("plantable_ha") * c("density"), 0).cast("long").alias("trees"))
 
 
 @query("sco18_reference_trees", "SELECT year, zone_id, " + ", ".join(
