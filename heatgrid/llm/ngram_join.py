@@ -51,6 +51,7 @@ VERIFY_COST = 8.0
 MOST_BITS = 28
 HOT = 1 << 20
 FEW = 64
+SMALL = 16
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +155,27 @@ def prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
     return texts.mapInArrow(rows, "doc long, cls long, n int, level byte, tokens array<long>")
 
 
+def partnered(group: np.ndarray, again: np.ndarray, pos: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Whether a row may link with any other of its group; rows of groups of more than SMALL classes all may."""
+    rows = np.flatnonzero(~again)
+    g = group[rows]
+    some = (np.bincount(g, minlength=int(group[-1]) + 1) > SMALL)[g]
+    for d in range(1, SMALL):
+        a, b = rows[:-d], rows[d:]
+        extra = np.minimum(level[a], level[b]) - 1
+        rest = np.minimum(n[a] - pos[a], n[b] - pos[b]) + extra
+        ok = ((g[:-d] == g[d:]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+              & ((100 + PERCENT) * rest >= PERCENT * (n[a] + n[b])))
+        some[:-d] |= ok
+        some[d:] |= ok
+    out = np.zeros(len(group), bool)
+    out[rows] = some
+    return out
+
+
 def grouped(sets: DataFrame, cells: np.ndarray, hot: int) -> DataFrame:
-    """Prefix entries by token, each with its token's most central class (p_*); tokens of one class only are dropped.
+    """Prefix entries by token, each with its token's most central class (p_*); tokens of one class only are dropped, and
+    in small groups those entries that pass the filters with no other of the group.
 
     One shuffle by token, then one pass over the sorted rows that keeps a group's first row and no others, so a
     group may be of any size. Tokens that the counters put above `hot` rows are dealt to several tasks by
@@ -196,17 +216,20 @@ def grouped(sets: DataFrame, cells: np.ndarray, hot: int) -> DataFrame:
                 again[1] |= last == (pos[1], cls[1])
             last = pos[-1], cls[-1]
             group = np.cumsum(start) - 1
-            first = np.flatnonzero(start)
-            several = np.bincount(group, ~again) > 1
+            whole = np.zeros(len(token), bool)  # all of the group is here, and it was not dealt out
+            whole[:] = (part == 0) & (group < group[-1]) & ((group > 0) | (held is None))
+            use = ~again & ~(whole & ~partnered(group, again, *cols[2:]))
+            several = np.bincount(group, use) > 1
             if held is not None and not waits:
                 several[0] = True
-            keep = ~again & (several[group] | (part > 0))
+            keep = use & (several[group] | (part > 0))
             if held is not None and not waits:
                 keep[0] = False  # returned before
-            at = first[-1]
+            at = np.flatnonzero(start)[-1]
             waits = not (keep[at] or (at == 0 and held is not None and not waits))
             held = [c[at] for c in cols]
-            centre = first[group[keep]]
+            used = np.flatnonzero(use)
+            centre = used[np.searchsorted(group[used], group[keep])]  # the group's first row in use
             out = [c[keep] for c in cols] + [c[centre] for c in cols[2:]]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int8()]
             yield pa.RecordBatch.from_arrays([pa.array(x).cast(k) for x, k in zip(out, kinds)], names)

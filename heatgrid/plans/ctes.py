@@ -29,6 +29,8 @@ def with_ctes(names: list[str], body: str) -> str:
         f"{n} AS {'' if KEYED in n else 'MATERIALIZED '}({CTES[n][1].strip()})" for n in order)
     start = "WITH RECURSIVE" if any(KEYED in n for n in order) else "WITH"
     extra = body.strip()
+    if extra.upper().startswith("WITH RECURSIVE "):
+        start, extra = "WITH RECURSIVE", "WITH " + extra[15:]
     if extra.upper().startswith("WITH "):
         return f"{start} {heads},\n{extra[5:]}"
     return f"{start} {heads}\n{extra}"

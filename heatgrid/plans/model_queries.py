@@ -385,9 +385,9 @@ def protocol(name, sql, ctes, key, build):
     query(f"{name}_forest")(lambda spark, sf: PR.scores(build(spark, sf, forest(), FEATURES), key))
 
 
-protocol("ml2_spatial_cv", f"WITH {_FOLDED}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT unnest(range(0, 5)) AS fold')}", "domain", "fold",
+protocol("ml2_spatial_cv", f"WITH {_FOLDED}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS fold')}", "domain", "fold",
          lambda spark, sf, fit, cols: PR.run(cv_input(spark, sf), PR.group_splits("fold", range(5)), fit, [*cols, "fold"]))
-protocol("ml3_lobo", f"WITH {_LOBO}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT unnest(range(0, 25)) AS fold')}", "domain", "fold",
+protocol("ml3_lobo", f"WITH {_LOBO}, {_line_sql('dt', 'dv', 'fold')} {_scores_sql('fold', 'SELECT CAST(unnest(range(0, 25)) AS INTEGER) AS fold')}", "domain", "fold",
          lambda spark, sf, fit, cols: PR.run(V.domain(spark, sf), PR.group_splits("block_id", BLOCKS), fit, cols))
 protocol("ml4_locked_holdout", f"WITH {_HELD}, dt AS (SELECT *, 'holdout' AS fold FROM tr), dv AS (SELECT *, 'holdout' AS fold FROM va), {_line_sql('dt', 'dv', 'fold')} "
          f"{_scores_sql('fold', chr(39).join(('SELECT ', 'holdout', ' AS fold')))}", "domain", "fold",
