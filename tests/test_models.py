@@ -44,6 +44,7 @@ def test_forests_have_the_operators_number_of_trees(spark, monkeypatch, name):
         raise Reached(numTrees)
 
     monkeypatch.setattr(MM, "RandomForestClassifier", forest)
+    monkeypatch.setattr(model_queries, "RandomForestClassifier", forest)
     monkeypatch.setattr(MM, "RandomForestRegressor", forest)
     with pytest.raises(Reached, match="^20$"):
         QUERIES[name](spark, SF)
