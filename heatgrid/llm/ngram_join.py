@@ -17,8 +17,9 @@ Candidates are met without pairing a group with itself:
 3. Rest: what links could still be missing lie between components. On each token, only classes outside
    the centre's component meet the others, in the same band of sizes or the next, under the same filters
    and the exact check.
-Verification reads the texts of the classes that occur in candidate pairs, no others, and compares sets
-made from them again; a class of very many pairs is dealt to several tasks.
+Candidates first compare histograms of their sets, whose cells bound what two sets can share. Verification
+reads the texts of the classes left, no others, and compares sets made from them again; a class of very
+many pairs is dealt to several tasks.
 
 Components are those of all links: pairs inside one component need no check.
 
@@ -125,8 +126,23 @@ def prefix(u: np.ndarray, cells: np.ndarray, noise: float) -> tuple[np.ndarray,
     return u[order[:base + level]], level
 
 
+def histogram(u: np.ndarray) -> bytes:
+    """How many members of a set fall into each of about a quarter as many cells, by their lowest bits (255 stands for more)."""
+    cells = 1 << max(0, (len(u) // 4).bit_length())
+    return np.minimum(np.bincount((u & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """No two sets with these histograms share more members; None if a cell is too full to tell."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if a.max() == 255 or b.max() == 255:
+        return None
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(0, dtype=np.int64), b.reshape(-1, n).sum(0, dtype=np.int64)).sum())
+
+
 def prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(doc, cls, n, level, tokens) of each row (doc, t): class, set size, l and prefix."""
+    """(doc, cls, n, level, tokens, hist) of each row (doc, t): class, set size, l, prefix and histogram."""
     shared = texts.sparkSession.sparkContext.broadcast(cells)  # 2**CELL_BITS counters, whatever the input
     noise = float(cells.mean() + 3 * np.sqrt(cells.mean()))
 
@@ -136,10 +152,11 @@ def prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in texts_of(batch.column(1)):
                 h, at = shingles(batch.column(1).slice(a, b - a))
-                cls, sizes, levels, tokens = [], [], [], []
+                cls, sizes, levels, tokens, hists = [], [], [], [], []
                 for i in range(b - a):
                     u = np.unique(h[at[i]:at[i + 1]])
                     sizes.append(len(u))
+                    hists.append(histogram(u))
                     if len(u):
                         cls.append(class_id(u))
                         p, level = prefix(u, counters, noise)
@@ -150,9 +167,9 @@ def prefixes(texts: DataFrame, cells: np.ndarray) -> DataFrame:
                     tokens.append(p.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs[a:b]), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(levels, pa.int8()),
-                     pa.array(tokens, pa.list_(pa.int64()))], ["doc", "cls", "n", "level", "tokens"])
+                     pa.array(tokens, pa.list_(pa.int64())), pa.array(hists, pa.binary())], ["doc", "cls", "n", "level", "tokens", "hist"])
 
-    return texts.mapInArrow(rows, "doc long, cls long, n int, level byte, tokens array<long>")
+    return texts.mapInArrow(rows, "doc long, cls long, n int, level byte, tokens array<long>, hist binary")
 
 
 def partnered(group: np.ndarray, again: np.ndarray, pos: np.ndarray, cls: np.ndarray, n: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -262,6 +279,22 @@ def counted(pairs: DataFrame) -> DataFrame:
             .where("shared >= need").select("u", "v"))
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> Kept:
+    """The pairs whose histograms leave room for enough shared members; their texts are not looked at yet."""
+    one = sets.select("cls", "n", "hist").dropDuplicates(["cls"])
+
+    @F.arrow_udf(T.BooleanType())
+    def room(na: pa.Array, x: pa.Array, nb: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for a, p, b, q in zip(na.to_pylist(), x.to_pylist(), nb.to_pylist(), y.to_pylist()):
+            most = most_shared(p, q)
+            out.append(most is None or (100 + PERCENT) * most >= PERCENT * (a + b))
+        return pa.array(out, pa.bool_())
+
+    side = lambda s: one.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("hist").alias(f"h_{s}"))
+    return kept(pairs.join(side("u"), "u").join(side("v"), "v").where(room("n_u", "h_u", "n_v", "h_v")).select("u", "v"))
+
+
 class Texts:
     """Texts of the classes that occur in candidate pairs, compressed, read from `texts` once for each class."""
 
@@ -371,14 +404,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixed = kept(prefixes(texts, cells))
     # 1. tokens of several classes
     e = kept(grouped(prefixed.df, cells, hot))
-    sets = kept(prefixed.df.select("doc", "cls", "n"))
+    sets = kept(prefixed.df.select("doc", "cls", "n", "hist"))
     prefixed.discard()
     # 2. star; the centres of a token that was dealt out meet one of them
     star = pairs_of(e.df, entry(""), entry("p_"))
     parts = e.df.where("part > 0 and cls = p_cls").select("token", "pos", "cls", "n", "level")
     one = parts.groupBy("token").agg(F.min(F.struct("pos", "cls", "n", "level")).alias("c")).select("token", *[F.col(f"c.{x}").alias(f"c_{x}") for x in ("pos", "cls", "n", "level")])
     star = star.unionByName(pairs_of(parts.join(one, "token"), entry(""), entry("c_")))
-    pairs = kept(counted(star))
+    pairs = possible(counted(star), sets.df)
     bodies = Texts(sets.df, texts)
     links = verified(pairs.df, bodies.of(pairs.df))
     pairs.discard()
@@ -386,7 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = kept(components(links.df).withColumnRenamed("node", "cls"))
     placed, met = between(e.df, roots.df)
     e.discard()
-    pairs = kept(counted(met))
+    pairs = possible(counted(met), sets.df)
     placed.discard()
     more = verified(pairs.df, bodies.of(pairs.df))
     for x in (pairs, roots, bodies):
