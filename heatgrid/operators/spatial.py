@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from heatgrid.session import cut
 
 PIXEL_M = 30.0
+TILE_BITS = 2  # tiles of 4 x 4, then 4 x 4 of those
 IDW_COS_LAT, IDW_EPS = 28.64, 1e-6
 
 
@@ -370,39 +371,106 @@ def idw(
 def knn(points: DataFrame, k: int = 8, keys: Sequence[str] = ("year",), start: int = 2) -> DataFrame:
     """k nearest other points of each grid point (distance, then row, then col), exactly.
 
-    A point looks at the offsets within radius r. If at least k points lie within distance r the
-    k nearest are among them; only points that saw fewer look again with a doubled radius. The
-    last round, once the radius covers every point, settles groups of k or fewer points.
+    Where points are dense, the offsets within radius `start` settle a point: if at least k points
+    lie in that disk, the k nearest are among them. The others go through tiles (`tile_frontiers`),
+    so a far point costs rows in proportion to the tiles it looks at, not to the area around it.
+    Points of groups of k or fewer get all others. Rows with a null key, row or col have no neighbours.
     """
     keys = list(keys)
-    pts = points.select(*keys, "row", "col").distinct()
-    ext = pts.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
-    limit = max(ext[0] or 0, ext[1] or 0) + 1
-    other = pts.withColumnsRenamed({"row": "n_row", "col": "n_col"})
-    todo, done, r = pts, None, start
-    w = W.partitionBy(*keys, "row", "col").orderBy("d2", "n_row", "n_col")
-    while True:
-        span = F.sequence(F.lit(-r), F.lit(r))
-        offs = (
-            todo.withColumn("_dr", F.explode(span)).withColumn("_dc", F.explode(span))
-            .withColumn("d2", F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc"))
-            .where("d2 > 0")
-        )
-        if r < limit:
-            offs = offs.where(F.col("d2") <= r * r)
-        near = (
-            offs.withColumn("n_row", F.col("row") + F.col("_dr")).withColumn("n_col", F.col("col") + F.col("_dc"))
-            .drop("_dr", "_dc").join(other, [*keys, "n_row", "n_col"])
-            .withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    me = [*keys, "row", "col"]
+    pts = points.select(*me).distinct()
+    out = [*me, "k", "n_row", "n_col", "d2"]
+    w = W.partitionBy(*me).orderBy("d2", "n_row", "n_col")
+    span = F.sequence(F.lit(-start), F.lit(start))
+    near = cut(
+        pts.withColumn("_dr", F.explode(span)).withColumn("_dc", F.explode(span))
+        .withColumn("d2", F.col("_dr") * F.col("_dr") + F.col("_dc") * F.col("_dc"))
+        .where((F.col("d2") > 0) & (F.col("d2") <= start * start))
+        .withColumn("n_row", F.col("row") + F.col("_dr")).withColumn("n_col", F.col("col") + F.col("_dc")).drop("_dr", "_dc")
+        .join(pts.withColumnsRenamed({"row": "n_row", "col": "n_col"}), [*keys, "n_row", "n_col"])
+        .withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select(*out)
+    )
+    full = near.where(F.col("k") == k).select(*me)
+    done = near.join(full, me, "left_semi")
+    todo = cut(pts.join(full, me, "left_anti"))
+    if todo.isEmpty():
+        return done
+    last = tile_frontiers(todo, pts, k, keys)[-1]
+    inside = pts.select(
+        *keys, F.col("row").alias("n_row"), F.col("col").alias("n_col"),
+        F.shiftright("row", TILE_BITS).alias("_tr"), F.shiftright("col", TILE_BITS).alias("_tc"))
+    dr, dc = F.col("n_row") - F.col("row"), F.col("n_col") - F.col("col")
+    far = (
+        last.join(inside, [*keys, "_tr", "_tc"]).withColumn("d2", dr * dr + dc * dc).where(F.col("d2") > 0)
+        .withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select(*out)
+    )
+    return done.unionByName(far)
+
+
+def tile_frontiers(todo: DataFrame, pts: DataFrame, k: int, keys: Sequence[str]) -> list[DataFrame]:
+    """Tiles that may hold one of the k nearest points of each row of `todo`, from coarse to fine.
+
+    Level l has square tiles of side 4^l with their number of points. Upwards, a point takes the first
+    level at which its 3 x 3 tiles hold k others, so its k nearest lie within 7 x 7 tiles of that level.
+    Downwards, those tiles are split again and again; the distance that surely covers k points (farthest
+    corners, nearest tiles first) drops every tile whose nearest corner lies beyond it. A tile of a level
+    holds at most 16 k points that are still looking there: no join key grows with the data. Points whose
+    whole group has k others or fewer keep all tiles.
+    """
+    keys = list(keys)
+    me = [*keys, "row", "col"]
+    ends = pts.agg(F.max("row") - F.min("row"), F.max("col") - F.min("col")).first()
+    extent = max(ends[0] or 0, ends[1] or 0) + 1
+    tile = [*keys, "_tr", "_tc"]
+
+    def around(d, level, reach):
+        span = F.sequence(F.lit(-reach), F.lit(reach))
+        return (
+            d.withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
+            .select(*me, (F.shiftright("row", TILE_BITS * level) + F.col("_i")).alias("_tr"),
+                    (F.shiftright("col", TILE_BITS * level) + F.col("_j")).alias("_tc"))
+            .join(nodes[level], tile)
         )
-        near = near.select(*keys, "row", "col", "k", "n_row", "n_col", "d2")
-        if r >= limit:
-            return near if done is None else done.unionByName(near)
-        near = cut(near)
-        full = near.where(F.col("k") == k).select(*keys, "row", "col")
-        part = near.join(full, [*keys, "row", "col"], "left_semi")
-        done = part if done is None else done.unionByName(part)
-        todo = cut(todo.join(full, [*keys, "row", "col"], "left_anti"))
-        if todo.isEmpty():
-            return done
-        r *= 2
+
+    nodes = {1: cut(
+        pts.groupBy(*keys, F.shiftright("row", TILE_BITS).alias("_tr"), F.shiftright("col", TILE_BITS).alias("_tc"))
+        .agg(F.count(F.lit(1)).alias("_n")))}
+    entry, level, looking = {}, 0, todo.select(*me)
+    while True:
+        level += 1
+        if level > 1:
+            nodes[level] = cut(
+                nodes[level - 1].groupBy(*keys, F.shiftright("_tr", TILE_BITS).alias("_tr"), F.shiftright("_tc", TILE_BITS).alias("_tc"))
+                .agg(F.sum("_n").alias("_n")))
+        if 1 << (TILE_BITS * level) > extent:
+            entry[level] = looking
+            break
+        seen = cut(around(looking, level, 1).groupBy(*me).agg((F.sum("_n") - 1).alias("_seen")))
+        entry[level] = seen.where(F.col("_seen") >= k).select(*me)
+        looking = seen.where(F.col("_seen") < k).select(*me)
+        if looking.isEmpty():
+            break
+
+    def gap(x, t, side):
+        low = F.col(t).cast("long") * side
+        high, at = low + (side - 1), F.col(x).cast("long")
+        return F.greatest(low - at, at - high, F.lit(0).cast("long")), F.greatest(F.abs(at - low), F.abs(at - high))
+
+    fronts: list[DataFrame] = []
+    for at in range(level, 0, -1):
+        cand = around(entry[at], at, 3)
+        if fronts:
+            parent = fronts[-1].withColumnsRenamed({"_tr": "_pr", "_tc": "_pc"})
+            child = nodes[at].withColumn("_pr", F.shiftright("_tr", TILE_BITS)).withColumn("_pc", F.shiftright("_tc", TILE_BITS))
+            cand = cand.unionByName(parent.join(child, [*keys, "_pr", "_pc"]).select(*me, "_tr", "_tc", "_n"))
+        side = 1 << (TILE_BITS * at)
+        (r0, r1), (c0, c1) = gap("row", "_tr", side), gap("col", "_tc", side)
+        own = (r0 == 0) & (c0 == 0)
+        sofar = W.partitionBy(*me).orderBy("_far", "_tr", "_tc").rowsBetween(W.unboundedPreceding, W.currentRow)
+        fronts.append(cut(
+            cand.select(*me, "_tr", "_tc", (r0 * r0 + c0 * c0).alias("_near"), (r1 * r1 + c1 * c1).alias("_far"),
+                        (F.col("_n") - own.cast("long")).alias("_n"))
+            .withColumn("_sum", F.sum("_n").over(sofar))
+            .withColumn("_bound", F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(W.partitionBy(*me)))
+            .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound"))).select(*me, "_tr", "_tc")))
+    return fronts

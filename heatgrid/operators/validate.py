@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heatgrid.operators import classify as L
 from heatgrid.operators.quantiles import leave_out_quantiles
@@ -210,6 +213,95 @@ def morans_i(pred: DataFrame, edges: DataFrame, value: str, by: Sequence[str] =
         (F.lit(-1.0) / (F.col("n") - 1)).alias("expected_i"))
 
 
+def shifted_values(pred: DataFrame, value: str, by: Sequence[str], shifts: int, seed: int | str, block: int = 1024) -> DataFrame:
+    """(by, row, col, v): at every cell the array of its own value and of `shifts` permuted ones.
+
+    Cells stand in a seeded random order; permutation c gives a cell the value c places further on, round
+    the end of its group. Each c alone is a uniformly random permutation, and a cell's array is a slice
+    of the ordered values: blocks of them with the start of the next block, never a whole group in a task.
+    """
+    from heatgrid.operators.quantiles import ranked
+
+    by = list(by)
+    block = max(block, shifts)
+    d = pred.select(*by, "row", "col", F.col(value).cast("double").alias("_v"))
+    d = ranked(d, by, hash_number(seed, *by, "row", "col"), [F.col("row"), F.col("col")], out="_i")
+    size = d.groupBy(*by).agg(F.max("_i").cast("long").alias("_size"))
+    laps = F.sequence(F.lit(0).cast("long"), F.floor((F.lit(shifts) - F.col("_i")) / F.col("_size")) + 1)
+    u = F.col("_u")
+    own = F.floor(u / block)
+    d = (
+        d.join(size, by).withColumn("_lap", F.explode(laps)).withColumn("_u", F.col("_i") - 1 + F.col("_lap") * F.col("_size"))
+        .where(u < F.col("_size") + shifts)
+        .withColumn("_b", F.explode(F.when((u % block < shifts) & (u >= block), F.array(own, own - 1)).otherwise(F.array(own))))
+    )
+    packed = d.groupBy(*by, "_b", "_size").agg(F.array_sort(F.collect_list(F.struct("_u", "row", "col", "_v"))).alias("_all"))
+    begin = F.col("_b") * block
+    cells = F.filter("_all", lambda x: (x["_u"] < begin + block) & (x["_u"] < F.col("_size")))
+    return (
+        packed.select(*by, "_b", F.transform("_all", lambda x: x["_v"]).alias("_vs"), F.explode(cells).alias("_c"))
+        .select(*by, "_c.row", "_c.col", F.slice("_vs", (F.col("_c._u") - begin + 1).cast("int"), F.lit(shifts + 1)).alias("v"))
+    )
+
+
+def morans_permutation(
+    pred: DataFrame, edges: DataFrame, value: str, by: Sequence[str] = ("year",), permutations: int = 199, seed: int | str = 42
+) -> DataFrame:
+    """Moran's I with its expected value and a two-sided permutation p, one row per group.
+
+    p is (1 + permutations whose |I - E| reaches the observed one) / (1 + permutations). The neighbour
+    list is joined once: an edge carries both cells' arrays of shifted values, tasks sum their products
+    into one array per group. Rows whose value is null take no part; a constant group has null I and p.
+    """
+    by = list(by)
+    pred = pred.where(F.col(value).isNotNull())
+    mean = pred.groupBy(*by).agg(F.avg(value).alias("_m"))
+    z = cut(pred.join(mean, by).select(*by, "row", "col", (F.col(value) - F.col("_m")).alias("_z")))
+    size = z.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("_d"))
+    arrays = cut(shifted_values(z, "_z", by, permutations, seed))
+    there = arrays.select(*by, F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.col("v").alias("_there"))
+    cell = z.select(*by, "row", "col")
+    links = (
+        edges.select(*by, "row", "col", "n_row", "n_col").join(cell, [*by, "row", "col"], "left_semi")
+        .join(cell.withColumnsRenamed({"row": "n_row", "col": "n_col"}), [*by, "n_row", "n_col"], "left_semi")
+    )
+    degree = links.groupBy(*by, "row", "col").agg(F.count(F.lit(1)).alias("_deg"))
+    pairs = (
+        links.join(there, [*by, "n_row", "n_col"]).join(degree, [*by, "row", "col"])
+        .join(arrays.withColumnRenamed("v", "_here"), [*by, "row", "col"])
+        .select(*by, (F.lit(1.0) / F.col("_deg")).alias("_w"), "_here", "_there")
+    )
+
+    def add(batches):
+        sums, weight = {}, {}
+        for b in batches:
+            w = b["_w"].to_numpy()
+            prod = w[:, None] * np.stack(b["_here"].to_numpy()) * np.stack(b["_there"].to_numpy())
+            for g, at in b.groupby(by, dropna=False, sort=False).indices.items():
+                g = g if isinstance(g, tuple) else (g,)
+                sums[g] = sums.get(g, 0.0) + prod[at].sum(axis=0)
+                weight[g] = weight.get(g, 0.0) + w[at].sum()
+        if sums:
+            yield pd.DataFrame([(*g, weight[g], s.tolist()) for g, s in sums.items()], columns=[*by, "_w", "_s"])
+
+    schema = T.StructType([*[pairs.schema[b] for b in by], T.StructField("_w", T.DoubleType()), T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    part = pairs.mapInPandas(add, schema)
+    total = (
+        part.select(*by, "_w", F.posexplode("_s").alias("_c", "_x")).groupBy(*by, "_c")
+        .agg(F.sum("_w").alias("_w"), F.sum("_x").alias("_x"))
+        .join(size, by, "right")
+        .withColumn("_e", F.lit(-1.0) / (F.col("n") - 1))
+        .withColumn("_i", F.try_divide(F.col("n"), F.col("_w")) * F.try_divide(F.col("_x"), F.when(F.col("_d") > 1e-12, F.col("_d"))))
+    )
+    seen = total.groupBy(*by, "n", "_e").agg(F.max(F.when(F.col("_c") == 0, F.col("_i"))).alias("morans_i"), F.collect_list(
+        F.when(F.col("_c") > 0, F.col("_i"))).alias("_null"))
+    reach = F.abs(F.col("morans_i") - F.col("_e")) - 1e-9
+    extreme = F.size(F.filter("_null", lambda x: F.abs(x - F.col("_e")) >= reach))
+    return seen.select(
+        *by, "n", "morans_i", F.col("_e").alias("expected_i"),
+        F.when(F.col("morans_i").isNotNull(), (extreme + 1) / F.lit(permutations + 1.0)).alias("p_value"))
+
+
 def permute(df: DataFrame, value: str, by: Sequence[str], seed: int | str, key: Sequence[str] = ("year", "row", "col")) -> DataFrame:
     """`value` permuted among the rows of each group, by two orders: position and hash of position."""
     from heatgrid.operators.quantiles import ranked

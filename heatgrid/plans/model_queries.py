@@ -209,6 +209,24 @@ def _(spark, sf):
     return VL.morans_i(p, SP.knn(p, 8), "e")
 
 
+@query("ml13_morans_permutation", """
+WITH v AS (SELECT year, row, col, CAST(y_true <> y_pred AS INT) AS e,
+  row_number() OVER (PARTITION BY year ORDER BY CAST(('0x' || substr(md5('42|' || year || '|' || row || '|' || col), 1, 13))::BIGINT AS DOUBLE), row, col) - 1 AS i FROM classed),
+m AS (SELECT year, avg(e) AS m, count(*) AS n FROM v GROUP BY year),
+z AS (SELECT v.year, row, col, i, n, e - m AS z FROM v JOIN m ON m.year = v.year),
+a AS (SELECT z.year, z.row, z.col, s, y.z FROM z, range(0, 200) t(s), z y WHERE y.year = z.year AND y.i = (z.i + s) % z.n),
+l AS (SELECT k.year, k.row, k.col, s, avg(z) AS lag FROM knn8 k JOIN a ON a.year = k.year AND a.row = k.n_row AND a.col = k.n_col GROUP BY ALL),
+x AS (SELECT a.year, a.s, count(*) * 1.0 / count(lag) * sum(z * lag) / sum(z * z) AS i, count(*) AS n, -1.0 / (count(*) - 1) AS e
+  FROM a LEFT JOIN l ON l.year = a.year AND l.row = a.row AND l.col = a.col AND l.s = a.s GROUP BY a.year, a.s)
+SELECT o.year, o.n, round(o.i, 6) AS morans_i, round(o.e, 6) AS expected_i,
+  round((1 + sum(CAST(abs(x.i - x.e) >= abs(o.i - o.e) - 1e-9 AS INT))) / 200.0, 6) AS p_value
+FROM x o JOIN x ON x.year = o.year AND x.s > 0 WHERE o.s = 0 GROUP BY o.year, o.n, o.i, o.e""", "classed knn8")
+def _(spark, sf):
+    """Moran's I of the errors with 199 permutations and a two-sided p, the neighbour list joined once."""
+    p = V.classed(spark, sf).select(*K, (c("y_true") != c("y_pred")).cast("int").cast("double").alias("e"))
+    return VL.morans_permutation(p, SP.knn(p, 8), "e")
+
+
 _TIER = "CASE WHEN agree >= 5 THEN '5/5' WHEN agree = 4 THEN '4/5' WHEN agree = 3 THEN '3/5' ELSE '<=2/5' END"
 
 

@@ -162,6 +162,23 @@ def test_knn_with_fewer_points_than_k(spark):
     assert SP.knn(df, 8).count() == 6
 
 
+def test_knn_far_points_look_at_few_tiles(spark):
+    dense = [(1, r, c) for r in range(40) for c in range(40)]
+    lone = [(1, 3000, 20), (1, -2500, -2500), (1, 10, 900)]
+    df = spark.createDataFrame(dense + lone + [(2, 5, 5), (2, 5, 4000)], "year int, row int, col int")
+    got = {}
+    for r in SP.knn(df, 8).collect():
+        got.setdefault((r["year"], r["row"], r["col"]), []).append((r["k"], r["d2"], r["n_row"], r["n_col"]))
+    for year, row, col in [*lone, (1, 0, 0), (1, 39, 17), (1, 20, 20), (2, 5, 5), (2, 5, 4000)]:
+        near = sorted(((row - b) ** 2 + (col - d) ** 2, b, d) for a, b, d in dense + lone + [(2, 5, 5), (2, 5, 4000)]
+                      if a == year and (b, d) != (row, col))[:8]
+        assert sorted(got[year, row, col]) == [(i + 1, *n) for i, n in enumerate(near)]
+    todo = df.where("row > 100 or row < 0 or col > 100")
+    fronts = SP.tile_frontiers(todo, df, 8, ["year"])
+    # Each far point keeps some tens of tiles a level, not the millions of offsets around it.
+    assert sum(f.count() for f in fronts) < 60 * todo.count() * len(fronts)
+
+
 def test_resample_ignores_invalid_sources(spark):
     src = spark.createDataFrame([(1, 0, 0, 1.0), (1, 0, 1, None), (1, 1, 0, 3.0), (1, 1, 1, None), (1, 2, 2, None)],
                                 "year int, row int, col int, v double")
@@ -268,3 +285,39 @@ def test_monsoon_onset_needs_a_full_window(spark):
     df = spark.createDataFrame(rows, "d string, year int, rain double").withColumn("day", F.to_date("d"))
     # The ten-day mean first reaches 2.5 on the fifth wet day.
     assert str(M.monsoon_onset(df, "rain").first()["onset"]) == "2022-06-09"
+
+
+def test_moran_permutation_p(spark):
+    rng = np.random.default_rng(4)
+    rows, n = [], 18
+    for year, field in ((1, lambda r, c: float(r > 8)), (2, lambda r, c: float(rng.random())), (3, lambda r, c: 1.0)):
+        rows += [(year, r, c, field(r, c)) for r in range(n) for c in range(n)]
+    df = spark.createDataFrame([*rows, (1, 50, 50, None)], "year int, row int, col int, e double").cache()
+    edges = SP.knn(df.where("e is not null").select("year", "row", "col"), 4).cache()
+    got = {r["year"]: r for r in VL.morans_permutation(df, edges, "e", permutations=99).collect()}
+    plain = {r["year"]: r["morans_i"] for r in VL.morans_i(df.where("e is not null"), edges, "e").collect()}
+    arrays = {(r["year"], r["row"], r["col"]): r["v"] for r in VL.shifted_values(df.where("e is not null"), "e", ["year"], 99, 42, 100).collect()}
+    value = {r[:3]: r[3] for r in rows}
+    for year in (1, 2):
+        cells = [k for k in value if k[0] == year]
+        for shift in (1, 50, 99):
+            assert sorted(arrays[k][shift] for k in cells) == sorted(value[k] for k in cells)
+        assert all(arrays[k][0] == value[k] for k in cells)
+        mean, link = np.mean([value[k] for k in cells]), {}
+        for e in edges.where(f"year = {year}").collect():
+            link.setdefault((year, e["row"], e["col"]), []).append((year, e["n_row"], e["n_col"]))
+        spread = sum((value[k] - mean) ** 2 for k in cells)
+        i = [sum((arrays[a][s] - mean) * np.mean([arrays[b][s] - mean for b in bs]) for a, bs in link.items()) / spread for s in range(100)]
+        e0 = -1 / (len(cells) - 1)
+        want = (1 + sum(abs(x - e0) >= abs(i[0] - e0) - 1e-9 for x in i[1:])) / 100
+        assert got[year]["p_value"] == pytest.approx(want) and got[year]["n"] == len(cells)
+        assert got[year]["morans_i"] == pytest.approx(i[0]) == pytest.approx(plain[year])
+    assert got[1]["p_value"] == 0.01 and got[2]["p_value"] > 0.01
+    assert got[3]["morans_i"] is None and got[3]["p_value"] is None
+
+
+def test_shifted_values_wrap_round_small_groups(spark):
+    df = spark.createDataFrame([(1, 0, i, float(i)) for i in range(5)], "year int, row int, col int, e double")
+    for r in VL.shifted_values(df, "e", ["year"], 12, 7).collect():
+        assert len(r["v"]) == 13 and r["v"][0] == r["col"] and r["v"][5] == r["v"][10] == r["v"][0]
+        assert sorted(r["v"][:5]) == [0, 1, 2, 3, 4]
