@@ -73,12 +73,19 @@ def min_label_graph(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
                 least.select(*keys, "u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
+    def mark(e: DataFrame) -> tuple:
+        """Count and two 64-bit hash sums of a set of edges: equal for equal sets, in one pass without a shuffle of edges."""
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "u", "v")),
+                           F.sum(F.xxhash64(F.lit(1), *keys, "u", "v").cast("decimal(38,0)"))).first())
+
     e = cut(edges.select(*keys, "u", "v").where("u <> v").distinct())
+    seen = mark(e)
     while True:
         new = cut(step(step(e, True), False))
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+        now = mark(new)
+        if now == seen:
             break
-        e = new
+        e, seen = new, now
     stars = new.select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(*keys, F.col("root").alias("node"), "root").distinct())
 
@@ -115,12 +122,15 @@ def label_components(
         across.join(rim.withColumnRenamed("comp", "v"), [*keys, "row", "col"])
         .where((F.col("_ar") != F.col("_tr")) | (F.col("_ac") != F.col("_tc"))).select(*keys, "u", "v").distinct())
     edges = cut(edges)
+    # From here on tile components stand for their cells, so that no join of cells is keyed by a whole zone.
+    comps = tiles.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("_cells"))
     if edges.isEmpty():
-        labelled = tiles.withColumn("root", F.col("comp"))
+        comps = comps.withColumn("root", F.col("comp"))
     else:
         roots = min_label_graph(edges, keys).withColumnRenamed("node", "comp")
-        labelled = tiles.join(roots, [*keys, "comp"], "left").withColumn("root", F.coalesce("root", "comp"))
-    sizes = labelled.groupBy(*keys, "root").agg(F.count(F.lit(1)).cast("int").alias("n_px")).where(F.col("n_px") >= min_px)
+        comps = comps.join(roots, [*keys, "comp"], "left").withColumn("root", F.coalesce("root", "comp"))
+    comps = cut(comps)
+    sizes = comps.groupBy(*keys, "root").agg(F.sum("_cells").cast("int").alias("n_px")).where(F.col("n_px") >= min_px)
     # Dense ids: number within bands of grid rows, then add the count of the bands before.
     band = F.floor(F.shiftright(F.col("root"), 32) / tile)
     sizes = sizes.withColumn("_band", band)
@@ -129,8 +139,8 @@ def label_components(
         "_off", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
     ids = sizes.join(offs, [*keys, "_band"]).withColumn(
         "zone_id", (F.col("_off") + F.row_number().over(W.partitionBy(*keys, "_band").orderBy("root"))).cast("int"))
-    return labelled.join(ids.select(*keys, "root", "zone_id", "n_px"), [*keys, "root"]).select(
-        *keys, "row", "col", "zone_id", "n_px")
+    named = comps.join(ids.select(*keys, "root", "zone_id", "n_px"), [*keys, "root"]).select(*keys, "comp", "zone_id", "n_px")
+    return tiles.join(named, [*keys, "comp"]).select(*keys, "row", "col", "zone_id", "n_px")
 
 
 def zone_edges(zone_cells: DataFrame, keys: Sequence[str] = ("year", "zone_id")) -> DataFrame:

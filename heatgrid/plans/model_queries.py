@@ -214,10 +214,13 @@ WITH v AS (SELECT year, row, col, CAST(y_true <> y_pred AS INT) AS e,
   row_number() OVER (PARTITION BY year ORDER BY CAST(('0x' || substr(md5('42|' || year || '|' || row || '|' || col), 1, 13))::BIGINT AS DOUBLE), row, col) - 1 AS i FROM classed),
 m AS (SELECT year, avg(e) AS m, count(*) AS n FROM v GROUP BY year),
 z AS (SELECT v.year, row, col, i, n, e - m AS z FROM v JOIN m ON m.year = v.year),
-a AS (SELECT z.year, z.row, z.col, s, y.z FROM z, range(0, 200) t(s), z y WHERE y.year = z.year AND y.i = (z.i + s) % z.n),
-l AS (SELECT k.year, k.row, k.col, s, avg(z) AS lag FROM knn8 k JOIN a ON a.year = k.year AND a.row = k.n_row AND a.col = k.n_col GROUP BY ALL),
-x AS (SELECT a.year, a.s, count(*) * 1.0 / count(lag) * sum(z * lag) / sum(z * z) AS i, count(*) AS n, -1.0 / (count(*) - 1) AS e
-  FROM a LEFT JOIN l ON l.year = a.year AND l.row = a.row AND l.col = a.col AND l.s = a.s GROUP BY a.year, a.s)
+d AS (SELECT year, any_value(n) AS n, sum(z * z) AS d FROM z GROUP BY year),
+k AS (SELECT k.year, p.i AS ia, q.i AS ib, p.n, 1.0::DOUBLE / count(*) OVER (PARTITION BY k.year, k.row, k.col) AS w FROM knn8 k
+  JOIN z p ON p.year = k.year AND p.row = k.row AND p.col = k.col JOIN z q ON q.year = k.year AND q.row = k.n_row AND q.col = k.n_col),
+ks AS (SELECT year, s, (ia + s) % n AS a, (ib + s) % n AS b, w FROM k, range(0, 200) t(s)),
+t AS (SELECT ks.year, s, sum(w) AS w, sum(w * za.z * zb.z) AS x FROM ks JOIN z za ON za.year = ks.year AND za.i = ks.a
+  JOIN z zb ON zb.year = ks.year AND zb.i = ks.b GROUP BY ks.year, s),
+x AS (SELECT t.year, s, n, n / w * x / d AS i, -1.0 / (n - 1) AS e FROM t JOIN d ON d.year = t.year)
 SELECT o.year, o.n, round(o.i, 6) AS morans_i, round(o.e, 6) AS expected_i,
   round((1 + sum(CAST(abs(x.i - x.e) >= abs(o.i - o.e) - 1e-9 AS INT))) / 200.0, 6) AS p_value
 FROM x o JOIN x ON x.year = o.year AND x.s > 0 WHERE o.s = 0 GROUP BY o.year, o.n, o.i, o.e""", "classed knn8")

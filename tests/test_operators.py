@@ -321,3 +321,15 @@ def test_shifted_values_wrap_round_small_groups(spark):
     for r in VL.shifted_values(df, "e", ["year"], 12, 7).collect():
         assert len(r["v"]) == 13 and r["v"][0] == r["col"] and r["v"][5] == r["v"][10] == r["v"][0]
         assert sorted(r["v"][:5]) == [0, 1, 2, 3, 4]
+
+
+def test_zone_over_many_tiles_joins_cells_by_tile_component(spark):
+    snake = {(r, c) for r in range(40) for c in range(40) if r % 2 == 0 or c == (39 if r % 4 == 1 else 0)}
+    df = spark.createDataFrame([(1, r, c) for r, c in snake] + [(1, 60, 60), (2, 3, 3)], "year int, row int, col int")
+    z = G.label_components(df, tile=8)
+    rows = z.collect()
+    assert {(r["year"], r["zone_id"], r["n_px"]) for r in rows} == {(1, 1, len(snake)), (1, 2, 1), (2, 1, 1)}
+    assert len(rows) == len(snake) + 2
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "comp#" in top and "root#" not in top
