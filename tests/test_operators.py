@@ -333,3 +333,46 @@ def test_zone_over_many_tiles_joins_cells_by_tile_component(spark):
     plan = z._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in plan.splitlines() if "Join" in line)
     assert "comp#" in top and "root#" not in top
+
+
+def test_stable_ids_follow_the_largest_overlap(spark):
+    from heatgrid.plans.zone_queries import stable_ids
+
+    rng = np.random.default_rng(12)
+    years, cells = [2022, 2023, 2024], []
+    for y in years:
+        for z, (r, c) in enumerate(rng.integers(0, 24, size=(14, 2)), 1):
+            taken = {(a[1], a[2]) for a in cells if a[0] == y}
+            box = {(int(r) + i, int(c) + j) for i in range(int(rng.integers(2, 6))) for j in range(int(rng.integers(2, 6)))} - taken
+            cells += [(y, a, b, z, len(box)) for a, b in box]
+    df = spark.createDataFrame(cells, "year int, row int, col int, zone_id int, n_px int")
+    got = {(r["year"], r["zone_id"]): (r["stable_id"], r["how"]) for r in stable_ids(df, years).collect()}
+    want, prev, top, extra = {}, None, 0, 90_000
+    for y in years:
+        zones = {}
+        for a, r, c, z, _ in cells:
+            if a == y:
+                zones.setdefault(z, set()).add((r, c))
+        ids = {z: (z, "new") for z in zones} if prev is None else {}
+        if prev is not None:
+            best = {}
+            for z, at in zones.items():
+                over = {s: len(at & p) for s, p in prev.items()}
+                over = [(-n, s) for s, n in over.items() if n and n >= 0.30 * len(at)]
+                if over:
+                    best[z] = min(over)[1]
+            for s in set(best.values()):
+                holder = min((z for z in best if best[z] == s), key=lambda z: (-len(zones[z]), z))
+                ids[holder] = (s, "kept")
+            for z in sorted(set(best) - set(ids)):
+                ids[z] = (extra, "split")
+                extra += 1
+            for i, z in enumerate(sorted(set(zones) - set(best)), 1):
+                ids[z] = (top + i, "new")
+        top = max([top, *(s for s, _ in ids.values() if s < 90_000)])
+        want.update({(y, z): v for z, v in ids.items()})
+        prev = {}
+        for z, (s, _) in ids.items():
+            prev.setdefault(s, set()).update(zones[z])
+    assert got == want
+    assert {h for _, h in got.values()} >= {"new", "kept"}
