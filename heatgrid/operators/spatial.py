@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from heatgrid.session import cut
 PIXEL_M = 30.0
 TILE_BITS = 2  # tiles of 4 x 4, then 4 x 4 of those
 IDW_COS_LAT, IDW_EPS = 28.64, 1e-6
+FIRST_COL, LAST_COL = -2**31, 2**31 - 1
 
 
 def lattice(spark: SparkSession, height: int, width: int) -> DataFrame:
@@ -46,87 +48,111 @@ def fill_nodata(df: DataFrame, values: dict[str, float]) -> DataFrame:
 
 # --- exact distance transform ---------------------------------------------------------------
 
-def _nearest_along_rows(g2: np.ndarray, frow: np.ndarray):
-    """Per cell of some grid rows: least g2[c'] + (c-c')^2, then least (feature row, col).
+def _along_columns(features: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, f): on each grid row in use and each column with features, the nearest feature row f of the column.
 
-    g2 is the squared distance to the nearest feature in the same column. Offsets are tried
-    outward, and end once no farther column can win.
+    A feature answers for the rows nearer to it than to its neighbours in the column; halfway the upper one does.
     """
-    rows, width = g2.shape
-    best, brow = g2.copy(), frow.copy()
-    bcol = np.broadcast_to(np.arange(width), (rows, width)).copy()
-    d = 1
-    while d < width and d * d <= best.max():
-        for here, there, off in ((np.s_[:, d:], np.s_[:, :-d], -d), (np.s_[:, :-d], np.s_[:, d:], d)):
-            cand, crow = g2[there] + d * d, frow[there]
-            ccol = np.broadcast_to(np.arange(width), (rows, width))[there]
-            b, r, c = best[here], brow[here], bcol[here]
-            win = (cand < b) | ((cand == b) & np.isfinite(cand) & ((crow < r) | ((crow == r) & (ccol < c))))
-            b[win], r[win], c[win] = cand[win], crow[win], ccol[win]
-        d += 1
-    return best, brow, bcol
-
-
-def nearest_feature(df: DataFrame, on: Column, keys: Sequence[str] = (), band: int = 16) -> DataFrame:
-    """Adds (d2, f_row, f_col) of the nearest cell where `on`, over a dense grid per `keys`.
-
-    First window passes find the nearest feature along each column; then bands of a few grid
-    rows are each settled alone. A task holds one column or one band of rows, never the grid.
+    column = W.partitionBy(*keys, "col").orderBy("f")
+    before, after = F.lag("f").over(column), F.lead("f").over(column)
+    ends = lines.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("row").alias("_top"), F.max("row").alias("_end"))
+    own = (
+        features.select(*keys, "col", F.col("row").alias("f")).distinct()
+        .withColumns({"_from": F.floor((before + F.col("f")) / 2).cast("int") + 1, "_to": F.floor((F.col("f") + after) / 2).cast("int")})
+        .join(ends, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+        .withColumns({"_from": F.greatest("_from", "_top"), "_to": F.least("_to", "_end")}).where("_from <= _to"))
+    spread = own.select(*keys, F.explode(F.sequence("_from", "_to")).alias("row"), "col", "f")
+    used = lines.select([F.col(x).alias(f"_{x}") for x in [*keys, "row"]])
+    return spread.join(used, reduce(and_, [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in [*keys, "row"]]), "left_semi")
+
+
+def _lower_envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries (keys, row, col, f, first) in order of grid row and column: who is nearest, from which column on.
+
+    Entry j passes an earlier entry i at one column and stays ahead, so a stack of owners suffices: linear in the
+    entries. The stack of an unfinished grid row is carried from batch to batch; whole numbers only.
     """
-    keys = list(keys)
-    here = F.when(on, F.col("row"))
-    up = W.partitionBy(*keys, "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*keys, "col").orderBy(F.col("row").desc()).rowsBetween(W.unboundedPreceding, 0)
-    d = (
-        df.withColumn("_a", F.last(here, ignorenulls=True).over(up))
-        .withColumn("_z", F.last(here, ignorenulls=True).over(down))
-    )
-    above, below = F.col("row") - F.col("_a"), F.col("_z") - F.col("row")
-    take_above = F.col("_a").isNotNull() & (F.col("_z").isNull() | (above <= below))
-    d = (
-        d.withColumn("_f", F.when(take_above, F.col("_a")).otherwise(F.col("_z")))
-        .withColumn("_band", F.floor(F.col("row") / band).cast("int"))
-        .drop("_a", "_z")
-    )
-    out = T.StructType(
-        df.schema.fields
-        + [T.StructField("d2", T.DoubleType()), T.StructField("f_row", T.IntegerType()),
-           T.StructField("f_col", T.IntegerType())]
-    )
-    names = [f.name for f in out.fields]
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"]).reset_index(drop=True)
-        shape = (pdf["row"].nunique(), -1)
-        frow = pdf["_f"].to_numpy(dtype="float64").reshape(shape)
-        g2 = (pdf["row"].to_numpy(dtype="float64").reshape(shape) - frow) ** 2
-        g2 = np.where(np.isnan(g2), np.inf, g2)
-        best, brow, bcol = _nearest_along_rows(g2, np.where(np.isnan(frow), 2.0**31, frow))
-        none = ~np.isfinite(best).ravel()
-        pdf["d2"] = pd.Series(best.ravel()).mask(none)
-        pdf["f_row"] = pd.Series(brow.ravel()).mask(none).astype("Int32")
-        pdf["f_col"] = pd.Series(bcol.ravel().astype("float64")).mask(none).astype("Int32")
-        return pdf[names]
-
-    return d.groupBy(*keys, "_band").applyInPandas(settle, out)
+    stack: list[tuple] = []
+    schema = None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    for b in batches:
+        kinds = b.schema
+        n = len(kinds) - 3  # keys and row
+        schema = pa.schema([*[kinds.field(i) for i in range(n)], pa.field("start", pa.int32()),
+                            pa.field("f_row", pa.int32()), pa.field("f_col", pa.int32())])
+        done: list[tuple] = []
+        for *line, col, f, first in zip(*[x.to_pylist() for x in b.columns]):
+            if first:
+                done += stack
+                stack = []
+            height, start = (line[-1] - f) ** 2 + col * col, FIRST_COL
+            while stack:
+                *_, held, up, left = stack[-1]
+                lead, gap = height - (line[-1] - up) ** 2 - left * left, 2 * (col - left)
+                # equal distance: the smaller feature row, then the smaller column
+                start = -(-lead // gap) + (lead % gap == 0 and up <= f)
+                if start > held:
+                    break
+                stack.pop()
+                start = FIRST_COL
+            if start <= LAST_COL:
+                stack.append((*line, start, f, col))
+        if done:
+            yield batch(done)
+    if stack:
+        yield batch(stack)
+
+
+def nearest_of(cells: DataFrame, features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds (d2, f_row, f_col) of the nearest of `features` (keys, row, col) to every cell; ties: least row, then column.
+
+    Exact on any set of cells, dense or not; NULL where the key has no feature. Features are spread along their columns,
+    each grid row is swept once for the columns where the nearest one changes, and cells look up the change before them.
+    Only keys, rows and columns reach Python; cells move once, in a window over their own grid row.
+    """
+    ks = [*keys, "_g"]
+    cells, features = cells.withColumn("_g", F.lit(1)), features.withColumn("_g", F.lit(1))
+    lines = cells.select(*ks, "row").distinct()
+    entries = _along_columns(features.select(*ks, "row", "col"), lines, ks)
+    sweep = W.partitionBy(*ks, "row").orderBy("col")
+    entries = entries.select(*ks, "row", "col", "f", (F.row_number().over(sweep) == 1).alias("first"))
+    types = {x.name: x.dataType for x in entries.schema.fields}
+    out = T.StructType([T.StructField(x, types[x]) for x in [*ks, "row"]] + [T.StructField(x, T.IntegerType()) for x in ("start", "f_row", "f_col")])
+    starts = entries.mapInArrow(_lower_envelopes, out)
+    starts = starts.select(*ks, "row", F.col("start").alias("col"), F.struct("f_row", "f_col").alias("_f"), F.lit(0).alias("_cell"))
+    both = starts.unionByName(cells.withColumn("_cell", F.lit(1)), allowMissingColumns=True)
+    upto = W.partitionBy(*ks, "row").orderBy("col", "_cell").rowsBetween(W.unboundedPreceding, 0)
+    near = both.withColumn("_f", F.last("_f", ignorenulls=True).over(upto)).where("_cell = 1")
+    down, across = (F.col("row") - F.col("_f.f_row")).cast("double"), (F.col("col") - F.col("_f.f_col")).cast("double")
+    plain = [x for x in cells.columns if x != "_g"]
+    return near.select(*plain, (down * down + across * across).alias("d2"), "_f.f_row", "_f.f_col")
+
+
+def nearest_feature(df: DataFrame, on: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """`nearest_of` with those cells as features where `on`."""
+    return nearest_of(df, df.where(on).select(*keys, "row", "col"), keys)
+
+
+def distance_to(cells: DataFrame, features: DataFrame, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Euclidean pixel distance times the pixel size, 0 on a feature."""
+    return nearest_of(cells, features, keys).withColumn(out, F.sqrt("d2") * PIXEL_M).drop("d2", "f_row", "f_col")
 
 
 def distance_to_feature(df: DataFrame, on: Column, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Euclidean pixel distance times the pixel size, 0 on the feature."""
-    return nearest_feature(df, on, keys).withColumn(out, F.sqrt("d2") * PIXEL_M).drop("d2", "f_row", "f_col")
+    """`distance_to` with those cells as features where `on`."""
+    return distance_to(df, df.where(on).select(*keys, "row", "col"), out, keys)
 
 
 def gap_fill_nearest(df: DataFrame, label: str, keys: Sequence[str] = ("year",)) -> DataFrame:
-    """A NULL label takes the nearest stored one (least distance, then row, then col)."""
-    near = nearest_feature(df, F.col(label).isNotNull(), keys)
-    src = df.where(F.col(label).isNotNull()).select(
-        *keys, F.col("row").alias("f_row"), F.col("col").alias("f_col"), F.col(label).alias("_label")
-    )
-    return (
-        near.join(src, [*keys, "f_row", "f_col"], "left")
-        .withColumn(label, F.coalesce(F.col(label), F.col("_label")))
-        .select(*df.columns, "d2")
-    )
+    """A NULL label takes the nearest stored one (least distance, then row, then col); stored ones have distance 0."""
+    known = df.where(F.col(label).isNotNull())
+    src = known.select(*keys, F.col("row").alias("f_row"), F.col("col").alias("f_col"), F.col(label).alias("_label"))
+    gaps = nearest_of(df.where(F.col(label).isNull()).drop(label), known.select(*keys, "row", "col"), keys)
+    filled = gaps.join(src, [*keys, "f_row", "f_col"], "left").withColumn(label, F.col("_label")).select(*df.columns, "d2")
+    return filled.unionByName(known.withColumn("d2", F.lit(0.0)))
 
 
 # --- resampling ---------------------------------------------------------------------------

@@ -142,10 +142,7 @@ def build_static(spark: SparkSession, sf: str) -> DataFrame:
     base = lattice(spark, sf)
     for layer, out in (("roads", "dist_road_m"), ("vegetation", "dist_vegetation_m"),
                        ("buildings", "dist_building_m")):
-        mask = feature_cells(spark, sf, layer).withColumn("on", F.lit(True))
-        base = spatial.distance_to_feature(
-            base.join(mask, ["row", "col"], "left"), F.col("on").isNotNull(), out
-        ).drop("on")
+        base = spatial.distance_to(base, feature_cells(spark, sf, layer), out)
     r, c = F.col("row"), F.col("col")
     raw = F.when((r + c) % 17 == 0, 255).otherwise((r * 7 + c * 3) % 9)
     return base.withColumn("landuse_class", F.nullif(raw, F.lit(255))).select(

@@ -1,5 +1,8 @@
 """Distributed operators against brute force on small fixtures, skew paths included."""
 
+import re
+from itertools import takewhile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,7 +137,7 @@ def test_distance_is_exact(spark):
     rows = [(r, c, bool(on[r, c])) for r in range(20) for c in range(33)]
     df = spark.createDataFrame(rows, "row int, col int, f boolean")
     feats = np.argwhere(on)
-    for r in SP.nearest_feature(df, F.col("f"), band=6).collect():
+    for r in SP.nearest_feature(df, F.col("f")).collect():
         d2 = (feats[:, 0] - r["row"]) ** 2 + (feats[:, 1] - r["col"]) ** 2
         best = min((d, *map(int, f)) for d, f in zip(d2, feats))
         assert (r["d2"], r["f_row"], r["f_col"]) == best
@@ -145,6 +148,62 @@ def test_distance_without_features_is_null(spark):
     assert [r["d"] for r in SP.distance_to_feature(df, F.lit(False), "d").collect()] == [None, None]
 
 
+def nearest_by_hand(features, row, col):
+    return min(((r - row) ** 2 + (c - col) ** 2, r, c) for r, c in features)
+
+
+def test_distance_on_sparse_cells_with_ties_and_payload(spark):
+    """Cells and features are unrelated sets, far apart, of negative numbers too; regular features make many ties."""
+    rng = np.random.default_rng(11)
+    for features in ({(int(a), int(b)) for a, b in rng.integers(-400, 400, size=(60, 2))},
+                     {(r, c) for r in range(-40, 41, 8) for c in range(-40, 41, 8)}):
+        cells = {(int(a), int(b)) for a, b in rng.integers(-50, 450, size=(300, 2))}
+        df = spark.createDataFrame([(y, r, c, f"{r}/{c}") for y in (1, 2, 3) for r, c in cells], "year int, row int, col int, note string")
+        fs = spark.createDataFrame([(y, r, c) for y in (1, 2) for r, c in features], "year int, row int, col int")
+        got = SP.nearest_of(df, fs.union(fs), ["year"]).collect()
+        assert len(got) == 3 * len(cells)
+        for x in got:
+            assert x["note"] == f"{x['row']}/{x['col']}"
+            near = (x["d2"], x["f_row"], x["f_col"])
+            assert near == ((None,) * 3 if x["year"] == 3 else nearest_by_hand(features, x["row"], x["col"]))
+
+
+def test_distance_of_one_wide_row_in_small_batches(spark):
+    """A grid row of many batches: its stack of owners travels from one to the next."""
+    rng = np.random.default_rng(12)
+    features = {(int(a), int(b)) for a, b in zip(rng.integers(0, 60, 400), rng.integers(0, 3000, 400))}
+    df = spark.createDataFrame([(5, c) for c in range(0, 3000, 7)], "row int, col int")
+    fs = spark.createDataFrame(sorted(features), "row int, col int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = SP.nearest_of(df, fs).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(range(0, 3000, 7))
+    assert all((x["d2"], x["f_row"], x["f_col"]) == nearest_by_hand(features, 5, x["col"]) for x in got)
+
+
+def test_distance_sends_no_payload_to_python(spark):
+    df = spark.range(50).selectExpr("cast(id as int) as row", "cast(id as int) as col", "uuid() as payload", "id % 7 = 0 as f")
+    lines = SP.nearest_feature(df, F.col("f"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [re.search(r"\w", x).start() for x in lines]
+    top = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    below = list(takewhile(lambda i: depth[i] > depth[top], range(top + 1, len(lines))))
+    assert below and not any("payload" in lines[i] for i in [top, *below])
+
+
+def test_gap_fill_takes_the_nearest_label(spark):
+    rng = np.random.default_rng(13)
+    known = {(int(a), int(b)): int(a * 7 + b) for a, b in rng.integers(0, 30, size=(25, 2))}
+    df = spark.createDataFrame([(1, r, c, known.get((r, c))) for r in range(30) for c in range(30)], "year int, row int, col int, label int")
+    got = SP.gap_fill_nearest(df, "label").collect()
+    assert len(got) == 900
+    for x in got:
+        d2, r, c = nearest_by_hand(known, x["row"], x["col"])
+        assert (x["d2"], x["label"]) == (d2, known[r, c])
+
+
 def test_knn_on_sparse_points(spark):
     rng = np.random.default_rng(9)
     pts = {(int(a), int(b)) for a, b in rng.integers(0, 60, size=(40, 2))}
