@@ -3,7 +3,7 @@
 from importlib import import_module
 
 FAMILIES = ["cell_queries", "composite_queries", "join_queries", "focal_queries", "profile_queries",
-            "class_queries", "zone_queries", "model_queries", "io_queries"]
+            "class_queries", "zone_queries", "model_queries", "io_queries", "gate_queries"]
 
 
 def load_all() -> None:
