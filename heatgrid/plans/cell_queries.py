@@ -179,6 +179,15 @@ def _(spark, sf):
         "row", "col", C.centre(c("col"), LON0, r).alias("lon"), C.centre(c("row"), LAT0, -r).alias("lat"))
 
 
+@query("cel14_lonlat_of_cells", f"""
+SELECT year, row, col, round({LON0} + (col + 0.5) * (0.52 / side), 9) AS lon, round({LAT0} - (row + 0.5) * (0.52 / side), 9) AS lat
+FROM cells, grid""", "cells grid", digits=9)
+def _(spark, sf):
+    r = res_of(V.side(spark, sf))
+    return V.cells(spark, sf).select(
+        "year", "row", "col", C.centre(c("col"), LON0, r).alias("lon"), C.centre(c("row"), LAT0, -r).alias("lat"))
+
+
 _LULC = list(range(8))
 
 

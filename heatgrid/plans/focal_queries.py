@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heatgrid.operators import features as E
 from heatgrid.operators import focal as N
 from heatgrid.plans import views as V
-from heatgrid.plans.join_queries import MET_OUT, met_fields
+from heatgrid.plans.join_queries import MET_OUT, with_weather
 from heatgrid.plans.registry import query
 
 c = F.col
@@ -185,8 +185,8 @@ def schema_order() -> list[str]:
 
 
 def feature_columns(spark, sf):
-    """The full stack with weather, by one equi join on (row, col), one-hot in the frozen order after row, col, block_id, lst_c."""
-    d = E.feature_stack(grid_cells(spark, sf)).join(met_fields(spark, sf), ["row", "col"])
+    """The full stack with its year's weather, one-hot in the frozen order after row, col, block_id, lst_c."""
+    d = with_weather(spark, sf, E.feature_stack(grid_cells(spark, sf)))
 
     def level(v, k):
         return F.coalesce((c(v) == k).cast("int"), F.lit(0))

@@ -92,14 +92,14 @@ FROM met_hourly WHERE hour(time_utc) IN (4, 5, 6) AND month(time_utc) = 1 GROUP
 """)
 
 
-def met_hourly(spark, sf):
+def met_hourly(spark, sf, *more):
     e = table(spark, sf, "events")
     p, v = c("user_id") % 16, c("value")
     return e.select(
         p.cast("int").alias("point_id"), (F.lit(28.40) + F.floor(p / 4) * 0.16).alias("lat"),
         (F.lit(76.83) + (p % 4) * 0.1733).alias("lon"), c("ts").alias("time_utc"), (v / 10).alias("temperature_2m"),
         (v % 100).alias("relative_humidity_2m"), (v % 20).alias("wind_speed_10m"), (v % 7).alias("precipitation"),
-        (v * 3).alias("shortwave_radiation"), (v / 1000).alias("soil_moisture"))
+        (v * 3).alias("shortwave_radiation"), (v / 1000).alias("soil_moisture"), *more)
 
 
 def met_points(spark, sf):
@@ -128,6 +128,37 @@ def _(spark, sf):
     return met_fields(spark, sf)
 
 
+cte("met_year_points", "", f"""
+SELECT CAST(2022 + event_id % 5 AS INT) AS year, CAST(user_id % 16 AS INT) AS point_id, 28.40 + (user_id % 16 // 4) * 0.16 AS lat, 76.83 + (user_id % 4) * 0.1733 AS lon,
+  avg(value / 10) AS temperature_2m, avg(value % 100) AS relative_humidity_2m, avg(value % 20) AS wind_speed_10m, avg(value % 7) AS precipitation,
+  avg(value * 3) AS shortwave_radiation, avg(value / 1000) AS soil_moisture
+FROM events WHERE hour(ts) IN (4, 5, 6) AND month(ts) = 1 GROUP BY ALL
+""")
+
+
+def met_year_points(spark, sf):
+    """Station means by year. The fixture's readings are of one year: each is dealt to one of the five by its number."""
+    e = met_hourly(spark, sf, (c("event_id") % 5 + 2022).cast("int").alias("year"))
+    at = F.hour("time_utc").isin(4, 5, 6) & (F.month("time_utc") == 1)
+    return e.where(at).groupBy("year", "point_id", "lat", "lon").agg(*[F.avg(n).alias(n) for n in MET])
+
+
+def with_weather(spark, sf, cells):
+    """Every cell with its own year's weather. Stations reach the cells as one array a year: cells are not shuffled for it."""
+    r = res_of(V.side(spark, sf))
+    placed = cells.withColumns({"lon": C.centre(c("col"), LON0, r), "lat": C.centre(c("row"), LAT0, -r)})
+    out = S.idw(placed, met_year_points(spark, sf), MET, ["year"]).drop("lon", "lat")
+    return out.withColumnsRenamed(dict(zip(MET, MET_OUT)))
+
+
+@query("joi6_idw_by_year", f"""
+WITH g AS (SELECT year, row, col, {LON0} + (col + 0.5) * (0.52 / side) AS lon, {LAT0} - (row + 0.5) * (0.52 / side) AS lat FROM cells, grid)
+SELECT g.year, row, col, {', '.join(f'round(sum({_W} * {v}) / sum({_W}), 6) AS {o}' for v, o in zip(MET, MET_OUT))}
+FROM g JOIN met_year_points p ON p.year = g.year GROUP BY g.year, row, col""", "cells grid met_year_points")
+def _(spark, sf):
+    return with_weather(spark, sf, V.cells(spark, sf).select(*K))
+
+
 cte("fine", "grid", """
 SELECT year, row3, col3, avg(v) AS v, max(label) AS label, bool_or(ok) AS ok FROM (
   SELECT CAST(2022 + (year(l_shipdate) - 1995) % 5 AS INT) AS year,
@@ -324,6 +355,13 @@ def _(spark, sf):
     return S.cell_area_m2(V.lattice(spark, sf).select("row", "col"), LON0, LAT0, res_of(V.side(spark, sf)))
 
 
+@query("joi16_area_of_cells", f"""
+SELECT c.year, c.row, c.col, a.* EXCLUDE (row, col) FROM cells c JOIN ({_area_sql()}) a ON a.row = c.row AND a.col = c.col""", "cells lattice grid", digits=2)
+def _(spark, sf):
+    """Ground area of the stored cells; a row of the grid has one area, so it is a column expression."""
+    return S.cell_area_m2(V.cells(spark, sf).select(*K), LON0, LAT0, res_of(V.side(spark, sf)))
+
+
 @query("joi17_polygon_area", """
 WITH r AS (SELECT feature, ring, abs(sum(x1 * y2 - x2 * y1) / 2) AS a, avg(y1) AS lat FROM (
   SELECT feature, ring, 76.8 + x1 * 0.001 AS x1, 28.4 + y1 * 0.001 AS y1, 76.8 + x2 * 0.001 AS x2, 28.4 + y2 * 0.001 AS y2
