@@ -52,6 +52,7 @@ def _along_columns(features: DataFrame, lines: DataFrame, keys: list[str]) -> Da
     """(keys, row, col, f): on each grid row in use and each column with features, the nearest feature row f of the column.
 
     A feature answers for the rows nearer to it than to its neighbours in the column; halfway the upper one does.
+    `ends` has one row per key: without keys it is one row, which Spark joins by a nested loop.
     """
     column = W.partitionBy(*keys, "col").orderBy("f")
     before, after = F.lag("f").over(column), F.lead("f").over(column)
