@@ -67,25 +67,26 @@ def feature_stack(dense: DataFrame, radii_m=N.RADII_M) -> DataFrame:
     sp = N.Packed({v: F.col(v).isNotNull() for v in values}, max(WINDOWS) ** 2)
     sp_cols = {k.replace("_pk", "_sk"): x for k, x in sp.columns().items()}
     d = N.spread(dense).withColumns({**squares, **dp.columns(), **sp_cols})
-    block, free = ("year", "block_id"), ("year",)
     disk_cols = [*disk_values, *dp.columns()]
     mean_cols = [*BASES, *sp_cols]
     free_cols = [*dict.fromkeys([*STD_BANDS, *MEAN_BANDS]), *squares, *sp_cols]
+    base = dense.columns
     ext = [(c, w, f) for w in WINDOWS for c in RANGE_BANDS for f in ("min", "max")]
 
-    # The row keys are (year, row) whatever the block, so every window below is local to a task.
-    d = d.selectExpr("*", *N.named({
-        **N.disk_rows(disk_cols, N.disk_widths(radii), block),
-        **{f"_m_{c}_{w}": f"coalesce({N.over_row(f'sum(`{c}`)', block, w // 2)}, 0)" for w in WINDOWS for c in mean_cols},
-        **{f"_f_{c}_{w}": f"coalesce({N.over_row(f'sum(`{c}`)', free, w // 2)}, 0)" for w in WINDOWS for c in free_cols},
-        **{f"_{f}_{c}_{w}": N.over_row(f"{f}({c})", free, w // 2) for c, w, f in ext}}))
-    d = d.drop(*squares, *dp.columns(), *sp_cols).repartition("year", "col")
-    base = dense.columns
-    d = d.selectExpr(*base, *N.named({
-        **N.disk_cols(disk_cols, radii, block),
-        **{f"_M_{c}_{w}": N.over_col(f"sum(`_m_{c}_{w}`)", block, w // 2) for w in WINDOWS for c in mean_cols},
-        **{f"_F_{c}_{w}": N.over_col(f"sum(`_f_{c}_{w}`)", free, w // 2) for w in WINDOWS for c in free_cols},
-        **{f"_{f}s_{c}_{w}": N.over_col(f"{f}(`_{f}_{c}_{w}`)", free, w // 2) for c, w, f in ext}}))
+    # A line is (year, row), then (year, col), whatever the block: all sums of a pass are local to a task.
+    d = d.selectExpr("*", *N.named({f"_{f}_{c}_{w}": N.over_row(f"{f}({c})", ("year",), w // 2) for c, w, f in ext}))
+    d = N.line_sums(d, ["year", "row"], "col", {
+        **N.disk_rows(disk_cols, N.disk_widths(radii), "block_id"),
+        **{f"_m_{c}_{w}": N.Sums([(c, None, w // 2)], "block_id") for w in WINDOWS for c in mean_cols},
+        **{f"_f_{c}_{w}": N.Sums([(c, None, w // 2)]) for w in WINDOWS for c in free_cols},
+    }, [*base, *[f"_{f}_{c}_{w}" for c, w, f in ext]])
+    d = d.repartition("year", "col")
+    d = d.selectExpr("*", *N.named({f"_{f}s_{c}_{w}": N.over_col(f"{f}(`_{f}_{c}_{w}`)", ("year",), w // 2) for c, w, f in ext}))
+    d = N.line_sums(d, ["year", "col"], "row", {
+        **N.disk_cols(disk_cols, radii, "block_id"),
+        **{f"_M_{c}_{w}": N.Sums([(f"_m_{c}_{w}", None, w // 2)], "block_id") for w in WINDOWS for c in mean_cols},
+        **{f"_F_{c}_{w}": N.Sums([(f"_f_{c}_{w}", None, w // 2)]) for w in WINDOWS for c in free_cols},
+    }, [*base, *[f"_{f}s_{c}_{w}" for c, w, f in ext]])
     out: dict[str, str] = {}
     for r in radii:
         un = dp.unpack(lambda p, r=r: f"_d_{p}_{r}")

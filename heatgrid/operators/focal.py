@@ -1,8 +1,8 @@
-"""Focal statistics over squares and disks, by range windows only.
+"""Focal statistics over squares and disks, by sums along rows and columns only.
 
 A square is a window along the row, then one along the column. A disk is a stack of rows of
 shrinking half-width; the rows of equal half-width are rectangles, so it is a sum of a few
-"row window, then column window" pairs. All columns and radii share one partitioning per pass:
+"row window, then column window" pairs, all of one pass added up by `line_sums`. All columns and radii share one partitioning per pass:
 two shuffles whatever is asked for. The grid must be dense (NULL cells kept as rows).
 
 Counts of flags are small, so several travel in one long, each in its own bit field.
@@ -11,12 +11,18 @@ Counts of flags are small, so several travel in one long, each in its own bit fi
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from heatgrid.operators.composite import run_starts
+
 RADII_M = (50, 100, 250, 500)
 
 
@@ -97,22 +103,95 @@ class Packed:
         }
 
 
-def disk_rows(cols: Sequence[str], widths: Sequence[int], keys: Sequence[str]) -> dict[str, str]:
+class Sums(NamedTuple):
+    """Sum of (column, column to take away or None, half-width) over the cells of the same line, and of the same `within` if named."""
+
+    terms: Sequence[tuple[str, str | None, int]]
+    within: str | None = None
+
+
+def _line_adder(line: Sequence[str], along: str, sums: Mapping[str, Sums], whole: Mapping[str, bool], kept: Sequence[str]) -> Callable:
+    """Sums of whole lines from rows in order of line and place; an unfinished line waits for the next batch."""
+
+    def added(t: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+        n = len(t)
+        number = np.repeat(np.arange(len(at), dtype=np.int64), np.diff(np.append(at, n)))
+        place = t.column(along).to_numpy().astype(np.int64)
+        names = {x for s in sums.values() for a, b, _ in s.terms for x in (a, b) if x}
+        kind = {x: np.int64 if pa.types.is_integer(t.schema.field(x).type) else np.float64 for x in names}
+        value = {x: t.column(x).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(kind[x]) for x in names}
+        made = {}
+        for scope in dict.fromkeys(s.within for s in sums.values()):
+            group, order = number, None
+            if scope is not None:
+                code = t.column(scope).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                order = np.lexsort((place, code, number))
+                new = np.ones(n, dtype=bool)
+                new[1:] = (np.diff(number[order]) != 0) | (np.diff(code[order]) != 0)
+                group = np.cumsum(new)
+            x = place if order is None else place[order]
+            reach = 2 * max(h for s in sums.values() for *_, h in s.terms) + 1
+            key = group * (int(x.max() - x.min()) + reach + 1) + (x - x.min())
+            frames = {}
+            for out, s in sums.items():
+                if s.within != scope:
+                    continue
+                total = None
+                for a, b, h in s.terms:
+                    if h not in frames:
+                        ends = np.empty(2 * n, dtype=np.int64)
+                        ends[::2], ends[1::2] = np.searchsorted(key, key - h, "left"), np.searchsorted(key, key + h, "right")
+                        frames[h] = ends
+                    v = value[a] if b is None else value[a] - value[b]
+                    v = v if order is None else v[order]
+                    part = np.add.reduceat(np.append(v, v.dtype.type(0)), frames[h])[::2]
+                    total = part if total is None else total + part
+                if order is not None:
+                    back = np.empty_like(total)
+                    back[order] = total
+                    total = back
+                made[out] = pa.array(total, pa.int64() if whole[out] else pa.float64())
+        return pa.RecordBatch.from_arrays([*[t.column(c).combine_chunks() for c in kept], *[made[o] for o in sums]], names=[*kept, *sums])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            t = pa.Table.from_batches([*waiting, b])
+            at = run_starts([t.column(k).combine_chunks() for k in line])
+            if len(at) > 1:
+                yield added(t.slice(0, int(at[-1])).combine_chunks(), at[:-1])
+            waiting = t.slice(int(at[-1])).combine_chunks().to_batches()
+        if waiting:
+            yield added(pa.Table.from_batches(waiting).combine_chunks(), np.zeros(1, dtype=np.int64))
+
+    return lines
+
+
+def line_sums(df: DataFrame, line: Sequence[str], along: str, sums: Mapping[str, Sums], keep: Sequence[str]) -> DataFrame:
+    """`keep` and long or double sums over the neighbours within a half-width on the same line, NULL counting as zero.
+
+    `df` is partitioned by `line` or part of it. Each window is added up anew (no differences of running sums, whose rounding
+    would show), a batch of lines at a time; a task holds one line and one batch.
+    """
+    small = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    whole = {o: isinstance(df.schema[s.terms[0][0]].dataType, small) for o, s in sums.items()}
+    used = {x for s in sums.values() for a, b, _ in s.terms for x in (a, b) if x}
+    d = df.withColumns({x: F.col(x).cast("double") for x in used if not isinstance(df.schema[x].dataType, (*small, T.DoubleType))})
+    out = T.StructType([*[d.schema[c] for c in keep], *[T.StructField(o, T.LongType() if w else T.DoubleType()) for o, w in whole.items()]])
+    return d.sortWithinPartitions(*line, along).mapInArrow(_line_adder(line, along, sums, whole, list(keep)), out)
+
+
+def disk_rows(cols: Sequence[str], widths: Sequence[int], within: str | None) -> dict[str, Sums]:
     """First pass of the disks: sums over each needed half-width along the row."""
-    return {f"_h_{c}_{w}": f"coalesce({over_row(f'sum(`{c}`)', keys, w)}, 0)" for w in widths for c in cols}
+    return {f"_h_{c}_{w}": Sums([(c, None, w)], within) for w in widths for c in cols}
 
 
-def disk_cols(cols: Sequence[str], radii: Sequence[int], keys: Sequence[str]) -> dict[str, str]:
+def disk_cols(cols: Sequence[str], radii: Sequence[int], within: str | None) -> dict[str, Sums]:
     """Second pass: the disk's rectangles stacked along the column."""
-    out = {}
-    for r in radii:
-        for c in cols:
-            parts = []
-            for w, narrower, tall in bands(r):
-                x = f"`_h_{c}_{w}`" if narrower is None else f"`_h_{c}_{w}` - `_h_{c}_{narrower}`"
-                parts.append(over_col(f"sum({x})", keys, tall))
-            out[f"_d_{c}_{r}"] = " + ".join(parts)
-    return out
+    return {f"_d_{c}_{r}": Sums([(f"_h_{c}_{w}", None if narrower is None else f"_h_{c}_{narrower}", tall) for w, narrower, tall in bands(r)], within)
+            for r in radii for c in cols}
 
 
 def disk_widths(radii: Sequence[int]) -> list[int]:
@@ -130,9 +209,9 @@ def disk_sums(
     counted = {**{f"_v_{v}": F.col(v).isNotNull() for v in values}, **flags}
     pack = Packed(counted, disk_size(max(radii)))
     cols = [*values, *pack.columns()]
-    d = df.withColumns(pack.columns())
-    d = d.selectExpr("*", *named(disk_rows(cols, disk_widths(radii), keys)))
-    d = d.selectExpr(*df.columns, *named(disk_cols(cols, radii, keys)))
+    d = df.withColumns(pack.columns()).repartition(*keys, "row")
+    d = line_sums(d, [*keys, "row"], "col", disk_rows(cols, disk_widths(radii), None), df.columns)
+    d = line_sums(d.repartition(*keys, "col"), [*keys, "col"], "row", disk_cols(cols, radii, None), df.columns)
     out = {}
     for r in radii:
         un = pack.unpack(lambda p, r=r: f"_d_{p}_{r}")
