@@ -204,14 +204,19 @@ def disk_sums(
     flags: dict[str, Column],
     radii: Sequence[int],
     keys: Sequence[str] = ("year", "block_id"),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Adds `{v}_s{r}` (sum), `{v}_c{r}` (valid count) and `{flag}_n{r}` for every radius in px."""
+    """Adds `{v}_s{r}` (sum), `{v}_c{r}` (valid count) and `{flag}_n{r}` for every radius in px.
+
+    With `keep`, only those columns, the keys and the place travel along.
+    """
     counted = {**{f"_v_{v}": F.col(v).isNotNull() for v in values}, **flags}
     pack = Packed(counted, disk_size(max(radii)))
     cols = [*values, *pack.columns()]
-    d = df.withColumns(pack.columns()).repartition(*keys, "row")
-    d = line_sums(d, [*keys, "row"], "col", disk_rows(cols, disk_widths(radii), None), df.columns)
-    d = line_sums(d.repartition(*keys, "col"), [*keys, "col"], "row", disk_cols(cols, radii, None), df.columns)
+    kept = df.columns if keep is None else list(dict.fromkeys([*keys, "row", "col", *keep]))
+    d = df.withColumns(pack.columns()).select(*dict.fromkeys([*kept, *cols])).repartition(*keys, "row")
+    d = line_sums(d, [*keys, "row"], "col", disk_rows(cols, disk_widths(radii), None), kept)
+    d = line_sums(d.repartition(*keys, "col"), [*keys, "col"], "row", disk_cols(cols, radii, None), kept)
     out = {}
     for r in radii:
         un = pack.unpack(lambda p, r=r: f"_d_{p}_{r}")
@@ -220,7 +225,7 @@ def disk_sums(
             out[f"{v}_c{r}"] = un[f"_v_{v}"]
         for n in flags:
             out[f"{n}_n{r}"] = un[n]
-    return d.selectExpr(*df.columns, *named(out))
+    return d.selectExpr(*kept, *named(out))
 
 
 def disk_mean(v: str, r: int) -> Column:

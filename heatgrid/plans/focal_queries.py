@@ -79,7 +79,7 @@ SELECT {post} FROM k"""
     ["round(coalesce(sum(b.vegetation_cover) {f}, 0), 6) AS veg_sum_{m}m", "count(b.vegetation_cover) {f} AS veg_n_{m}m"],
     "* EXCLUDE (ndvi, ndbi)"), "dense cells_static")
 def _(spark, sf):
-    d = N.disk_sums(V.dense(spark, sf), ["vegetation_cover"], {}, list(_RADII.values()))
+    d = N.disk_sums(V.dense(spark, sf), ["vegetation_cover"], {}, list(_RADII.values()), keep=[])
     return d.select("year", "row", "col", *[
         x for m, r in _RADII.items()
         for x in (c(f"vegetation_cover_s{r}").alias(f"veg_sum_{m}m"), c(f"vegetation_cover_c{r}").alias(f"veg_n_{m}m"))])
@@ -91,7 +91,7 @@ def _(spark, sf):
         f"round(v{m}, 6) + 0 AS ndvi_disk_mean_{m}m, round(ndvi - v{m}, 6) + 0 AS ndvi_contrast_{m}m, "
         f"round(ndbi - b{m}, 6) + 0 AS ndbi_contrast_{m}m" for m in _RADII)), "dense cells_static")
 def _(spark, sf):
-    d = N.disk_sums(V.dense(spark, sf), ["ndvi", "ndbi"], {}, list(_RADII.values()))
+    d = N.disk_sums(V.dense(spark, sf), ["ndvi", "ndbi"], {}, list(_RADII.values()), keep=["ndvi", "ndbi"])
     out = []
     for m, r in _RADII.items():
         out += [N.disk_mean("ndvi", r).alias(f"ndvi_disk_mean_{m}m"),
@@ -106,7 +106,7 @@ def _(spark, sf):
     "* EXCLUDE (ndvi, ndbi)"), "dense cells_static")
 def _(spark, sf):
     flags = {"cell": F.lit(True), "road": c("dist_road_m") == 0, "building": c("dist_building_m") == 0}
-    d = N.disk_sums(grid_cells(spark, sf), [], flags, list(_RADII.values()))
+    d = N.disk_sums(grid_cells(spark, sf), [], flags, list(_RADII.values()), keep=[])
     return d.select("year", "row", "col", *[
         (c(f"{n}_n{r}") / c(f"cell_n{r}")).alias(f"{n}_fraction_{m}m") for m, r in _RADII.items() for n in ("road", "building")])
 
@@ -129,7 +129,7 @@ for _m in _MIX:
     "year, row, col, " + ", ".join(_MIX_POST), radii=_MIX), "dense cells_static")
 def _(spark, sf):
     flags = {k: v for k, v in E.feature_flags().items() if k.startswith("lu")}
-    d = N.disk_sums(grid_cells(spark, sf), [], flags, list(_MIX.values()))
+    d = N.disk_sums(grid_cells(spark, sf), [], flags, list(_MIX.values()), keep=[])
     out = {}
     for m in _MIX:
         named = E.landuse_sql(m)
@@ -143,7 +143,7 @@ WITH k AS (SELECT a.year, a.block_id, a.row, a.col, {_disk(['count(*) {f} AS n{m
 SELECT year, block_id, count(*) AS n_cells, {', '.join(f"count(*) FILTER (WHERE n{m} < {N.disk_size(r)}) AS clipped_{m}m"
 for m, r in _RADII.items())} FROM k GROUP BY year, block_id""", "dense")
 def _(spark, sf):
-    d = N.disk_sums(V.dense(spark, sf), [], {"cell": F.lit(True)}, list(_RADII.values()))
+    d = N.disk_sums(V.dense(spark, sf), [], {"cell": F.lit(True)}, list(_RADII.values()), keep=[])
     return d.groupBy("year", "block_id").agg(F.count(F.lit(1)).alias("n_cells"), *[
         F.count_if(c(f"cell_n{r}") < N.disk_size(r)).alias(f"clipped_{m}m") for m, r in _RADII.items()])
 
