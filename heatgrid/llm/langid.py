@@ -32,6 +32,7 @@ from heatgrid.llm.arrays import BASE, LOWERED, batch_bytes, mix, spans, texts_of
 BUCKETS = 4096
 SHIFT = np.uint64(64 - 12)
 SIZES = (2, 3, 4)
+SLICE_BYTES = 1 << 20
 DIM = 16
 MAX_ROWS = 3000
 EPOCHS = 15
@@ -202,25 +203,30 @@ def class_scores(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray
     return softmax(total[:, :-1] / np.maximum(total[:, -1:], 1) + model.bias), words
 
 
+def judgements(column: pa.Array, model: Model) -> pa.StructArray:
+    """lang_pred, score and rejected of each text, by slices of SLICE_BYTES: what a slice needs is some 35 times its text."""
+    column = pc.fill_null(column, b"")
+    langs, scores, rejected = [], [], []
+    for a, b in texts_of(column, SLICE_BYTES):
+        part = column.slice(a, b - a)
+        p, words = class_scores(part, model)
+        best, top = p.argmax(1), p.max(1)
+        for i in range(b - a):
+            known = bool(model.langs) and words[i] > 0 and has_letter(part[i].as_py())
+            langs.append(model.langs[best[i]] if known else UNKNOWN)
+            scores.append(float(top[i]) if known else 0.0)
+            rejected.append(not known or bool(top[i] < model.threshold))
+    return pa.StructArray.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
+        ["lang_pred", "score", "rejected"])
+
+
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, lang_pred, score (calibrated probability) and rejected."""
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def judge(column: pa.Array) -> pa.Array:
-        column = pc.fill_null(column, b"")
-        langs, scores, rejected = [], [], []
-        for a, b in texts_of(column):
-            part = column.slice(a, b - a)
-            p, words = class_scores(part, model)
-            best, top = p.argmax(1), p.max(1)
-            for i in range(b - a):
-                known = bool(model.langs) and words[i] > 0 and has_letter(part[i].as_py())
-                langs.append(model.langs[best[i]] if known else UNKNOWN)
-                scores.append(float(top[i]) if known else 0.0)
-                rejected.append(not known or bool(top[i] < model.threshold))
-        return pa.StructArray.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-            ["lang_pred", "score", "rejected"])
+        return judgements(column, model)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     judged = docs.select(*keep, judge(F.col(f"`{text_col}`").cast("binary")).alias("__r"))

@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from heatgrid.llm import decontaminate, langid, tokens, topk
@@ -103,3 +106,20 @@ def test_decontamination_of_short_and_number_dense_items_and_of_values_that_meet
     found = {(r["id"], r["item"]) for r in decontaminate.leaks(df, items).collect()}
     assert found == {(10, 1), (20, 2), (30, 3), (31, 3)}
     assert decontaminate.leaks(df.coalesce(1), items.where("item_id = 1")).count() == 1
+
+
+def test_language_id_holds_small_slices_of_a_batch():
+    """16 MB of texts at once: memory follows the slice, not the batch, and judgements are those of single texts."""
+    words = [f"{a}{b}" for a in ("ba", "ke", "li", "mo") for b in range(50)]
+    words = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words]
+    texts = pa.array([" ".join(words[(i * 7 + j * (i % 5 + 1)) % 200] for j in range(800)).encode() for i in range(200)] * 20, pa.binary())
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b", "c"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32), np.zeros(3, np.float32), 0.4)
+    assert texts.nbytes > 1 << 23
+    langid.judgements(texts.slice(0, 1), model)
+    tracemalloc.start()
+    got = langid.judgements(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert got.slice(0, 20).to_pylist() == [langid.judgements(texts.slice(i, 1), model)[0].as_py() for i in range(20)]
