@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def mask_overlap(a: Column, b: Column) -> list[Column]:
-    """Intersection, union, IoU and the share of each mask the other covers, as aggregates."""
-    both, either = F.count_if(a & b), F.count_if(a | b)
+def mask_overlap(a: Column, b: Column, n: Column | None = None) -> list[Column]:
+    """Intersection, union, IoU and the share of each mask the other covers, as aggregates; a row stands for `n` cells, for one without it."""
+    def size(mask: Column) -> Column:
+        return F.count_if(mask) if n is None else F.coalesce(F.sum(F.when(mask, n)), F.lit(0))
+
+    both, either = size(a & b), size(a | b)
     return [
         both.alias("intersection_px"), either.alias("union_px"), F.try_divide(both, either).alias("iou"),
-        F.try_divide(both, F.count_if(a)).alias("share_of_a"), F.try_divide(both, F.count_if(b)).alias("share_of_b")]
+        F.try_divide(both, size(a)).alias("share_of_a"), F.try_divide(both, size(b)).alias("share_of_b")]
 
 
 def year_pair(df: DataFrame, y1: int, y2: int, cols: Sequence[str]) -> DataFrame:

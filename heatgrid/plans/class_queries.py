@@ -12,7 +12,7 @@ from heatgrid.operators.quantiles import ranked
 from heatgrid.plans import views as V
 from heatgrid.plans.join_queries import transitions
 from heatgrid.plans.registry import query
-from heatgrid.plans.scoring_views import cuts, hot3_labels, hot_labels, scenario_cells, scored, zone_labels
+from heatgrid.plans.scoring_views import cuts, hot3_labels, hot_labels, scenario_array, scenario_cells, scored, zone_labels
 from heatgrid.sources.tables import table
 
 c = F.col
@@ -153,12 +153,14 @@ WITH m AS (SELECT year, a, b, count(*) FILTER (WHERE in_a AND in_b) AS x, count(
 SELECT year, a, b, x AS intersection_px, u AS union_px, round(x * 1.0 / nullif(u, 0), 6) AS iou, round(x * 1.0 / nullif(na, 0), 6) AS share_of_a,
   round(x * 1.0 / nullif(nb, 0), 6) AS share_of_b FROM m""", "scored scenario_cells")
 def _(spark, sf):
-    wide = scenario_cells(spark, sf).groupBy(*K).agg(*[
-        F.bool_or((c("scenario") == s) & (c("cls") >= 3)).alias(s) for s in "ABCD"])
+    """A cell's four masks (class 3 and up) come from its own row; cells are counted by year and masks before pairs of masks are made."""
+    s = scored(spark, sf).select("year", scenario_array(False).alias("_s"))
+    masks = {n: F.coalesce(c("_s")[i]["score"] > S.CLASS_EDGES[2], F.lit(False)) for i, n in enumerate(S.SCENARIOS)}
+    wide = s.groupBy("year", *[m.alias(n) for n, m in masks.items()]).agg(F.count(F.lit(1)).alias("n"))
     pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), c(x).alias("in_a"), c(y).alias("in_b"))
                       for x in "ABCD" for y in "ABCD" if x < y])
-    d = wide.select("year", F.explode(pairs).alias("p")).select("year", "p.*")
-    return d.groupBy("year", "a", "b").agg(*O.mask_overlap(c("in_a"), c("in_b")))
+    d = wide.select("year", "n", F.explode(pairs).alias("p")).select("year", "n", "p.*")
+    return d.groupBy("year", "a", "b").agg(*O.mask_overlap(c("in_a"), c("in_b"), c("n")))
 
 
 _PAIR = """(SELECT a.row, a.col, a.y_true AS t1, b.y_true AS t2, a.y_pred = 2 AS h1, b.y_pred = 2 AS h2
