@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heatgrid.operators import focal as N
 
@@ -15,6 +21,9 @@ RANGE_BANDS = ("ndvi", "ndbi")
 WINDOWS = (3, 5, 11)
 LANDUSE = (1, 2, 3, 4, 5, 6, 7, 8)
 
+#: Rows of a batch that goes back to Spark, some 1 kB each.
+BATCH_ROWS = 8192
+
 
 def feature_flags() -> dict[str, Column]:
     """What the disks count: cells at all, cells on a feature, cells of each land use."""
@@ -52,41 +61,92 @@ def landuse_sql(radius_m: int) -> dict[str, str]:
     return out
 
 
+class _Windows(NamedTuple):
+    """Columns added up over disks and squares of the same block and over free squares, and those whose extremes are wanted."""
+
+    disk: Sequence[str]
+    block: Sequence[str]
+    free: Sequence[str]
+    extremes: Sequence[str]
+    radii: Sequence[int]
+
+    def names(self) -> list[str]:
+        return [*[f"_d_{c}_{r}" for c in self.disk for r in self.radii], *[f"_M_{c}_{w}" for c in self.block for w in WINDOWS],
+                *[f"_F_{c}_{w}" for c in self.free for w in WINDOWS], *[f"_{f}s_{c}_{w}" for f in ("max", "min") for c in self.extremes for w in WINDOWS]]
+
+
+def _tile_sums(keep: Sequence[str], whole: Sequence[str], windows: _Windows, size: int) -> Callable:
+    """`keep` and all windows of the own cells of a tile, from these and its margin; NULL counts as zero, `_sq_` columns are made here."""
+
+    def added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        row, col = (t.column(x).to_numpy().astype(np.int64) for x in ("row", "col"))
+        own = (row // size == key[1].as_py()) & (col // size == key[2].as_py())
+        place = np.cumsum(own) - 1
+        read = [c for c in dict.fromkeys([*windows.disk, *windows.block, *windows.free]) if not c.startswith("_sq_")]
+        value = {c: t.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64 if c in whole else np.float64) for c in read}
+        value |= {c: value[c[4:]] * value[c[4:]] for c in windows.free if c.startswith("_sq_")}
+        made, known = {}, {}
+
+        def put(tag, columns, rows, sums):
+            laid, mine = N.Laid(row[rows], col[rows]), np.flatnonzero(own[rows])
+            for kind in (whole, None):
+                some = [c for c in columns if (c in whole) == (kind is whole)]
+                for reach, grid in sums(laid.out(np.stack([value[c][rows] for c in some]))).items() if some else ():
+                    for c, x in zip(some, laid.back(grid, mine)):
+                        made.setdefault(f"{tag}_{c}_{reach}", np.zeros(int(own.sum()), dtype=x.dtype))[place[rows][mine]] = x
+
+        code = t.column("block_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        everywhere = np.arange(len(row))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for b in np.unique(code[own]):
+                rows = np.flatnonzero(code == b)
+                put("_d", windows.disk, rows, lambda g: N.disks(g, windows.radii))
+                put("_M", windows.block, rows, lambda g: N.squares(g, WINDOWS))
+            if own.any():
+                put("_F", windows.free, everywhere, lambda g: N.squares(g, WINDOWS))
+                laid, mine = N.Laid(row, col), np.flatnonzero(own)
+                valid = np.stack([t.column(c).is_valid().to_numpy() for c in windows.extremes])
+                x = np.stack([value[c] for c in windows.extremes])
+                # NaN is above all numbers, as in SQL
+                for f, rule, none in (("max", np.maximum, -np.inf), ("min", np.fmin, np.nan)):
+                    for w, grid in N.squares(laid.out(np.where(valid, x, none), none, rule), WINDOWS, rule).items():
+                        made |= {f"_{f}s_{c}_{w}": v for c, v in zip(windows.extremes, laid.back(grid, mine))}
+                for w, grid in N.squares(laid.out(valid, False, np.logical_or), WINDOWS, np.logical_or).items():
+                    known |= {f"_{f}s_{c}_{w}": v for f in ("max", "min") for c, v in zip(windows.extremes, laid.back(grid, mine))}
+        out = t.select(list(keep)).filter(pa.array(own))
+        for n in windows.names():
+            x = made.get(n, np.zeros(0, dtype=np.int64 if n[3:].rsplit("_", 1)[0] in whole else np.float64))
+            out = out.append_column(n, pa.array(x, mask=~known[n] if n in known else None))
+        return pa.Table.from_batches(out.combine_chunks().to_batches(max_chunksize=BATCH_ROWS), out.schema)
+
+    return added
+
+
 def feature_stack(dense: DataFrame, radii_m=N.RADII_M) -> DataFrame:
     """All focal and disk predictors beside the base columns of the dense cell table.
 
-    Block-aware means, disks and border-free window statistics run over one row pass and one
-    column pass: the two repartitions below are the only shuffles.
+    Block-aware means, disks and border-free window statistics of a tile are added up in one task: the only shuffle moves the
+    base columns of its cells and of the margin around them, never a sum.
     """
     values = list(dict.fromkeys([*BASES, *STD_BANDS, *MEAN_BANDS]))
-    squares = {f"_sq_{v}": F.col(v) * F.col(v) for v in STD_BANDS}
     radii = [N.radius_px(m) for m in radii_m]
     disk_values = ["vegetation_cover", "ndvi", "ndbi"]
     flags = {**{f"_v_{v}": F.col(v).isNotNull() for v in disk_values}, **feature_flags()}
     dp = N.Packed(flags, N.disk_size(max(radii)))
     sp = N.Packed({v: F.col(v).isNotNull() for v in values}, max(WINDOWS) ** 2)
     sp_cols = {k.replace("_pk", "_sk"): x for k, x in sp.columns().items()}
-    d = N.spread(dense).withColumns({**squares, **dp.columns(), **sp_cols})
-    disk_cols = [*disk_values, *dp.columns()]
-    mean_cols = [*BASES, *sp_cols]
-    free_cols = [*dict.fromkeys([*STD_BANDS, *MEAN_BANDS]), *squares, *sp_cols]
     base = dense.columns
-    ext = [(c, w, f) for w in WINDOWS for c in RANGE_BANDS for f in ("min", "max")]
-
-    # A line is (year, row), then (year, col), whatever the block: all sums of a pass are local to a task.
-    d = d.selectExpr("*", *N.named({f"_{f}_{c}_{w}": N.over_row(f"{f}({c})", ("year",), w // 2) for c, w, f in ext}))
-    d = N.line_sums(d, ["year", "row"], "col", {
-        **N.disk_rows(disk_cols, N.disk_widths(radii), "block_id"),
-        **{f"_m_{c}_{w}": N.Sums([(c, None, w // 2)], "block_id") for w in WINDOWS for c in mean_cols},
-        **{f"_f_{c}_{w}": N.Sums([(c, None, w // 2)]) for w in WINDOWS for c in free_cols},
-    }, [*base, *[f"_{f}_{c}_{w}" for c, w, f in ext]])
-    d = d.repartition("year", "col")
-    d = d.selectExpr("*", *N.named({f"_{f}s_{c}_{w}": N.over_col(f"{f}(`_{f}_{c}_{w}`)", ("year",), w // 2) for c, w, f in ext}))
-    d = N.line_sums(d, ["year", "col"], "row", {
-        **N.disk_cols(disk_cols, radii, "block_id"),
-        **{f"_M_{c}_{w}": N.Sums([(f"_m_{c}_{w}", None, w // 2)], "block_id") for w in WINDOWS for c in mean_cols},
-        **{f"_F_{c}_{w}": N.Sums([(f"_f_{c}_{w}", None, w // 2)]) for w in WINDOWS for c in free_cols},
-    }, [*base, *[f"_{f}s_{c}_{w}" for c, w, f in ext]])
+    reach, size = max(*radii, max(WINDOWS) // 2), N.TILE
+    tile = ["year", "_tr", "_tc"]
+    # A number of partitions is named, as few bytes that make much work would else be put together into few tasks.
+    tasks = int(dense.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = N.tiled(dense, reach, size).repartition(tasks, *tile).withColumns({**dp.columns(), **sp_cols})
+    free = list(dict.fromkeys([*STD_BANDS, *MEAN_BANDS]))
+    whole = [*dp.columns(), *sp_cols]
+    windows = _Windows([*disk_values, *dp.columns()], [*BASES, *sp_cols], [*free, *[f"_sq_{v}" for v in STD_BANDS], *sp_cols], RANGE_BANDS, radii)
+    schema = T.StructType([*[d.schema[c] for c in base], *[
+        T.StructField(n, T.LongType() if n[3:].rsplit("_", 1)[0] in whole else T.DoubleType()) for n in windows.names()]])
+    d = d.groupBy(*tile).applyInArrow(_tile_sums(base, whole, windows, size), schema)
     out: dict[str, str] = {}
     for r in radii:
         un = dp.unpack(lambda p, r=r: f"_d_{p}_{r}")

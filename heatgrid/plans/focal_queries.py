@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heatgrid.operators import features as E
 from heatgrid.operators import focal as N
+from heatgrid.operators import spatial as SP
 from heatgrid.plans import views as V
 from heatgrid.plans.join_queries import MET_OUT, with_weather
 from heatgrid.plans.registry import query
@@ -15,8 +16,8 @@ c = F.col
 
 def grid_cells(spark, sf):
     """Dense cells with the static layers: what the feature stack reads."""
-    static = V.cells_static(spark, sf).drop("block_id")
-    return V.dense(spark, sf).join(static, ["row", "col"])
+    cells = V.cells(spark, sf).drop("block_id", "in_study", "clear_count")
+    return SP.densify(cells, V.cells_static(spark, sf))
 
 
 _JOIN = """FROM g a JOIN g b ON a.year = b.year {block} AND b.row BETWEEN a.row - {h} AND a.row + {h}
