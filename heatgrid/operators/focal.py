@@ -100,13 +100,14 @@ class Packed:
             out[f"_pk{g}"] = c
         return out
 
+    def places(self) -> dict[str, tuple[str, int, int]]:
+        """Flag name -> its packed column, its first bit and the mask of its bits."""
+        mask = (1 << self.bits) - 1
+        return {n: (f"_pk{g}", self.bits * i, mask) for g, names in enumerate(self.groups) for i, n in enumerate(names)}
+
     def unpack(self, at) -> dict[str, str]:
         """Flag name -> SQL of its count, where `at(packed column)` names the summed column."""
-        mask = (1 << self.bits) - 1
-        return {
-            n: f"(shiftright(`{at(f'_pk{g}')}`, {self.bits * i}) & {mask}L)"
-            for g, names in enumerate(self.groups) for i, n in enumerate(names)
-        }
+        return {n: f"(shiftright(`{at(p)}`, {shift}) & {mask}L)" for n, (p, shift, mask) in self.places().items()}
 
 
 class Sums(NamedTuple):

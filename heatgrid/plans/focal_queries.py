@@ -9,7 +9,7 @@ from heatgrid.operators import focal as N
 from heatgrid.operators import spatial as SP
 from heatgrid.plans import views as V
 from heatgrid.plans.join_queries import MET_OUT, with_weather
-from heatgrid.plans.registry import query
+from heatgrid.plans.registry import finish, query
 
 c = F.col
 
@@ -185,19 +185,22 @@ def schema_order() -> list[str]:
     return out + [f"{v}_range{w}" for v in E.RANGE_BANDS for w in E.WINDOWS]
 
 
-def feature_columns(spark, sf):
-    """The full stack with its year's weather, one-hot in the frozen order after row, col, block_id, lst_c."""
-    d = with_weather(spark, sf, E.feature_stack(grid_cells(spark, sf)))
+def feature_columns(spark, sf, digits=5):
+    """The full stack with its year's weather, one-hot in the frozen order after row, col, block_id, lst_c; doubles of the stack are rounded in its tiles."""
+    grid = grid_cells(spark, sf)
+    stack = E.feature_stack(grid, digits=digits)
+    d = with_weather(spark, sf, stack)
 
     def level(v, k):
         return F.coalesce((c(v) == k).cast("int"), F.lit(0))
 
     hot = {f"landuse_class_{k}.0": level("landuse_class", k) for k in _LANDUSE} | {f"lulc_class_{k}": level("lulc_class", k) for k in _LULC}
     hot |= {f"landuse_dominant_{m}m_{k}": level(f"landuse_dominant_{m}m", k) for m in N.RADII_M for k in _LANDUSE}
-    return d.select("row", "col", "block_id", "lst_c", *[hot[n].alias(n) if n in hot else c(n) for n in schema_order()])
+    out = d.select("row", "col", "block_id", "lst_c", *[hot[n].alias(n) if n in hot else c(n) for n in schema_order()])
+    return finish(out, digits, settled=set(stack.columns) - set(grid.columns))
 
 
-@query("nbr10_feature_table", digits=5)
+@query("nbr10_feature_table", digits=None)
 def _(spark, sf):
     """Every column of the frozen schema; `nbr10_feature_stack` checks some of its families by SQL."""
     return feature_columns(spark, sf)
